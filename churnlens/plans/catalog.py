@@ -102,17 +102,20 @@ CLEANING: dict[str, TableOp] = {
 }
 
 
-def _cleaned_tables(t: ChurnTables) -> ChurnTables:
+def cleaned_tables(t: ChurnTables) -> ChurnTables:
+    """The dirty records cleaned (exact dedup) and loaded into the relational tables."""
     return ChurnTables.from_wide(cleaning.clean(_dirty(t)))
 
 
+# Constraint checks run on the tables loaded from the *cleaned* records (the
+# reference declares them on the tables it loads its cleaned file into).
 CONSTRAINTS: dict[str, TableOp] = {
-    "check_primary_key": lambda t: constraints.check_primary_key(_cleaned_tables(t)),
-    "check_foreign_key": lambda t: constraints.check_foreign_key(_cleaned_tables(t)),
-    "check_not_null": lambda t: constraints.check_not_null(_cleaned_tables(t)),
-    "check_range": lambda t: constraints.check_range(_cleaned_tables(t)),
-    "check_date_order": lambda t: constraints.check_date_order(_cleaned_tables(t)),
-    "check_width": lambda t: constraints.check_width(_cleaned_tables(t)),
+    "check_primary_key": constraints.check_primary_key,
+    "check_foreign_key": constraints.check_foreign_key,
+    "check_not_null": constraints.check_not_null,
+    "check_range": constraints.check_range,
+    "check_date_order": constraints.check_date_order,
+    "check_width": constraints.check_width,
 }
 
 
@@ -130,32 +133,46 @@ def normalize_types(df: DataFrame) -> DataFrame:
 
 
 class TableCache:
-    """Materialise the table bundle once per (session, data folder)."""
+    """Load each table bundle once per (session, data folder), like a load step.
+
+    ``get`` gives the tables derived from the driver's data; ``get_cleaned``
+    the tables loaded from the cleaned dirty records.  With ``materialize``
+    both are written below the shared checkpoint folder (lineage cut).
+    """
 
     def __init__(self, materialize: bool = True):
         self._materialize = materialize
-        self._lock = threading.Lock()
-        self._cache: dict[tuple[int, str], ChurnTables] = {}
+        self._lock = threading.RLock()
+        self._cache: dict[tuple[int, str, str], ChurnTables] = {}
 
-    def get(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
-        key = (id(spark), sf_dir.rstrip("/"))
+    def _load(self, key: tuple[int, str, str], build: Callable[[], ChurnTables]) -> ChurnTables:
         with self._lock:
             if key not in self._cache:
-                tables = ChurnTables.derive(spark, sf_dir)
+                tables = build()
                 self._cache[key] = tables.materialize() if self._materialize else tables
             return self._cache[key]
 
+    def get(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
+        key = (id(spark), sf_dir.rstrip("/"), "derived")
+        return self._load(key, lambda: ChurnTables.derive(spark, sf_dir))
+
+    def get_cleaned(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
+        key = (id(spark), sf_dir.rstrip("/"), "cleaned")
+        return self._load(key, lambda: cleaned_tables(self.get(spark, sf_dir)))
+
 
 def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cache = cache or TableCache()
 
-    def bind(op: TableOp) -> Callable[[SparkSession, str], DataFrame]:
+    def bind(op: TableOp, cleaned: bool = False) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return normalize_types(op(cache.get(spark, sf_dir)))
+            tables = cache.get_cleaned(spark, sf_dir) if cleaned else cache.get(spark, sf_dir)
+            return normalize_types(op(tables))
         run.__doc__ = op.__doc__
         return run
 
-    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING, **CONSTRAINTS}.items()}
+    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING}.items()}
+    out.update({name: bind(op, cleaned=True) for name, op in CONSTRAINTS.items()})
     out["inactive_users"] = lambda spark, sf_dir: normalize_types(
         extras.inactive_users(read_table(spark, sf_dir, "events"))
     )
