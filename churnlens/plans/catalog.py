@@ -145,20 +145,21 @@ class TableCache:
         self._lock = threading.RLock()
         self._cache: dict[tuple[int, str, str], ChurnTables] = {}
 
-    def _load(self, key: tuple[int, str, str], build: Callable[[], ChurnTables]) -> ChurnTables:
+    def _load(self, key: tuple[int, str, str], build: Callable[[], ChurnTables],
+              unique_key: bool) -> ChurnTables:
         with self._lock:
             if key not in self._cache:
                 tables = build()
-                self._cache[key] = tables.materialize() if self._materialize else tables
+                self._cache[key] = tables.materialize(bucketed=unique_key) if self._materialize else tables
             return self._cache[key]
 
     def get(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
         key = (id(spark), sf_dir.rstrip("/"), "derived")
-        return self._load(key, lambda: ChurnTables.derive(spark, sf_dir))
+        return self._load(key, lambda: ChurnTables.derive(spark, sf_dir), unique_key=True)
 
     def get_cleaned(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
         key = (id(spark), sf_dir.rstrip("/"), "cleaned")
-        return self._load(key, lambda: cleaned_tables(self.get(spark, sf_dir)))
+        return self._load(key, lambda: cleaned_tables(self.get(spark, sf_dir)), unique_key=False)
 
 
 def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,8 +52,8 @@ class ChurnTables:
     def derive(spark: SparkSession, sf_dir: str) -> "ChurnTables":
         return ChurnTables.from_wide(derive_wide(spark, sf_dir))
 
-    def materialize(self, buckets: int | None = None) -> "ChurnTables":
-        return materialize(self, buckets)
+    def materialize(self, buckets: int | None = None, bucketed: bool = True) -> "ChurnTables":
+        return materialize(self, buckets, bucketed)
 
 
 def _bucket_count(spark: SparkSession, buckets: int | None) -> int:
@@ -73,20 +73,33 @@ def _write_bucketed(df: DataFrame, table: str, buckets: int, shuffle: bool) -> N
     )
 
 
-def materialize(tables: ChurnTables, buckets: int | None = None) -> ChurnTables:
+def _write_plain(df: DataFrame, table: str, buckets: int, shuffle: bool) -> None:
+    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+
+
+def materialize(tables: ChurnTables, buckets: int | None = None, bucketed: bool = True) -> ChurnTables:
+    """Write the bundle once and return a bundle over the written tables.
+
+    ``bucketed`` is for bundles whose ``customer_id`` is unique by construction
+    (the derived tables: it is the grouping key of the derivation).  Records
+    whose key may repeat (cleaned input, where one id could hold a third of all
+    rows) are written as they are partitioned, so no writer task receives a hot
+    bucket; their joins rely on AQE's skew-join splitting instead.
+    """
     spark = tables.wide.sparkSession
     n = _bucket_count(spark, buckets)
+    write = _write_bucketed if bucketed else _write_plain
     root = checkpoint_root(spark)
     database = f"churnlens_{uuid.uuid4().hex[:12]}"
     location = f"{root.rstrip('/')}/{database}.db"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
 
-    _write_bucketed(tables.wide, f"{database}.wide", n, shuffle=True)
+    write(tables.wide, f"{database}.wide", n, shuffle=True)
     wide = spark.table(f"{database}.wide")
     loaded = ChurnTables.from_wide(wide)
-    _write_bucketed(loaded.customers, f"{database}.customers", n, shuffle=False)
-    _write_bucketed(loaded.subscriptions, f"{database}.subscriptions", n, shuffle=False)
-    _write_bucketed(loaded.usage_metrics, f"{database}.usage_metrics", n, shuffle=False)
+    write(loaded.customers, f"{database}.customers", n, shuffle=False)
+    write(loaded.subscriptions, f"{database}.subscriptions", n, shuffle=False)
+    write(loaded.usage_metrics, f"{database}.usage_metrics", n, shuffle=False)
     loaded.subscription_plans.write.mode("overwrite").format("parquet").saveAsTable(
         f"{database}.subscription_plans"
     )
