@@ -59,7 +59,11 @@ def _duplicate_keys(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def check_primary_key(t: ChurnTables) -> DataFrame:
-    """K1: key values held by more than one row (NULL keys counted by the NOT NULL check)."""
+    """K1: key values held by more than one row (NULL keys counted by the NOT NULL check).
+
+    Surrogate keys (subscription_id, metric_id) are unique by generation and
+    not re-checked.
+    """
     return _union([
         _duplicate_keys(t.customers, "customer_id", "customers.customer_id PRIMARY KEY"),
         _duplicate_keys(t.subscription_plans, "plan_id", "subscription_plans.plan_id PRIMARY KEY"),

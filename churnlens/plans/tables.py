@@ -16,6 +16,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlens.session import checkpoint_root
 from churnlens.sources.tpch import derive_wide
@@ -24,6 +25,7 @@ from churnlens.sources.warehouse import (
     load_subscriptions,
     load_usage_metrics,
     plans_frame,
+    with_surrogate_key,
 )
 
 
@@ -97,12 +99,15 @@ def materialize(tables: ChurnTables, buckets: int | None = None, bucketed: bool
     write(tables.wide, f"{database}.wide", n, shuffle=True)
     wide = spark.table(f"{database}.wide")
     loaded = ChurnTables.from_wide(wide)
-    write(loaded.customers, f"{database}.customers", n, shuffle=False)
-    write(loaded.subscriptions, f"{database}.subscriptions", n, shuffle=False)
-    write(loaded.usage_metrics, f"{database}.usage_metrics", n, shuffle=False)
-    loaded.subscription_plans.write.mode("overwrite").format("parquet").saveAsTable(
-        f"{database}.subscription_plans"
-    )
+    # declared surrogate keys and load timestamps (not part of any compared output)
+    write(loaded.customers.withColumn("created_at", F.current_timestamp()),
+          f"{database}.customers", n, shuffle=False)
+    write(with_surrogate_key(loaded.subscriptions, "subscription_id"),
+          f"{database}.subscriptions", n, shuffle=False)
+    write(with_surrogate_key(loaded.usage_metrics, "metric_id", stamp="recorded_at"),
+          f"{database}.usage_metrics", n, shuffle=False)
+    loaded.subscription_plans.withColumn("created_at", F.current_timestamp()).write.mode("overwrite") \
+        .format("parquet").saveAsTable(f"{database}.subscription_plans")
     return ChurnTables(
         wide=wide,
         customers=spark.table(f"{database}.customers"),

@@ -51,17 +51,34 @@ def build_session(
     return spark
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
-    current = spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder, creating a local one only if none is set.
+
+    Order: the context's checkpoint directory, then ``spark.checkpoint.dir``
+    from the session configuration; only when both are absent (tests, local
+    runs) a temporary folder is created once per session and registered as the
+    context's checkpoint directory.
+    """
+    try:
+        current = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no JVM context available (e.g. a remote session)
+        current = None
     if current:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+        configured = _LOCAL_ROOTS.get(id(spark))
+        if configured is None:
+            configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
+            _LOCAL_ROOTS[id(spark)] = configured
+    try:
+        spark.sparkContext.setCheckpointDir(configured)
+        return spark.sparkContext.getCheckpointDir() or configured
+    except Exception:
+        return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

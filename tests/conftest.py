@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -24,9 +23,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(app_name="churnlens-tests", master="local[4]", shuffle_partitions=8)
-    # tests set their own checkpoint folder only where the session has none
-    if not session.sparkContext.getCheckpointDir() and not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="churnlens-test-ckpt-"))
+    # uses spark.checkpoint.dir when the environment sets it; a temporary folder otherwise
     checkpoint_root(session)
     yield session
     session.stop()

@@ -35,13 +35,22 @@ def canonical(columns: list[str], rows: list[tuple]) -> list[str]:
     return sorted("|".join(_norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 def compare(df, con, sql: str) -> tuple[bool, str]:
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]
+    otypes = {d[0]: str(d[1]) for d in res.description}
     orows = res.fetchall()
     if sorted(df.columns) != sorted(ocols):
         return False, f"columns {sorted(df.columns)} != {sorted(ocols)}"
+    for name, dtype in df.dtypes:
+        if SPARK_TO_DUCK.get(dtype) != otypes[name]:
+            return False, f"type of {name}: spark {dtype} vs oracle {otypes[name]}"
     a, b = canonical(df.columns, rows), canonical(ocols, orows)
     if a != b:
         only_a = [x for x in a if x not in set(b)][:3]
