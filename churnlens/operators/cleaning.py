@@ -137,7 +137,7 @@ def cleaning_report(df: DataFrame) -> DataFrame:
         F.sum(F.col("region").isNull().cast("bigint")).alias("regions_filled"),
         F.sum(F.coalesce(invalid_cancellation(), F.lit(False)).cast("bigint")).alias("invalid_dates"),
     )
-    one = rows_in.crossJoin(after)
+    one = rows_in.crossJoin(F.broadcast(after))  # two one-row aggregates
     metrics = [
         (0, "rows_in", F.col("rows_in")),
         (1, "duplicates_removed", F.col("rows_in") - F.col("rows_after_dedup")),

@@ -127,7 +127,8 @@ def tenure_tier_right_closed(tables: ChurnTables) -> DataFrame:
 def billing_tier_fixed_domain(tables: ChurnTables) -> DataFrame:
     """Churn % per billing tier in fixed order; a tier without rows appears with NULL."""
     df = tables.wide.withColumn("tier", billing_tier("billing_issues_count"))
-    agg = _tier_rates(df, "tier")
+    # at most one row per tier: the aggregate is bounded by the three-label domain
+    agg = F.broadcast(_tier_rates(df, "tier"))
     domain = _ordered_labels(tables.wide.sparkSession, BILLING_TIERS)
     return domain.join(agg, "tier", "left").orderBy("tier_order").select("tier", "churn_pct")
 

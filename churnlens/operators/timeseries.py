@@ -74,10 +74,12 @@ def rolling_30row_churn(tables: ChurnTables) -> DataFrame:
 
 
 def rolling_30day_calendar(tables: ChurnTables) -> DataFrame:
-    """Moving sum over the current and 29 preceding *calendar days*."""
-    w = Window.orderBy(F.col("churn_date").cast("timestamp").cast("long")).rangeBetween(
-        -29 * 86400, Window.currentRow
-    )
+    """Moving sum over the current and 29 preceding *calendar days*.
+
+    The frame is a RANGE over days since the epoch (``unix_date``), which does
+    not depend on the session time zone (a timestamp cast would, across DST).
+    """
+    w = Window.orderBy(F.unix_date("churn_date")).rangeBetween(-29, Window.currentRow)
     return (
         _daily_churn(tables)
         .withColumn("rolling_30day_churn", F.sum("daily_churned").over(w).cast("bigint"))

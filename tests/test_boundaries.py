@@ -9,7 +9,6 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.functions import tiers
