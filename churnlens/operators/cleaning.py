@@ -128,16 +128,16 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     ``prices_filled`` counts NULL prices after dedup and before the fill, so
     rows of an unknown plan are included although they stay NULL.
     """
-    rows_in = df.agg(F.count(F.lit(1)).alias("rows_in"))
+    rows_in = df.agg(F.count(F.lit(1))).scalar()
     deduped = exact_dedup(df)
     parsed = parse_cancellation_date(parse_join_date(title_case_plan(deduped), strict=False))
-    after = parsed.agg(
+    one = parsed.agg(
+        rows_in.alias("rows_in"),
         F.count(F.lit(1)).alias("rows_after_dedup"),
         F.sum(F.col("plan_price").isNull().cast("bigint")).alias("prices_filled"),
         F.sum(F.col("region").isNull().cast("bigint")).alias("regions_filled"),
         F.sum(F.coalesce(invalid_cancellation(), F.lit(False)).cast("bigint")).alias("invalid_dates"),
     )
-    one = rows_in.crossJoin(F.broadcast(after))  # two one-row aggregates
     metrics = [
         (0, "rows_in", F.col("rows_in")),
         (1, "duplicates_removed", F.col("rows_in") - F.col("rows_after_dedup")),

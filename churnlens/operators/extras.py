@@ -21,16 +21,12 @@ INACTIVE_DAYS = 7
 def segment_lift(tables: ChurnTables, key: str = "region") -> DataFrame:
     """Per segment: churn rate % and its ratio to the overall rate (4 decimals)."""
     c = tables.customers
-    overall = c.agg(
-        F.sum(flag("is_churned")).alias("_all_churned"), F.count(F.lit(1)).alias("_all_n")
-    )
-    seg = c.groupBy(key).agg(
+    # overall churn fraction: a scalar subquery, computed once
+    all_rate = c.agg(F.sum(flag("is_churned")).cast("double") / F.count(F.lit(1))).scalar()
+    joined = c.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_customers"), F.sum(flag("is_churned")).alias("_churned")
     )
-    # the overall figures are a one-row aggregate: broadcast is bounded by construction
-    joined = seg.crossJoin(F.broadcast(overall))
     seg_rate = F.col("_churned").cast("double") / F.col("total_customers")
-    all_rate = F.col("_all_churned").cast("double") / F.col("_all_n")
     lift = F.round(F.try_divide(seg_rate, F.when(all_rate != 0, all_rate)), 4)
     return joined.select(
         F.col(key).alias("segment"),
@@ -55,15 +51,15 @@ def region_plan_crosstab(tables: ChurnTables) -> DataFrame:
 def inactive_users(events: DataFrame, days: int = INACTIVE_DAYS) -> DataFrame:
     """Per user: last event date, whole days idle at the as-of date, and the idle flag.
 
-    The as-of date is the latest event date overall (a one-row aggregate,
-    broadcast); per-user maxima are a partial + final aggregate, so a user with
-    a third of all events is reduced map-side.
+    The as-of date is the latest event date overall (a scalar subquery);
+    per-user maxima are a partial + final aggregate, so a user with a third of
+    all events is reduced map-side.
     """
     ev = events.select("user_id", F.col("ts").cast("date").alias("d")).filter(F.col("user_id").isNotNull())
-    as_of = ev.agg(F.max("d").alias("as_of"))
+    as_of = ev.agg(F.max("d")).scalar()
     last = ev.groupBy("user_id").agg(F.max("d").alias("last_event_date"))
-    idle = F.datediff(F.col("as_of"), F.col("last_event_date"))
-    return last.crossJoin(F.broadcast(as_of)).select(
+    idle = F.datediff(as_of, F.col("last_event_date"))
+    return last.select(
         "user_id",
         "last_event_date",
         idle.cast("bigint").alias("days_inactive"),

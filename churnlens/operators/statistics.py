@@ -135,13 +135,14 @@ def correlation_matrix(tables: ChurnTables, columns: list[str] | None = None) ->
     return one.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
-def _binned_logins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
-    """Equal-width bins over [min, max] of logins, right-closed, lowest edge widened by 0.1 %.
+def _bin_edges(tables: ChurnTables, n_bins: int) -> tuple[DataFrame, F.Column]:
+    """Logins with churn flags, and the ``n_bins + 1`` equal-width edges as a scalar subquery.
 
     Edges are ``start + i * step`` with the last edge set to the maximum, as a
-    linear grid does; a value falls in bin ``#{edges < value}``.  With
-    min = max the range is widened by 0.1 % on each side first.  The min/max
-    is a one-row aggregate, broadcast to every task.
+    linear grid does, and the lowest edge lowered by 0.1 % of the range so the
+    minimum falls in bin 1.  With min = max the range is first widened by
+    0.1 % on each side.  The edges are one array value, computed once from a
+    global min/max aggregate.
     """
     x = F.col("avg_monthly_logins").cast("double")
     w = tables.wide.select(x.alias("x"), flag("is_churned").alias("y")).filter(F.col("x").isNotNull())
@@ -154,26 +155,34 @@ def _binned_logins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> Data
     stop = F.when(same, widen_hi).otherwise(mx)
     step = (stop - start) / F.lit(float(n_bins))
     first = F.when(same, start).otherwise(start - (mx - mn) * F.lit(0.001))
-    edges = F.transform(
-        F.sequence(F.lit(0), F.lit(n_bins)),
-        lambda i: F.when(i == 0, first).when(i == n_bins, stop).otherwise(i.cast("double") * step + start),
+    edges = F.array(
+        first,
+        *[F.lit(float(i)) * step + start for i in range(1, n_bins)],
+        stop,
     )
-    grid = bounds.select(edges.alias("edges"))
-    binned = w.crossJoin(F.broadcast(grid)).withColumn(
-        "bin", F.size(F.filter("edges", lambda e: e < F.col("x")))
-    )
-    return binned
+    return w, bounds.select(edges).scalar()
+
+
+def _binned_logins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> tuple[DataFrame, F.Column]:
+    """Right-closed bin of every value: ``bin = #{edges < x}`` (1..n_bins)."""
+    w, edges = _bin_edges(tables, n_bins)
+    below = [F.when(F.element_at(edges, i + 1) < F.col("x"), 1).otherwise(0) for i in range(n_bins + 1)]
+    total = below[0]
+    for b in below[1:]:
+        total = total + b
+    return w.withColumn("bin", total), edges
+
+
+def _midpoint(edges: F.Column, bin_col: F.Column) -> F.Column:
+    return (F.element_at(edges, bin_col) + F.element_at(edges, bin_col + 1)) * F.lit(0.5)
 
 
 def engagement_bins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
-    binned = _binned_logins(tables, n_bins)
-    agg = binned.groupBy("bin", "edges").agg(
-        F.sum("y").alias("_churned"), F.count(F.lit(1)).alias("n"),
-    )
-    mid = (F.element_at("edges", F.col("bin")) + F.element_at("edges", F.col("bin") + 1)) * F.lit(0.5)
+    binned, edges = _binned_logins(tables, n_bins)
+    agg = binned.groupBy("bin").agg(F.sum("y").alias("_churned"), F.count(F.lit(1)).alias("n"))
     return agg.select(
         F.col("bin").cast("bigint").alias("bin"),
-        F.round(mid, 6).alias("midpoint"),
+        F.round(_midpoint(edges, F.col("bin")), 6).alias("midpoint"),
         round_ratio(F.col("_churned"), F.col("n"), 6, scale=100).alias("churn_pct"),
         "n",
     ).orderBy("bin")
@@ -181,12 +190,9 @@ def engagement_bins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> Dat
 
 def engagement_trend(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
     """Unweighted least-squares line of churn % on bin midpoint (degree-1 fit)."""
-    binned = _binned_logins(tables, n_bins)
-    per_bin = binned.groupBy("bin", "edges").agg(
-        (F.avg("y") * F.lit(100.0)).alias("pct")
-    ).select(
-        ((F.element_at("edges", F.col("bin")) + F.element_at("edges", F.col("bin") + 1)) * F.lit(0.5)).alias("mid"),
-        "pct",
+    binned, edges = _binned_logins(tables, n_bins)
+    per_bin = binned.groupBy("bin").agg((F.avg("y") * F.lit(100.0)).alias("pct")).select(
+        _midpoint(edges, F.col("bin")).alias("mid"), "pct",
     )
     return per_bin.agg(
         F.round(F.regr_slope("pct", "mid"), 6).alias("slope"),

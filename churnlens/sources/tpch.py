@@ -17,9 +17,9 @@ aggregate on ``l_orderkey``; lines of one order sit together in the files, so
 the map-side combine removes most rows), joined to orders on the unique order
 key, then aggregated per customer with map-side partial aggregation (a customer
 with a third of all orders becomes one partial row per task, not a hot
-partition).  ``as_of`` is a global one-row aggregate, the only broadcast of
-data-derived rows; nation/region/customer joins are left to the size-based
-broadcast threshold and AQE, which fall back to sort-merge when large.
+partition).  ``as_of`` is a scalar subquery (one value, computed once);
+nation/region/customer joins are left to the size-based broadcast threshold
+and AQE, which fall back to sort-merge when large.
 """
 
 from __future__ import annotations
@@ -112,9 +112,8 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean 17-column customer record (schema ``WIDE_SCHEMA``)."""
     facts = order_facts(spark, sf_dir)
-    as_of = read_table(spark, sf_dir, "orders").agg(
-        F.max(F.col("o_orderdate").cast("date")).alias("as_of")
-    )
+    # the data's as-of date: a scalar subquery, computed once and used like a literal
+    as_of = read_table(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -123,10 +122,8 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (
         facts.join(customer, facts["customer_id"] == customer["c_custkey"], "inner")
         .join(geo, F.col("c_nationkey") == geo["n_nationkey"], "left")
-        # one-row global aggregate: size bounded by construction
-        .crossJoin(F.broadcast(as_of))
     )
-    churned = F.datediff(F.col("as_of"), F.col("last_order_date")) > CHURN_GAP_DAYS
+    churned = F.datediff(as_of, F.col("last_order_date")) > CHURN_GAP_DAYS
     plan = _plan_name(F.col("c_mktsegment"))
     age = (F.lit(AGE_BASE) + F.pmod(F.col("customer_id"), F.lit(AGE_SPAN))).cast("int")
     minutes = F.coalesce(
@@ -142,7 +139,7 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         _plan_price(plan).alias("plan_price"),
         _payment_method(F.col("customer_id")).alias("payment_method"),
         F.col("join_date"),
-        F.floor(F.datediff(F.col("as_of"), F.col("join_date")) / F.lit(30)).cast("int").alias("tenure_months"),
+        F.floor(F.datediff(as_of, F.col("join_date")) / F.lit(30)).cast("int").alias("tenure_months"),
         F.coalesce(F.col("flag_lines"), F.lit(0)).cast(METRIC_TYPE).alias("avg_monthly_logins"),
         minutes.alias("avg_session_minutes"),
         F.col("support_tickets").cast("bigint").alias("support_tickets"),
@@ -151,7 +148,7 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(churned, F.col("last_order_date")).alias("cancellation_date"),
         F.when(churned, F.col("last_priority")).alias("cancellation_reason"),
         F.when(churned, F.datediff(F.col("last_order_date"), F.col("join_date")))
-        .otherwise(F.datediff(F.col("as_of"), F.col("join_date")))
+        .otherwise(F.datediff(as_of, F.col("join_date")))
         .cast("int").alias("customer_lifetime_days"),
     )
     return wide.select(*WIDE_COLUMNS)
