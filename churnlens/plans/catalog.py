@@ -96,8 +96,8 @@ CLEANING: dict[str, TableOp] = {
     "clean_date_repair": lambda t: cleaning.repair_dates(
         cleaning.parse_cancellation_date(cleaning.parse_join_date(_dedup(t)))
     ).select("customer_id", "join_date", "is_churned", "cancellation_date", "cancellation_reason"),
-    "clean_pipeline": lambda t: cleaning.clean(_dirty(t)),
-    "clean_pipeline_key_dedup": lambda t: cleaning.clean(_dirty(t), dedup="key"),
+    "clean_records": lambda t: cleaning.clean(_dirty(t)),
+    "clean_records_key_dedup": lambda t: cleaning.clean(_dirty(t), dedup="key"),
     "cleaning_report": lambda t: cleaning.cleaning_report(_dirty(t)),
 }
 

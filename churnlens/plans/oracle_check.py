@@ -1,4 +1,9 @@
-"""Order-insensitive comparison of a Spark result with a DuckDB result."""
+"""Order-insensitive comparison of a Spark result with its DuckDB oracle.
+
+Row count, column names, column types and a canonical form of every row
+(columns sorted by name, rows sorted) must all agree.  Used by the tests and
+by ``tools/compare_oracle.py``.
+"""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from tests.conftest import SF_ORACLE, SF_SMALL
-from tests.oracle_util import compare, duck
+from churnlens.plans.oracle_check import compare, duck
 
 QUERIES = entry_mod.queries()
 ORACLE = entry_mod.oracle_sql()
