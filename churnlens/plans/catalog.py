@@ -143,23 +143,35 @@ class TableCache:
     def __init__(self, materialize: bool = True):
         self._materialize = materialize
         self._lock = threading.RLock()
-        self._cache: dict[tuple[int, str, str], ChurnTables] = {}
+        self._cache: dict[tuple[str, str, str], ChurnTables] = {}
 
-    def _load(self, key: tuple[int, str, str], build: Callable[[], ChurnTables],
+    @staticmethod
+    def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
+        try:
+            app = spark.sparkContext.applicationId
+        except Exception:  # no JVM context available (e.g. a remote session)
+            app = str(id(spark))
+        return app, sf_dir.rstrip("/"), kind
+
+    def _load(self, spark: SparkSession, key: tuple[str, str, str], build: Callable[[], ChurnTables],
               unique_key: bool) -> ChurnTables:
         with self._lock:
-            if key not in self._cache:
+            cached = self._cache.get(key)
+            if cached is not None and cached.database and not spark.catalog.databaseExists(cached.database):
+                cached = None  # the catalog was reset: load again
+            if cached is None:
                 tables = build()
-                self._cache[key] = tables.materialize(bucketed=unique_key) if self._materialize else tables
-            return self._cache[key]
+                cached = tables.materialize(bucketed=unique_key) if self._materialize else tables
+                self._cache[key] = cached
+            return cached
 
     def get(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
-        key = (id(spark), sf_dir.rstrip("/"), "derived")
-        return self._load(key, lambda: ChurnTables.derive(spark, sf_dir), unique_key=True)
+        return self._load(spark, self._key(spark, sf_dir, "derived"),
+                          lambda: ChurnTables.derive(spark, sf_dir), unique_key=True)
 
     def get_cleaned(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
-        key = (id(spark), sf_dir.rstrip("/"), "cleaned")
-        return self._load(key, lambda: cleaned_tables(self.get(spark, sf_dir)), unique_key=False)
+        return self._load(spark, self._key(spark, sf_dir, "cleaned"),
+                          lambda: cleaned_tables(self.get(spark, sf_dir)), unique_key=False)
 
 
 def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
