@@ -4,6 +4,8 @@
       raw customer records -> cleaned records (CSV), plan lookup (CSV), cleaning report
   python -m churnlens analyze --input CLEAN_CSV_DIR --output DIR
       cleaned records -> summary, correlations, chart frames (Parquet) and findings report (text)
+  python -m churnlens load    --sf-dir TABLES_DIR   --output DIR
+      source tables -> the four relational tables (Parquet) with surrogate keys and load times
   python -m churnlens report  --sf-dir TABLES_DIR   --output DIR [--only NAME ...]
       source tables -> loaded tables -> every registered analytics query (Parquet) + findings
 
@@ -27,7 +29,7 @@ from churnlens.plans.catalog import ANALYTICS, TableCache, normalize_types
 from churnlens.plans.tables import ChurnTables
 from churnlens.session import build_session
 from churnlens.sources.files import read_customers_csv, write_csv, write_findings, write_plans_csv
-from churnlens.sources.warehouse import plans_frame
+from churnlens.sources.warehouse import plans_frame, with_surrogate_key
 
 # The analysis frames of the cleaned-records job (charts and report data).
 ANALYSIS_QUERIES = [
@@ -60,6 +62,20 @@ def run_analyze(spark: SparkSession, input_path: str, output: str) -> None:
     _write_results(tables, ANALYSIS_QUERIES, output, ANALYTICS)
 
 
+def run_load(spark: SparkSession, sf_dir: str, output: str) -> None:
+    """The relational tables as files, with their declared surrogate keys and load timestamps."""
+    tables = TableCache(materialize=True).get(spark, sf_dir)
+    now = F.current_timestamp()
+    out = {
+        "subscription_plans": tables.subscription_plans.withColumn("created_at", now),
+        "customers": tables.customers.withColumn("created_at", now),
+        "subscriptions": with_surrogate_key(tables.subscriptions, "subscription_id"),
+        "usage_metrics": with_surrogate_key(tables.usage_metrics, "metric_id", stamp="recorded_at"),
+    }
+    for name, df in out.items():
+        df.write.mode("overwrite").parquet(os.path.join(output, name))
+
+
 def run_report(spark: SparkSession, sf_dir: str, output: str, only: list[str] | None = None) -> None:
     tables = TableCache(materialize=True).get(spark, sf_dir)
     names = only or sorted(ANALYTICS)
@@ -79,6 +95,9 @@ def main(argv: list[str] | None = None) -> None:
     p_an = sub.add_parser("analyze")
     p_an.add_argument("--input", required=True)
     p_an.add_argument("--output", required=True)
+    p_load = sub.add_parser("load")
+    p_load.add_argument("--sf-dir", required=True)
+    p_load.add_argument("--output", required=True)
     p_rep = sub.add_parser("report")
     p_rep.add_argument("--sf-dir", required=True)
     p_rep.add_argument("--output", required=True)
@@ -90,6 +109,8 @@ def main(argv: list[str] | None = None) -> None:
         run_clean(spark, args.input, args.output, args.dedup)
     elif args.command == "analyze":
         run_analyze(spark, args.input, args.output)
+    elif args.command == "load":
+        run_load(spark, args.sf_dir, args.output)
     else:
         run_report(spark, args.sf_dir, args.output, args.only)
 

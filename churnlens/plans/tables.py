@@ -3,11 +3,12 @@
 ``ChurnTables.derive`` builds a lazy plan over the driver's tables.  The
 reference loads its data once and then runs many queries; ``materialize`` does
 the same: it writes the wide record once, bucketed and sorted by
-``customer_id``, then writes the three customer-grain tables from that
-bucketed copy (each scan task holds exactly one bucket, so no further shuffle)
-into a database below the shared checkpoint folder.  Joins between customers,
-subscriptions and usage then run as sort-merge joins without an exchange, and
-lineage is cut, so a lost executor only recomputes from the written files.
+``customer_id``, into a database below the shared checkpoint folder, and
+defines the relational tables (customers, subscriptions, usage_metrics) as
+catalog views over it.  They are column projections of one columnar table,
+so a query reads only its columns, joins between them are sort-merge joins on
+the shared bucketing without an exchange, and the load writes the data once.
+Lineage is cut: a lost executor recomputes from the written files.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from churnlens.schemas import CUSTOMER_COLUMNS, USAGE_COLUMNS
 from churnlens.session import checkpoint_root
 from churnlens.sources.tpch import derive_wide
 from churnlens.sources.warehouse import (
@@ -25,7 +26,6 @@ from churnlens.sources.warehouse import (
     load_subscriptions,
     load_usage_metrics,
     plans_frame,
-    with_surrogate_key,
 )
 
 
@@ -80,7 +80,7 @@ def _write_plain(df: DataFrame, table: str, buckets: int, shuffle: bool) -> None
 
 
 def materialize(tables: ChurnTables, buckets: int | None = None, bucketed: bool = True) -> ChurnTables:
-    """Write the bundle once and return a bundle over the written tables.
+    """Write the bundle once and return a bundle over the written table and its views.
 
     ``bucketed`` is for bundles whose ``customer_id`` is unique by construction
     (the derived tables: it is the grouping key of the derivation).  Records
@@ -90,29 +90,36 @@ def materialize(tables: ChurnTables, buckets: int | None = None, bucketed: bool
     """
     spark = tables.wide.sparkSession
     n = _bucket_count(spark, buckets)
-    write = _write_bucketed if bucketed else _write_plain
     root = checkpoint_root(spark)
     database = f"churnlens_{uuid.uuid4().hex[:12]}"
     location = f"{root.rstrip('/')}/{database}.db"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
 
-    write(tables.wide, f"{database}.wide", n, shuffle=True)
-    wide = spark.table(f"{database}.wide")
-    loaded = ChurnTables.from_wide(wide)
-    # declared surrogate keys and load timestamps (not part of any compared output)
-    write(loaded.customers.withColumn("created_at", F.current_timestamp()),
-          f"{database}.customers", n, shuffle=False)
-    write(with_surrogate_key(loaded.subscriptions, "subscription_id"),
-          f"{database}.subscriptions", n, shuffle=False)
-    write(with_surrogate_key(loaded.usage_metrics, "metric_id", stamp="recorded_at"),
-          f"{database}.usage_metrics", n, shuffle=False)
-    loaded.subscription_plans.withColumn("created_at", F.current_timestamp()).write.mode("overwrite") \
-        .format("parquet").saveAsTable(f"{database}.subscription_plans")
+    (_write_bucketed if bucketed else _write_plain)(tables.wide, f"{database}.wide", n, shuffle=True)
+    tables.subscription_plans.write.mode("overwrite").format("parquet") \
+        .saveAsTable(f"{database}.subscription_plans")
+    _create_views(spark, database)
     return ChurnTables(
-        wide=wide,
+        wide=spark.table(f"{database}.wide"),
         customers=spark.table(f"{database}.customers"),
         subscriptions=spark.table(f"{database}.subscriptions"),
         subscription_plans=spark.table(f"{database}.subscription_plans"),
         usage_metrics=spark.table(f"{database}.usage_metrics"),
         database=database,
     )
+
+
+def _create_views(spark: SparkSession, database: str) -> None:
+    """The relational schema as views over the wide table (same rows as S3-S5)."""
+    wide = f"{database}.wide"
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.customers AS "
+              f"SELECT {', '.join(CUSTOMER_COLUMNS)} FROM {wide}")
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.usage_metrics AS "
+              f"SELECT {', '.join(USAGE_COLUMNS)} FROM {wide}")
+    # the plan lookup is the seeded three-row table: broadcast by hint
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {database}.subscriptions AS "
+        f"SELECT /*+ BROADCAST(p) */ w.customer_id, p.plan_id, w.plan_name, w.plan_price, "
+        f"w.join_date AS start_date, w.cancellation_date AS end_date, NOT w.is_churned AS is_active "
+        f"FROM {wide} w JOIN {database}.subscription_plans p ON w.plan_name = p.plan_name"
+    )

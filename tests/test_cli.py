@@ -42,3 +42,14 @@ def test_report_from_tables(spark):
     row = spark.read.parquet(os.path.join(out, "overall_churn")).first()
     assert (row.total_customers, row.total_churned) == (150, 49)
     assert spark.read.parquet(os.path.join(out, "high_risk_customers")).count() == 100
+
+
+def test_load_exports_relational_tables(spark):
+    out = tempfile.mkdtemp(prefix="churnlens-cli-")
+    main(["load", "--sf-dir", SF_SMALL, "--output", out])
+    subs = spark.read.parquet(os.path.join(out, "subscriptions"))
+    assert subs.count() == 150
+    assert subs.select("subscription_id").distinct().count() == 150
+    usage = spark.read.parquet(os.path.join(out, "usage_metrics"))
+    assert {"metric_id", "recorded_at"} <= set(usage.columns)
+    assert spark.read.parquet(os.path.join(out, "subscription_plans")).count() == 3
