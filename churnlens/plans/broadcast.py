@@ -1,0 +1,21 @@
+"""Broadcast a join side only when its size is proven small.
+
+A hint is given only after a bounded check: ``limit(max_rows + 1).count()``
+stops as soon as it has seen more rows than the bound, so the check costs at
+most ``max_rows + 1`` rows of reading even for a huge input.  Above the bound
+no hint is given and Catalyst / AQE choose the join (sort-merge, with skew
+splitting), so an unexpectedly large dimension can never be broadcast.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
