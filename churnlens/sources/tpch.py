@@ -30,6 +30,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.functions.dates import months_between_div30
 from churnlens.functions.tiers import age_group
 from churnlens.plans.broadcast import broadcast_if_small
 from churnlens.schemas import METRIC_TYPE, PAYMENT_METHODS, PLANS, PRICE_TYPE, WIDE_COLUMNS
@@ -143,7 +144,7 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         _plan_price(plan).alias("plan_price"),
         _payment_method(F.col("customer_id")).alias("payment_method"),
         F.col("join_date"),
-        F.floor(F.datediff(as_of, F.col("join_date")) / F.lit(30)).cast("int").alias("tenure_months"),
+        months_between_div30(as_of, "join_date").alias("tenure_months"),
         F.coalesce(F.col("flag_lines"), F.lit(0)).cast(METRIC_TYPE).alias("avg_monthly_logins"),
         minutes.alias("avg_session_minutes"),
         F.col("support_tickets").cast("bigint").alias("support_tickets"),

@@ -20,6 +20,24 @@ from churnlens.schemas import (
 )
 
 
+# Declared column defaults of the relational schema (value, type); a column
+# omitted from the loaded input takes its default, as an INSERT that omits it would.
+COLUMN_DEFAULTS = {
+    "customers": {"is_churned": (False, "boolean")},
+    "subscriptions": {"is_active": (True, "boolean")},
+    "usage_metrics": {"support_tickets": (0, "bigint"), "billing_issues_count": (0, "bigint")},
+}
+
+
+def with_defaults(df: DataFrame, table: str) -> DataFrame:
+    """Add every defaulted column of ``table`` that ``df`` lacks, with its default value."""
+    out = df
+    for column, (value, dtype) in COLUMN_DEFAULTS.get(table, {}).items():
+        if column not in out.columns:
+            out = out.withColumn(column, F.lit(value).cast(dtype))
+    return out
+
+
 def plans_frame(spark: SparkSession) -> DataFrame:
     """The seeded plan lookup, ``plan_id`` 1..3 in seed order."""
     rows = [(i, name, price, features) for i, (name, price, features) in enumerate(PLANS, start=1)]
@@ -27,8 +45,8 @@ def plans_frame(spark: SparkSession) -> DataFrame:
 
 
 def load_customers(wide: DataFrame) -> DataFrame:
-    """S3: customer projection of the wide record."""
-    return wide.select(*CUSTOMER_COLUMNS)
+    """S3: customer projection of the wide record (omitted defaulted columns filled)."""
+    return with_defaults(wide, "customers").select(*CUSTOMER_COLUMNS)
 
 
 def load_subscriptions(wide: DataFrame, plans: DataFrame) -> DataFrame:
@@ -47,8 +65,8 @@ def load_subscriptions(wide: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def load_usage_metrics(wide: DataFrame) -> DataFrame:
-    """Usage projection of the wide record."""
-    return wide.select(*USAGE_COLUMNS)
+    """Usage projection of the wide record (omitted defaulted columns filled)."""
+    return with_defaults(wide, "usage_metrics").select(*USAGE_COLUMNS)
 
 
 def with_surrogate_key(df: DataFrame, key: str, stamp: str | None = None) -> DataFrame:

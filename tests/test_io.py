@@ -43,3 +43,11 @@ def test_plans_and_findings_sinks(spark, small_tables):
 def test_list_tables(spark, small_tables):
     names = [r.table_name for r in list_tables(spark, small_tables.database).collect()]
     assert names == ["customers", "subscription_plans", "subscriptions", "usage_metrics", "wide"]
+
+
+def test_declared_defaults_fill_omitted_columns(small_tables):
+    from churnlens.sources.warehouse import load_customers, load_usage_metrics
+    usage = load_usage_metrics(small_tables.wide.drop("support_tickets", "billing_issues_count"))
+    assert usage.filter("support_tickets = 0 and billing_issues_count = 0").count() == usage.count()
+    customers = load_customers(small_tables.wide.drop("is_churned"))
+    assert customers.filter("is_churned = false").count() == customers.count()
