@@ -1,6 +1,8 @@
 """Benchmark: load the derived tables once, then run every registered query.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_EVENT_LOG_DIR (optional: write Spark's event log there, for stage and task
+times per query; give a fresh scratch folder).
 Each query is executed in full through the ``noop`` sink (no rows are pulled
 to the driver).  A warm-up pass precedes two timed passes (JIT compilation is
 not billed to the first query); each query reports the faster of its two
@@ -29,11 +31,15 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if event_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
     spark = build_session(
         app_name="churnlens-bench",
         master=f"local[{cpus}]",
         shuffle_partitions=cpus,
-        extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")},
+        extra_conf=extra,
     )
     timings: dict[str, float] = {}
 
@@ -57,6 +63,7 @@ def main() -> None:
         _run(fn(spark, sf_dir))
     for _ in range(2):
         for name, fn in qs.items():
+            spark.sparkContext.setJobGroup(name, name)  # labels the jobs in the event log
             t0 = time.perf_counter()
             _run(fn(spark, sf_dir))
             elapsed = time.perf_counter() - t0
