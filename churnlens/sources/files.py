@@ -63,15 +63,26 @@ def write_plans_csv(plans: DataFrame, path: str) -> None:
 
 
 def findings_lines(findings: DataFrame) -> DataFrame:
-    """The findings frame rendered as report lines, one per row, in section order."""
+    """The findings frame rendered as report lines, in section order.
+
+    The first line states the generation date and the number of customers
+    (``generated <date> customers <n>``, thousands separated); then one
+    tab-separated ``section ord item value`` line per finding.
+    """
     sections = {"key_metrics": 1, "top_drivers": 2, "churn_by_plan": 3, "churn_by_region": 4}
     order = None
     for name, i in sections.items():
         order = F.when(F.col("section") == name, i) if order is None else order.when(F.col("section") == name, i)
-    return findings.select(
-        order.otherwise(len(sections) + 1).alias("_s"), "ord",
+    body = findings.select(
+        order.otherwise(len(sections) + 1).alias("_s"), F.col("ord").cast("bigint").alias("ord"),
         F.format_string("%s\t%d\t%s\t%s", "section", "ord", "item", F.col("value").cast("string")).alias("value"),
-    ).orderBy("_s", "ord").select("value")
+    )
+    header = findings.filter((F.col("section") == "key_metrics") & (F.col("item") == "total_customers")).select(
+        F.lit(0).alias("_s"), F.lit(0).cast("bigint").alias("ord"),
+        F.format_string("generated\t%s\tcustomers\t%s", F.date_format(F.current_date(), "yyyy-MM-dd"),
+                        F.format_number(F.col("value"), 0)).alias("value"),
+    )
+    return header.unionByName(body).orderBy("_s", "ord").select("value")
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -36,8 +36,9 @@ def test_plans_and_findings_sinks(spark, small_tables):
     files = glob.glob(os.path.join(root, "report", "part-*"))
     assert len(files) == 1
     lines = open(files[0]).read().splitlines()
-    assert lines[0].startswith("key_metrics\t1\ttotal_customers")
-    assert len(lines) == findings(small_tables).count()
+    assert lines[0].startswith("generated\t") and lines[0].endswith("customers\t150")
+    assert lines[1].startswith("key_metrics\t1\ttotal_customers")
+    assert len(lines) == findings(small_tables).count() + 1
 
 
 def test_list_tables(spark, small_tables):
