@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.functions.numeric import exact_ratio, flag, rate_pct
+from churnlens.functions.numeric import flag, rate_pct
 from churnlens.plans.tables import ChurnTables
 
 
@@ -26,9 +26,13 @@ def churn_aggs(
     ]
 
 
-def exact_rate(churned: str | Column, total: str | Column) -> Column:
-    """Unrounded churn fraction as exact DECIMAL (for ranking and ordering)."""
-    return exact_ratio(churned, total)
+def churn_by(df: DataFrame, *keys: str | Column, count_col: str | None = None, **names: str) -> DataFrame:
+    """The shared segment aggregate: total, churned and churn rate % per key combination.
+
+    One grouped aggregate with map-side partial aggregation; ``names`` renames
+    the output columns (``total_name``, ``churned_name``, ``rate_name``).
+    """
+    return df.groupBy(*keys).agg(*churn_aggs(count_col=count_col, **names))
 
 
 def customer_plan(tables: ChurnTables, active: bool | None = None) -> DataFrame:

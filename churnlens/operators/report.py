@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.numeric import flag, round_ratio, safe_corr
+from churnlens.functions.numeric import exact_ratio, flag, round_ratio, safe_corr
 from churnlens.plans.tables import ChurnTables
 from churnlens.schemas import CORRELATION_FEATURES
 
@@ -63,10 +63,10 @@ def top_drivers(tables: ChurnTables, k: int = 3) -> DataFrame:
 
 def _segment(tables: ChurnTables, key: str, section: str, descending: bool) -> DataFrame:
     w = tables.wide.filter(F.col(key).isNotNull())
-    churned, n = F.sum(flag("is_churned")), F.count(F.lit(1))
+    churned, n = F.sum(flag("is_churned")), F.count("is_churned")
     agg = w.groupBy(key).agg(
         round_ratio(churned, n, 1, scale=100).alias("value"),
-        (churned * F.lit(1.0) / n).alias("_r"),
+        exact_ratio(churned, n).alias("_r"),
     )
     order = (
         Window.orderBy(F.col("_r").desc(), F.col(key)) if descending else Window.orderBy(F.col(key))

@@ -25,7 +25,7 @@ from churnlens.functions.tiers import (
     tenure_bucket,
     tenure_bucket_order,
 )
-from churnlens.operators.common import churn_aggs, customer_plan, customer_usage
+from churnlens.operators.common import churn_aggs, churn_by, customer_plan, customer_usage
 from churnlens.plans.tables import ChurnTables
 
 
@@ -43,18 +43,12 @@ def churn_by_region_ranked(tables: ChurnTables) -> DataFrame:
 
 
 def churn_by_age_group(tables: ChurnTables) -> DataFrame:
-    return (
-        tables.customers.groupBy("age_group").agg(*churn_aggs())
-        .orderBy(F.col("age_group").asc_nulls_last())
-    )
+    return churn_by(tables.customers, "age_group").orderBy(F.col("age_group").asc_nulls_last())
 
 
 def churn_by_tenure_bucket(tables: ChurnTables) -> DataFrame:
     """Left-closed tenure buckets (<3, <6, <12, <24, else; NULL -> '2+ years')."""
-    agg = (
-        tables.customers.withColumn("tenure_bucket", tenure_bucket("tenure_months"))
-        .groupBy("tenure_bucket").agg(*churn_aggs())
-    )
+    agg = churn_by(tables.customers, tenure_bucket("tenure_months").alias("tenure_bucket"))
     return agg.orderBy(tenure_bucket_order("tenure_bucket")).select(
         "tenure_bucket", "total_customers", "churned", "churn_rate_pct"
     )
@@ -62,10 +56,8 @@ def churn_by_tenure_bucket(tables: ChurnTables) -> DataFrame:
 
 def churn_by_region_plan(tables: ChurnTables) -> DataFrame:
     """Long-form region x plan churn; counts are joined rows, as in the SQL."""
-    joined = customer_plan(tables)
     return (
-        joined.groupBy("region", "plan_name")
-        .agg(*churn_aggs(count_col="customer_id", churned_name="churned_count"))
+        churn_by(customer_plan(tables), "region", "plan_name", count_col="customer_id", churned_name="churned_count")
         .orderBy(F.col("churn_rate_pct").desc_nulls_first(), "region", "plan_name")
     )
 
@@ -81,10 +73,9 @@ def churn_by_login_tier(tables: ChurnTables) -> DataFrame:
 
 
 def churn_by_billing_tier(tables: ChurnTables) -> DataFrame:
-    joined = customer_usage(tables).withColumn("billing_issue_tier", billing_tier("billing_issues_count"))
+    tier = billing_tier("billing_issues_count").alias("billing_issue_tier")
     return (
-        joined.groupBy("billing_issue_tier")
-        .agg(*churn_aggs(count_col="customer_id"))
+        churn_by(customer_usage(tables), tier, count_col="customer_id")
         .orderBy(F.col("churn_rate_pct").desc_nulls_first(), "billing_issue_tier")
     )
 
@@ -92,10 +83,11 @@ def churn_by_billing_tier(tables: ChurnTables) -> DataFrame:
 # -- chart frames (wide record, right-closed tiers, NULL groups dropped) -----
 
 def _tier_rates(df: DataFrame, tier_col: str) -> DataFrame:
+    """Group mean of the churn flag in percent (a NULL flag is skipped, as a mean skips it)."""
     return (
         df.filter(F.col(tier_col).isNotNull())
         .groupBy(tier_col)
-        .agg(round_ratio(F.sum(flag("is_churned")), F.count(F.lit(1)), 6, scale=100).alias("churn_pct"))
+        .agg(round_ratio(F.sum(flag("is_churned")), F.count("is_churned"), 6, scale=100).alias("churn_pct"))
     )
 
 
@@ -141,7 +133,7 @@ def plan_churn_stats(tables: ChurnTables) -> DataFrame:
         w.groupBy("plan_name")
         .agg(
             round_ratio(churned, n, 6).alias("churn_rate"),
-            F.count(F.lit(1)).alias("total"),
+            n.alias("total"),
             round_ratio(churned, n, 6, scale=100).alias("churn_pct"),
         )
         .orderBy("plan_name")
