@@ -58,9 +58,21 @@ class ChurnTables:
         return materialize(self, buckets, bucketed)
 
 
+BUCKETS_CONF = "spark.churnlens.buckets"
+
+
 def _bucket_count(spark: SparkSession, buckets: int | None) -> int:
+    """Explicit argument, else ``spark.churnlens.buckets``, else the shuffle-partition count.
+
+    Size it so one bucket file is a few hundred MB: about the wide table's
+    bytes / 256 MB (the wide record is ~150 bytes per customer before
+    compression).
+    """
     if buckets:
         return buckets
+    configured = spark.conf.get(BUCKETS_CONF, None)
+    if configured:
+        return max(1, int(configured))
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 

@@ -39,3 +39,14 @@ def test_tables_live_below_the_checkpoint_root(spark, small_tables):
     root = checkpoint_root(spark)
     location = spark.sql(f"DESCRIBE DATABASE {small_tables.database}").filter("info_name = 'Location'").first()
     assert location.info_value.replace("file:", "").startswith(root.replace("file:", ""))
+
+
+def test_bucket_count_setting(spark):
+    from churnlens.plans.tables import BUCKETS_CONF, _bucket_count
+    spark.conf.set(BUCKETS_CONF, "13")
+    try:
+        assert _bucket_count(spark, None) == 13
+        assert _bucket_count(spark, 5) == 5
+    finally:
+        spark.conf.unset(BUCKETS_CONF)
+    assert _bucket_count(spark, None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
