@@ -7,9 +7,14 @@ normalisation steps.  Each micro-batch is written by ``foreachBatch`` into its
 own ``batch_id=<n>`` folder with overwrite, so a replayed batch after a failure
 rewrites the same output instead of duplicating it (exactly-once output).
 
-State grows with the number of distinct rows; on a cluster use the RocksDB
-state store provider (``spark.sql.streaming.stateStore.providerClass``) so it
-spills to local disk and is checkpointed to the shared checkpoint folder.
+By default the dedup state grows with the number of distinct rows (exact
+dedup over all time); on a cluster use the RocksDB state store provider
+(``spark.sql.streaming.stateStore.providerClass``) so it spills to local disk
+and is checkpointed to the shared checkpoint folder.  With
+``dedup_retention`` (e.g. ``"7 days"``) the state is bounded instead: rows get
+their ingest time, the watermark trails it by the retention, and
+``dropDuplicatesWithinWatermark`` drops a re-delivered row only if it arrives
+within that window of its first copy.
 """
 
 from __future__ import annotations
@@ -41,10 +46,20 @@ def start_clean_stream(
     checkpoint_dir: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    dedup_retention: str | None = None,
 ) -> StreamingQuery:
     """Start the cleaning stream; returns the running query."""
     checkpoint = checkpoint_dir or scratch_path(spark, "clean-stream")
-    deduped = read_raw_stream(spark, source_dir, max_files_per_trigger).dropDuplicates()
+    raw = read_raw_stream(spark, source_dir, max_files_per_trigger)
+    if dedup_retention:
+        deduped = (
+            raw.withColumn("_ingested_at", F.current_timestamp())
+            .withWatermark("_ingested_at", dedup_retention)
+            .dropDuplicatesWithinWatermark(WIDE_COLUMNS)
+            .drop("_ingested_at")
+        )
+    else:
+        deduped = raw.dropDuplicates()
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         cleaned = normalise(batch, strict_dates=False).select(*WIDE_COLUMNS)

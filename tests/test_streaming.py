@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from churnlens.operators.cleaning import clean
@@ -12,7 +14,8 @@ from churnlens.sources.dirty import make_dirty
 from churnlens.streaming.ingest import read_clean_output, start_clean_stream
 
 
-def test_stream_matches_batch(spark, small_tables):
+@pytest.mark.parametrize("retention", [None, "7 days"])
+def test_stream_matches_batch(spark, small_tables, retention):
     root = tempfile.mkdtemp(prefix="churnlens-stream-")
     src, sink = os.path.join(root, "in"), os.path.join(root, "out")
     dirty = make_dirty(small_tables.wide).withColumn("is_churned", F.col("is_churned").cast("int"))
@@ -26,7 +29,8 @@ def test_stream_matches_batch(spark, small_tables):
     os.makedirs(flat)
     for i, f in enumerate(sorted(files)):
         os.link(f, os.path.join(flat, f"part{i}.csv"))
-    q = start_clean_stream(spark, flat, sink, checkpoint_dir=os.path.join(root, "ckpt"), max_files_per_trigger=1)
+    q = start_clean_stream(spark, flat, sink, checkpoint_dir=os.path.join(root, "ckpt"), max_files_per_trigger=1,
+                           dedup_retention=retention)
     q.awaitTermination(timeout=180)
     streamed = read_clean_output(spark, sink)
     batch = clean(make_dirty(small_tables.wide))
