@@ -19,7 +19,7 @@ from churnlens.schemas import NUMERIC_WIDTHS, SMALLINT_COLUMNS, VARCHAR_WIDTHS
 
 NOT_NULL = {
     "subscription_plans": ["plan_name", "price"],
-    "customers": ["join_date", "is_churned"],
+    "customers": ["customer_id", "join_date", "is_churned"],
     "subscriptions": ["customer_id", "plan_id", "plan_price", "start_date", "is_active"],
     "usage_metrics": ["customer_id"],
 }
@@ -77,7 +77,6 @@ def check_not_null(t: ChurnTables) -> DataFrame:
     tables = _tables(t)
     for table, cols in NOT_NULL.items():
         frames.append(_counts(tables[table], {f"{table}.{c} NOT NULL": F.col(c).isNull() for c in cols}))
-    frames.append(_counts(t.customers, {"customers.customer_id NOT NULL": F.col("customer_id").isNull()}))
     return _union(frames)
 
 
