@@ -59,3 +59,15 @@ def test_filters_and_columns_pushed_to_scan(small_tables):
     text = full(risk.cancellation_reasons(small_tables))
     assert "PushedFilters: [IsNotNull(is_churned), EqualTo(is_churned,true), IsNotNull(cancellation_reason)]" in text
     assert "ReadSchema: struct<is_churned:boolean,cancellation_reason:string>" in text
+
+
+def test_no_cross_join_in_any_query(spark, cache):
+    """No CartesianProduct or nested-loop join, also with the size-based broadcast off."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, fn in registry(cache).items():
+            text = plan(fn(spark, SF_SMALL))
+            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
