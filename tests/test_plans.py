@@ -71,3 +71,40 @@ def test_no_cross_join_in_any_query(spark, cache):
             assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _children(node):
+    seq = node.children()
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _single_partition_inputs(node, found):
+    """Collect the child node of every shuffle into a single partition."""
+    if node.getClass().getSimpleName() == "ShuffleExchangeExec" and \
+            node.outputPartitioning().getClass().getSimpleName().startswith("SinglePartition"):
+        found.append(node.child())
+    for child in _children(node):
+        _single_partition_inputs(child, found)
+    return found
+
+
+def _strip(node):
+    # look through row/column transitions and codegen wrappers to the operator
+    while node.getClass().getSimpleName() in ("WholeStageCodegenExec", "InputAdapter", "ProjectExec",
+                                              "FilterExec", "ColumnarToRowExec"):
+        node = node.child()
+    return node.getClass().getSimpleName()
+
+
+def test_single_partition_shuffles_only_carry_aggregates(spark, cache):
+    """Nothing unbounded goes through one task: a single-partition shuffle reads aggregated rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, fn in registry(cache).items():
+            plan_node = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan()
+            for child in _single_partition_inputs(plan_node, []):
+                kind = _strip(child)
+                assert kind in ("HashAggregateExec", "SortAggregateExec", "ObjectHashAggregateExec",
+                                "GenerateExec", "WindowExec"), f"{name}: single partition over {kind}"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
