@@ -179,7 +179,8 @@ def _midpoint(edges: F.Column, bin_col: F.Column) -> F.Column:
 
 def engagement_bins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
     binned, edges = _binned_logins(tables, n_bins)
-    agg = binned.groupBy("bin").agg(F.sum("y").alias("_churned"), F.count(F.lit(1)).alias("n"))
+    # mean and count of the flag per bin (a NULL flag is skipped by both)
+    agg = binned.groupBy("bin").agg(F.sum("y").alias("_churned"), F.count("y").alias("n"))
     return agg.select(
         F.col("bin").cast("bigint").alias("bin"),
         F.round(_midpoint(edges, F.col("bin")), 6).alias("midpoint"),
