@@ -1,10 +1,14 @@
 """Exact rounding and guarded statistics as Column expressions.
 
 Counts and sums of 0/1 flags are integers, so a rate ``sum * 100 / count`` is a
-rational number.  Computing it in DECIMAL keeps it exact (Spark widens the
-quotient to 14+ fractional digits), so ROUND half-up gives the same digits the
-SQL standard's exact NUMERIC arithmetic gives, and ties are never decided by a
-binary floating-point representation.  Every output is cast to DOUBLE last.
+rational number.  Computing it in DECIMAL keeps it exact, so ROUND half-up
+gives the same digits the SQL standard's exact NUMERIC arithmetic gives, and
+ties are never decided by a binary floating-point representation.  The
+quotient is formed from narrow operands (DECIMAL(20,0) counts, DECIMAL(24,4)
+sums) *before* any scaling, so Spark keeps 18 fractional digits (14 after a
+x100 scaling); a rounded rate or mean is then exact for groups of up to about
+10^12 rows.  Every
+output is cast to DOUBLE last.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _COUNT_DECIMAL = "decimal(20,0)"
-# numerators may carry up to four decimals (sums of 1-2 decimal metrics)
+# sums of metrics with up to four decimals
 _SUM_DECIMAL = "decimal(24,4)"
 
 
@@ -27,10 +31,13 @@ def flag(c: Column | str) -> Column:
 
 
 def exact_ratio(numerator: Column | str, denominator: Column | str, scale: int = 1) -> Column:
-    """``numerator * scale / denominator`` as an exact DECIMAL (NULL if denominator is 0)."""
-    num = _col(numerator).cast(_SUM_DECIMAL) * F.lit(scale).cast("decimal(5,0)")
-    den = _col(denominator).cast(_COUNT_DECIMAL)
-    return F.try_divide(num, den)
+    """``numerator * scale / denominator`` as an exact DECIMAL (NULL if denominator is 0).
+
+    ``numerator`` may carry up to four decimals (a sum of a one- or
+    two-decimal metric); ``denominator`` is a count.
+    """
+    quotient = F.try_divide(_col(numerator).cast(_SUM_DECIMAL), _col(denominator).cast(_COUNT_DECIMAL))
+    return quotient if scale == 1 else quotient * F.lit(scale).cast(f"decimal({len(str(scale))},0)")
 
 
 def round_ratio(numerator: Column | str, denominator: Column | str, digits: int, scale: int = 1) -> Column:
@@ -46,7 +53,7 @@ def rate_pct(churned: Column | str, total: Column | str, digits: int = 2) -> Col
 def exact_mean(c: Column | str, digits: int) -> Column:
     """Rounded mean of a numeric column (NULLs skipped) computed as exact sum / count."""
     col = _col(c)
-    total = F.sum(col.cast("decimal(28,4)"))
+    total = F.sum(col.cast(_SUM_DECIMAL)).cast(_SUM_DECIMAL)
     n = F.count(col).cast(_COUNT_DECIMAL)
     return F.round(F.try_divide(total, n), digits).cast("double")
 
