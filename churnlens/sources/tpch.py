@@ -132,7 +132,9 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _plan_name(F.col("c_mktsegment"))
     age = (F.lit(AGE_BASE) + F.pmod(F.col("customer_id"), F.lit(AGE_SPAN))).cast("int")
     minutes = F.coalesce(
-        F.round(F.try_divide(F.col("qty_sum"), F.col("qty_n").cast("decimal(20,0)")), 1),
+        # narrow operands keep 16 fractional digits in the quotient: exact rounding
+        # even for a customer holding a third of all lines
+        F.round(F.try_divide(F.col("qty_sum").cast("decimal(24,2)"), F.col("qty_n").cast("decimal(20,0)")), 1),
         F.lit(0),
     ).cast(METRIC_TYPE)
     wide = joined.select(
