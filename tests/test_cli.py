@@ -53,3 +53,14 @@ def test_load_exports_relational_tables(spark):
     usage = spark.read.parquet(os.path.join(out, "usage_metrics"))
     assert {"metric_id", "recorded_at"} <= set(usage.columns)
     assert spark.read.parquet(os.path.join(out, "subscription_plans")).count() == 3
+
+
+def test_module_entry_point_lists_commands():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-m", "churnlens", "--help"], cwd=root,
+                         capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0
+    for command in ("clean", "analyze", "load", "report"):
+        assert command in out.stdout
