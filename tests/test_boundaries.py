@@ -292,3 +292,16 @@ def test_empty_input(spark, name):
     rows = df.collect()
     assert len(df.columns) > 0
     assert len(rows) <= 49
+
+
+def test_empty_input_cleaning_and_constraints(spark):
+    raw = spark.createDataFrame([], RAW_SCHEMA)
+    assert cleaning.clean(raw).count() == 0
+    assert cleaning.clean(raw, dedup="key").count() == 0
+    report = {r.metric: r.value for r in cleaning.cleaning_report(raw).collect()}
+    assert report["rows_in"] == 0 and report["rows_out"] == 0
+    empty = ChurnTables.from_wide(spark.createDataFrame([], WIDE_SCHEMA))
+    for check in (constraints.check_primary_key, constraints.check_not_null, constraints.check_range,
+                  constraints.check_date_order, constraints.check_width, constraints.check_foreign_key):
+        rows = check(empty).collect()
+        assert rows and all(r.violations == 0 for r in rows), check.__name__
