@@ -10,7 +10,9 @@ Sampling: within a source each document is expected ``target / size of the
 source`` times.  Documents lie in order of size (an implicit stratification:
 the taken words stay within about one document of the target), the expected
 copies are prefix-summed, one random offset a source is added, and a document
-is emitted once for each integer boundary that its step crosses.
+is emitted once for each integer boundary that its step crosses.  The offset
+is drawn as the best of a grid: ``OFFSETS`` offsets evenly apart from a random
+first one, of which that with the taken words nearest the target is used.
 
 Prefix sums are exact integers in units of 1e-9 copies; all documents of a
 source expect the same number, so the sum is the document's position times
@@ -25,7 +27,7 @@ last.  Equal seeds and rows give equal mixes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +37,7 @@ UNIT = 1_000_000_000
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+OFFSETS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -104,8 +107,20 @@ def mix(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str
     plan = scratch.publish(plan.withColumnRenamed("source", "plan_source"), "mix_plan")
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     passed = (((F.col("position") - F.col("begin")) % UNIT) * (F.col("step") % UNIT) + F.col("offset")) % UNIT
-    copies = F.expr(f"(passed + step) div {UNIT}")
-    out = joined.withColumn("passed", passed).withColumn("copies", copies)
+    stepped = joined.withColumn("passed", passed)
+
+    def copies(k: Column) -> Column:
+        start = (F.col("passed") + k * (UNIT // OFFSETS)) % UNIT + F.col("step")
+        return ((start - start % UNIT) / UNIT).cast("bigint")
+
+    taken = stepped.groupBy("plan_source").agg(
+        F.first("target").alias("goal"),
+        *[F.sum(copies(F.lit(k)) * F.col("size")).alias(f"taken_{k}") for k in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(
+        F.abs(F.col(f"taken_{k}") - F.col("goal")).alias("miss"), F.lit(k).cast("bigint").alias("k"))
+        for k in range(OFFSETS)]))["k"]
+    chosen = scratch.publish(taken.select(F.col("plan_source").alias("best_source"), best.alias("best")), "mix_offsets")
+    out = stepped.join(chosen, F.col("source").eqNullSafe(F.col("best_source"))).withColumn("copies", copies(F.col("best")))
     return out.select("row.*", F.struct(
         F.col("size"), F.col("source_size"), F.col("target"), F.col("copies"),
         (F.col("copies") * F.col("size")).alias("taken")).alias(name))

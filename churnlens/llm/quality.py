@@ -37,10 +37,10 @@ from churnlens.llm.common import Scratch, fresh
 
 TOP_WORDS = 64
 MIN_WORDS = 60
-MIN_CHARS = 200
+MIN_CHARS = 400
 MIN_REFERENCE = 2000
-MAX_CLASS = 0.25
-MAX_WORD = 0.65
+MAX_CLASS = 0.3
+MAX_WORD = 0.5
 FLUSH = 200_000
 SPAN = 5
 

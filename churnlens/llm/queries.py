@@ -78,8 +78,8 @@ def streamed_events(rows: DataFrame, delta_chars: int = 200) -> DataFrame:
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / delta_chars).cast("int")),
         lambda k: F.substring(text, k * delta_chars + 1, F.lit(delta_chars)))
-    return rows.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("message"),
-                       F.posexplode(pieces).alias("piece", "text")) \
+    return rows.withColumn("message", F.monotonically_increasing_id()) \
+        .select("conv_id", "turn", "role", "message", F.posexplode(pieces).alias("piece", "text")) \
         .select("conv_id", F.col("piece").cast("bigint").alias("seq"), "turn", "role", "message",
                 F.lit("delta").alias("kind"), "text")
 
