@@ -228,7 +228,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     placed = sketch.filter("id IS NOT NULL AND digest IS NOT NULL")
 
     # equal sets: one node for each distinct set, its smallest id (a repeated id may hold several sets)
-    firsts = placed.groupBy("digest").agg(F.min("id").alias("rep"))
+    firsts = scratch.table(placed.groupBy("digest").agg(
+        F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last"), "firsts")
     copies = placed.select("id", "digest").distinct().join(firsts, "digest").filter("id <> rep") \
         .select(F.col("id").alias("a"), F.col("rep").alias("b"))
     nodes = placed.groupBy("digest").agg(F.min(F.struct("id", "n", "sig")).alias("s")) \
@@ -239,6 +240,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
         _trees, "tree byte, region long, node long"), "forest")
     regions = forest.groupBy("region").agg(
         F.count(F.lit(1)).alias("n_members"), F.min("node").alias("leader")).filter("n_members > 1")
+    regions = scratch.table(regions, "regions")  # plain shuffles on both sides of the join: hot regions are split
     crowded = scratch.table(forest.join(regions, "region"), "crowded")
     scratch.drop("forest")
 
