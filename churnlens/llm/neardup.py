@@ -17,11 +17,13 @@ at least ``percent``/100 are linked; groups are connected components.
    which share the longest prefix with it.  That is every pair of a region of
    up to NEIGHBOURS + 1 sets.
 5. Larger regions that are still mixed are finished by an exact prefix join:
-   two linked sets share one of their rarest shingles, so only sets of
-   different components with such a shingle in common are compared.
+   two linked sets share one of their rarest shingles, and enough shingles
+   follow it in both, so only such sets of different components are compared.
 
-Every comparison is confirmed on the full sets.  No group or bucket is capped,
-and no pairs are made within a component.
+Pairs that set sizes rule out, or that share so few signature values as a
+linked pair does once in 1e9 cases, are dropped; all others are confirmed on
+the full sets.  No group or bucket is capped, and no pairs are made within a
+component.
 
 Defined results: NULL text, or text without words, has an empty set and is
 linked with nothing; so are rows with a NULL id (their component is NULL, they
@@ -38,7 +40,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from churnlens.llm.common import Scratch, fresh
@@ -123,11 +124,12 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the coordinates below the region, in the tree's order, as sortable bytes."""
-    fields = [("region", pa.int64()), ("branch", pa.binary()), ("node", pa.int64()), ("part", pa.int64())]
+    fields = [("region", pa.int64()), ("branch", pa.binary()), ("node", pa.int64()), ("part", pa.int64()),
+              ("n", pa.int64()), ("sig", pa.binary())]
     for batch in batches:
         branch = [np.frombuffer(s, dtype=">u4")[_tree_order(t)[DEPTH:]].tobytes()
-                  for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield _batch([batch.column(2), branch, batch.column(3), batch.column(4)], fields)
+                  for t, s in zip(batch.column("tree").to_pylist(), batch.column("sig").to_pylist())]
+        yield _batch([batch.column("region"), branch, *(batch.column(c) for c in ("node", "part", "n", "sig"))], fields)
 
 
 def _sets(words: int):
@@ -165,23 +167,51 @@ def _confirm(percent: int):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most NEIGHBOURS apart in a region's order, in different components."""
-    fields = [("a", pa.int64()), ("b", pa.int64())]
-    last: list[tuple] = []
-    for batch in batches:
-        rows = last + list(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))))
-        a, b = [], []
-        for i in range(len(last), len(rows)):
-            region, node, part = rows[i]
-            for j in range(i - 1, max(-1, i - 1 - NEIGHBOURS), -1):
-                if rows[j][0] != region:
-                    break
-                if rows[j][2] != part:
-                    a.append(node)
-                    b.append(rows[j][1])
-        last = rows[-NEIGHBOURS:]
-        yield _batch([a, b], fields)
+def least_agreement(percent: int) -> int:
+    """Signature values that a linked pair shares at least: 6.5 standard deviations below the mean (1e-9)."""
+    s = percent / 100
+    return max(0, int(SIGNATURE * s - 6.5 * (SIGNATURE * s * (1 - s)) ** 0.5))
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").reshape(-1, SIGNATURE)
+
+
+def _plausible(n_a: np.ndarray, n_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose set sizes and signatures allow a link."""
+    sizes = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+    return sizes & ((sig_a == sig_b).sum(axis=1) >= least_agreement(percent))
+
+
+def _plausible_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            good = pa.array(_plausible(n_a, n_b, _signatures(batch.column("sig_a")),
+                                       _signatures(batch.column("sig_b")), percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+    return run
+
+
+def _neighbours(percent: int):
+    """Plausible pairs of rows at most NEIGHBOURS apart in a region's order, in different components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.empty(0, np.int64)] * 4 + [np.empty((0, SIGNATURE), ">u4")]
+        for batch in batches:
+            own = [batch.column(c).to_numpy() for c in ("region", "node", "part", "n")] + [_signatures(batch.column("sig"))]
+            held = len(last[0])
+            rows = [np.concatenate(pair) for pair in zip(last, own)]
+            region, node, part, n, sig = rows
+            left, right = [], []
+            for lag in range(1, NEIGHBOURS + 1):
+                i = np.arange(max(held, lag), len(region))
+                i = i[(region[i] == region[i - lag]) & (part[i] != part[i - lag])]
+                i = i[_plausible(n[i], n[i - lag], sig[i], sig[i - lag], percent)]
+                left.append(node[i])
+                right.append(node[i - lag])
+            last = [r[-NEIGHBOURS:] for r in rows]
+            yield _batch([np.concatenate(left), np.concatenate(right)], [("a", pa.int64()), ("b", pa.int64())])
+    return run
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +223,20 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Comparer:
-    """Confirms pairs on the full sets of the nodes that share a region with another."""
+    """Confirms pairs on the full sets of the nodes that share a region with another.
+
+    Pairs that sizes or signatures rule out are dropped before the sets are read.
+    """
 
-    def __init__(self, scratch: Scratch, sizes: DataFrame, sets: DataFrame, percent: int):
-        self._scratch, self._sizes, self._sets, self._percent = scratch, sizes, sets, percent
+    def __init__(self, scratch: Scratch, known: DataFrame, sets: DataFrame, percent: int):
+        self._scratch, self._known, self._sets, self._percent = scratch, known, sets, percent
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        size_a = self._sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-        size_b = self._sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-        near = pairs.join(size_a, "a").join(size_b, "b").filter(
-            F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self._percent).select("a", "b")
+        sides = [self._known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+                 for x in ("a", "b")]
+        near = pairs.join(sides[0], "a").join(sides[1], "b") \
+            .mapInArrow(_plausible_pairs(self._percent), "a long, b long")
         near = self._scratch.table(near, f"{name}_pairs")
         left = self._sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
         right = self._sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
@@ -245,12 +278,11 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     scratch.drop("forest")
 
     needed = crowded.select("node").distinct()
-    sizes = scratch.table(nodes.join(needed, "node", "left_semi").select("node", "n", "id", "digest"), "sizes")
-    holders = texts.join(sizes.select(F.col("id").alias("holder"), "node", "digest"), F.col("id") == F.col("holder"))
+    known = scratch.table(nodes.join(needed, "node", "left_semi").select("node", "n", "id", "digest", "sig"), "known")
+    holders = texts.join(known.select(F.col("id").alias("holder"), "node", "digest"), F.col("id") == F.col("holder"))
     sets = holders.select("node", "digest", "text").mapInArrow(_sets(words), "node long, shingles binary")
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
-    sizes = sizes.drop("digest")
-    compare = _Comparer(scratch, sizes, sets, percent)
+    compare = _Comparer(scratch, known, sets, percent)
 
     stars = compare.links(crowded.filter("node <> leader").select(
         F.col("node").alias("a"), F.col("leader").alias("b")), "leader")
@@ -263,10 +295,11 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
             .filter("p <> q").select("region")
         return rows.join(open_regions, "region", "left_semi")
 
-    deeper = mixed(1).join(nodes.select("node", "sig"), "node").select("tree", "sig", "region", "node", "part") \
-        .mapInArrow(_branches, "region long, branch binary, node long, part long") \
+    deeper = mixed(1).join(known.select("node", "n", "sig"), "node") \
+        .select("tree", "region", "node", "part", "n", "sig") \
+        .mapInArrow(_branches, "region long, branch binary, node long, part long, n long, sig binary") \
         .repartitionByRange("region", "branch", "node").sortWithinPartitions("region", "branch", "node")
-    more = compare.links(deeper.mapInArrow(_neighbours, "a long, b long"), "neighbour")
+    more = compare.links(deeper.mapInArrow(_neighbours(percent), "a long, b long"), "neighbour")
     links = links.union(more)
     parts = components(scratch, links, "parts_deep")
 
@@ -274,7 +307,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     exact = compare.links(_prefix_pairs(scratch, rest, sets, percent), "prefix")
     links = links.union(exact)
 
-    ids = sizes.select("node", "id")
+    ids = known.select("node", "id")
     by_id = links.join(ids.withColumnRenamed("node", "a").withColumnRenamed("id", "id_a"), "a") \
         .join(ids.withColumnRenamed("node", "b").withColumnRenamed("id", "id_b"), "b") \
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
@@ -299,20 +332,19 @@ def _prefix_pairs(scratch: Scratch, rest: DataFrame, sets: DataFrame, percent: i
     prefix = ranked.withColumn("place", F.row_number().over(by_rarity)) \
         .withColumn("n_all", F.count(F.lit(1)).over(every)) \
         .filter(F.col("place") <= F.col("n_all") - F.ceil(F.col("n_all") * percent / 100) + 1) \
-        .filter("n_sets > 1").select("node", "shingle")
+        .filter("n_sets > 1").select("node", "shingle", "n_all", (F.col("n_all") - F.col("place") + 1).alias("to_come"))
     prefix = prefix.join(rest, "node")
     meeting = prefix.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")) \
         .filter("p <> q").select("shingle")
     prefix = scratch.table(prefix.join(meeting, "shingle", "left_semi"), "prefix")
-    left = prefix.select("shingle", F.col("node").alias("a"), F.col("part").alias("part_a"))
-    right = prefix.select("shingle", F.col("node").alias("b"), F.col("part").alias("part_b"))
-    return left.join(right, "shingle").filter("part_a < part_b").select("a", "b")
-
-
-SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()),
-    T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType()),
-])
+    sides = [prefix.select("shingle", F.col("node").alias(x), F.col("part").alias(f"part_{x}"),
+                           F.col("n_all").alias(f"n_{x}"), F.col("to_come").alias(f"to_come_{x}")) for x in ("a", "b")]
+    # from their first common shingle on, two linked sets have enough shingles left for the overlap they need
+    overlap = (F.col("n_a") + F.col("n_b")) * percent
+    return sides[0].join(sides[1], "shingle").filter(
+        (F.col("part_a") < F.col("part_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.least("to_come_a", "to_come_b") * (100 + percent) >= overlap)).select("a", "b")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
