@@ -60,6 +60,7 @@ def drop_bitmaps(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text
     ends = rows.groupBy("block").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
     cut = ends.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("hash")) \
         .groupBy("hash").agg(F.count(F.lit(1)).alias("n_ranges")).filter("n_ranges > 1").select("hash")
+    cut = scratch.table(cut, "cut_hashes")  # its known size keeps the hot line's rows where they are
     carried = rows.join(cut, "hash").groupBy("hash").agg(F.min("id").alias("carried_id"))
     carried = scratch.table(carried, "cut_runs")
     dropped = runs.join(carried, "hash", "left") \
