@@ -33,8 +33,9 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         # written before the join: Spark splits a hot node's rows only where both sides are plain shuffles
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least = scratch.table(least, f"{name}_least_{turn}")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = scratch.table(large, f"{name}_large_{turn}")
+        lowest = scratch.table(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{name}_lowest_{turn}")
         small = large.join(lowest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")) \
             .union(lowest.select("hi", F.col("m").alias("lo"))).distinct()
         turn += 1

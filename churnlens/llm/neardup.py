@@ -10,12 +10,13 @@ at least ``percent``/100 are linked; groups are connected components.
    other coordinates.  Sets that share their first ``DEPTH`` coordinates form
    a region of the tree; a true link falls into a common region of some tree
    but for (1 - s ** DEPTH) ** TREES, 2e-9 at s = 0.85.
-3. Every member of a region is compared with the region's smallest id, which
-   links a group of copies in as many comparisons as it has members.
-4. Regions whose members are still in different components go deeper: in
-   signature order each row is compared with its ``NEIGHBOURS`` predecessors,
-   which share the longest prefix with it.  That is every pair of a region of
-   up to NEIGHBOURS + 1 sets.
+3. Every member of a region is compared with the region's smallest node, which
+   links a group of copies in as many comparisons as it has members.  Regions
+   of more than ``NEIGHBOURS`` + 1 members go deeper: each member is also
+   compared with the smallest node that shares ``DEEP`` coordinates with it.
+4. Regions up to that size whose members are still in different components
+   are finished in sorted order, each row with its predecessors in the region:
+   every such pair.
 5. Larger regions that are still mixed are finished by an exact prefix join:
    two linked sets share one of their rarest shingles, and enough shingles
    follow it in both, so only such sets of different components are compared.
@@ -52,7 +53,7 @@ SIGNATURE = 64
 TREES = 21
 DEPTH = 3
 NEIGHBOURS = 8
-_ORDER = 10  # coordinates a tree sorts by, the region's included
+DEEP = 6
 _CHUNK = 2048
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
@@ -103,33 +104,19 @@ def _sketch(words: int):
     return run
 
 
-def _tree_order(tree: int) -> list[int]:
-    return [(tree * DEPTH + k) % SIGNATURE for k in range(_ORDER)]
-
-
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a tree: its region, hashed from the tree and its first DEPTH coordinates."""
-    fields = [("tree", pa.int8()), ("region", pa.int64()), ("node", pa.int64())]
+    """One row a tree: hashes of the tree and its first DEPTH and DEEP coordinates."""
+    fields = [("region", pa.int64()), ("deep", pa.int64()), ("node", pa.int64())]
     for batch in batches:
         for begin in range(0, batch.num_rows, 5000):
             part = batch.slice(begin, 5000)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=">u4").reshape(-1, SIGNATURE)
-            sig = sig.astype(np.uint64)
+            sig = _signatures(part.column(1)).astype(np.uint64)
             for t in range(TREES):
-                region = np.full(len(sig), t, dtype=np.uint64)
-                for k in _tree_order(t)[:DEPTH]:
-                    region = mix((region << np.uint64(1)) * _C[0] + sig[:, k])
-                yield _batch([np.full(len(sig), t), region.view(np.int64), part.column(0)], fields)
-
-
-def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the coordinates below the region, in the tree's order, as sortable bytes."""
-    fields = [("region", pa.int64()), ("branch", pa.binary()), ("node", pa.int64()), ("part", pa.int64()),
-              ("n", pa.int64()), ("sig", pa.binary())]
-    for batch in batches:
-        branch = [np.frombuffer(s, dtype=">u4")[_tree_order(t)[DEPTH:]].tobytes()
-                  for t, s in zip(batch.column("tree").to_pylist(), batch.column("sig").to_pylist())]
-        yield _batch([batch.column("region"), branch, *(batch.column(c) for c in ("node", "part", "n", "sig"))], fields)
+                prefix, keys = np.full(len(sig), t, dtype=np.uint64), []
+                for k in range(DEEP):
+                    prefix = mix((prefix << np.uint64(1)) * _C[0] + sig[:, (t * DEPTH + k) % SIGNATURE])
+                    keys.append(prefix.view(np.int64))
+                yield _batch([keys[DEPTH - 1], keys[DEEP - 1], part.column(0)], fields)
 
 
 def _sets(words: int):
@@ -270,7 +257,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     nodes = scratch.table(nodes.withColumn("node", F.xxhash64("digest")), "nodes")
     # nodes are named by their set's hash; ids come back with the links
     forest = scratch.table(nodes.select("node", "sig").mapInArrow(
-        _trees, "tree byte, region long, node long"), "forest")
+        _trees, "region long, deep long, node long"), "forest")
     regions = forest.groupBy("region").agg(
         F.count(F.lit(1)).alias("n_members"), F.min("node").alias("leader")).filter("n_members > 1")
     regions = scratch.table(regions, "regions")  # plain shuffles on both sides of the join: hot regions are split
@@ -284,28 +271,26 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
     compare = _Comparer(scratch, known, sets, percent)
 
-    stars = compare.links(crowded.filter("node <> leader").select(
-        F.col("node").alias("a"), F.col("leader").alias("b")), "leader")
-    links = stars
+    small = NEIGHBOURS + 1
+    below = crowded.filter(F.col("n_members") > small)
+    deep = scratch.table(below.groupBy("deep").agg(
+        F.min("node").alias("deep_leader"), F.max("node").alias("last")).filter("deep_leader < last").drop("last"), "deep")
+    leaders = crowded.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).union(
+        below.join(deep, "deep").filter("node <> deep_leader").select("node", "deep_leader"))
+    links = compare.links(leaders, "leader")
     parts = components(scratch, links, "parts")
 
-    def mixed(least_members: int) -> DataFrame:
-        rows = _labelled(crowded.filter(F.col("n_members") > least_members), parts)
-        open_regions = rows.groupBy("region").agg(F.min("part").alias("p"), F.max("part").alias("q")) \
-            .filter("p <> q").select("region")
-        return rows.join(open_regions, "region", "left_semi")
-
-    deeper = mixed(1).join(known.select("node", "n", "sig"), "node") \
-        .select("tree", "region", "node", "part", "n", "sig") \
-        .mapInArrow(_branches, "region long, branch binary, node long, part long, n long, sig binary") \
-        .repartitionByRange("region", "branch", "node").sortWithinPartitions("region", "branch", "node")
-    more = compare.links(deeper.mapInArrow(_neighbours(percent), "a long, b long"), "neighbour")
-    links = links.union(more)
-    parts = components(scratch, links, "parts_deep")
-
-    rest = scratch.table(mixed(NEIGHBOURS + 1).select("node", "part").distinct(), "rest")
-    exact = compare.links(_prefix_pairs(scratch, rest, sets, percent), "prefix")
-    links = links.union(exact)
+    rows = _labelled(crowded, parts)
+    ends = rows.groupBy("region").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("region")
+    ends = scratch.table(ends, "mixed_regions")
+    mixed = scratch.table(rows.join(ends, "region", "left_semi"), "mixed")
+    ordered = mixed.filter(F.col("n_members") <= small).join(known.select("node", "n", "sig"), "node") \
+        .select("region", "deep", "node", "part", "n", "sig") \
+        .repartitionByRange("region").sortWithinPartitions("region", "deep", "node")
+    pairs = ordered.mapInArrow(_neighbours(percent), "a long, b long")
+    rest = scratch.table(mixed.filter(F.col("n_members") > small).select("node", "part").distinct(), "rest")
+    pairs = pairs.union(_prefix_pairs(scratch, rest, sets, percent))
+    links = links.union(compare.links(pairs, "rest"))
 
     ids = known.select("node", "id")
     by_id = links.join(ids.withColumnRenamed("node", "a").withColumnRenamed("id", "id_a"), "a") \
