@@ -105,6 +105,8 @@ def find_hits(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, id_col: s
         "hit", lambda h: F.coalesce(h["item_id"], F.lit(""))))), F.array().cast("array<string>"))
     out = judged.select("row", "n_words", F.when(F.col("hit").isNull(), F.lit(0)).otherwise(n_hit)
                         .cast("bigint").alias("n_hit"), found_items.alias("item_ids"))
-    return out.select("row.*", F.struct(
+    verdict = F.struct(
         "n_words", "n_hit", "item_ids",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated")).alias(name))
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+    # one row out for each row in; a filter on the verdict then stays above it, instead of judging every row again
+    return out.select("row.*", F.explode(F.array(verdict)).alias(name))
