@@ -1,55 +1,72 @@
 """File sources and sinks: customer CSV in, cleaned CSV / lookup / findings out.
 
-CSV is read with an explicit schema (never ``inferSchema``, which costs an
-extra pass over the data); the 0/1 churn flag and the dates arrive as text and
-are converted with expressions that cannot fail the job (``cast`` of '0'/'1',
-``try_to_date``).  Sinks write a directory of part files, one per task; only
+CSV is read as text by the names in its header (every file's header is
+checked against the first one's), never by position and never with
+``inferSchema``.  Cells are cast with ``try_cast``; a cell that is not empty
+and does not parse makes the read fail with its column's name and count,
+unless the caller asks for NULLs.  Sinks write a directory of part files, one per task; only
 the findings frame, a few dozen rows by construction, is coalesced to one file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.functions.dates import parse_mixed_date
-from churnlens.schemas import REQUIRED_COLUMNS, WIDE_SCHEMA
+from churnlens.schemas import REQUIRED_COLUMNS, WIDE_COLUMNS, WIDE_SCHEMA
 
-_TEXT_COLUMNS = ("join_date", "cancellation_date", "is_churned")
-
-CSV_READ_SCHEMA = T.StructType([
-    T.StructField(f.name, T.StringType()) if f.name in _TEXT_COLUMNS else f for f in WIDE_SCHEMA.fields
-])
+_DATE_COLUMNS = ("join_date", "cancellation_date")
 
 
 def require_columns(df: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """Fail before any job if expected columns are missing (the error lists them)."""
+    """Fail before any job if expected columns are absent (the error lists them)."""
     cols = set(df.columns)
     missing = [c for c in (required or REQUIRED_COLUMNS) if c not in cols]
     if missing:
-        raise ValueError(f"Missing expected columns: {missing}")
+        raise ValueError(f"input lacks the columns {missing}")
     return df
 
 
-def read_customers_csv(spark: SparkSession, path: str, parse_dates: bool = True) -> DataFrame:
-    """Header CSV of wide customer records.
+def _parsed(name: str, parse_dates: bool) -> Column:
+    if name in _DATE_COLUMNS:
+        return parse_mixed_date(name) if parse_dates else F.col(name)
+    return F.col(name).try_cast(WIDE_SCHEMA[name].dataType)
+
+
+def bad_cells(text: DataFrame, parse_dates: bool = True) -> DataFrame:
+    """One row: for each column of the record the number of cells that are not empty and do not parse."""
+    return text.agg(*[
+        F.count(F.when(_parsed(c, parse_dates).isNull() & (F.trim(c) != ""), True)).alias(c) for c in WIDE_COLUMNS
+    ])
+
 
-    With ``parse_dates`` the two date columns become DATE (unparseable -> NULL)
-    and the 0/1 (or true/false) churn flag becomes BOOLEAN; without it the
-    dates stay text, as the raw input of the cleaning operators expects.
+def read_customers_text(spark: SparkSession, path: str) -> DataFrame:
+    """The record's columns as text, found by the header's names; further columns are left out."""
+    names = spark.read.option("header", True).csv(path).columns
+    found = require_columns(spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names])),
+                            WIDE_COLUMNS)
+    reader = spark.read.schema(found.schema).option("header", True).option("enforceSchema", False)
+    return reader.csv(path).select(*WIDE_COLUMNS)
+
+
+def read_customers_csv(spark: SparkSession, path: str, parse_dates: bool = True, bad: str = "fail") -> DataFrame:
+    """Header CSV of wide customer records, columns in any order.
+
+    With ``parse_dates`` the two date columns become DATE; without it they stay
+    text, as the raw input of the cleaning operators expects.  A cell that does
+    not parse fails the read (``bad="fail"``, one pass over the file that counts
+    them) or becomes NULL (``bad="null"``).
     """
-    raw = (
-        spark.read.schema(CSV_READ_SCHEMA)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    df = raw.withColumn("is_churned", F.col("is_churned").try_cast("boolean"))
-    if parse_dates:
-        df = df.withColumn("join_date", parse_mixed_date("join_date")) \
-            .withColumn("cancellation_date", parse_mixed_date("cancellation_date"))
-    return require_columns(df)
+    if bad not in ("fail", "null"):
+        raise ValueError("bad must be 'fail' or 'null'")
+    text = read_customers_text(spark, path)
+    if bad == "fail":
+        counts = {c: n for c, n in bad_cells(text, parse_dates).first().asDict().items() if n}
+        if counts:
+            raise ValueError(f"cells that do not parse, by column: {counts}")
+    return text.select(*[_parsed(c, parse_dates).alias(c) for c in WIDE_COLUMNS])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
