@@ -46,8 +46,9 @@ def parse_join_date(df: DataFrame, strict: bool = True) -> DataFrame:
     parsed = parse_mixed_date(raw)
     if strict:
         bad = parsed.isNull() & raw.isNotNull() & (F.trim(raw.cast("string")) != "")
-        parsed = F.when(bad, F.raise_error(F.concat(F.lit("unparseable join_date: "), raw.cast("string")))) \
-            .otherwise(parsed)
+        # a filter, since a check inside a projected column is lost where the column is not read
+        df = df.filter(F.when(bad, F.raise_error(F.concat(F.lit("unparseable join_date: "), raw.cast("string")))
+                              .cast("boolean")).otherwise(F.lit(True)))
     return df.withColumn("join_date", parsed.cast("date"))
 
 
@@ -101,15 +102,19 @@ def normalise(df: DataFrame, strict_dates: bool = True) -> DataFrame:
 
 
 def key_dedup(df: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Keep one row per key: known region, then known price, then the smallest row."""
+    """Keep one row per key: known region, then known price, then the smallest row.
+
+    Rows without a key are not one customer: all of them stay.
+    """
     others = [c for c in df.columns if c != key]
     pick = F.min(F.struct(
         (F.col("region") == UNKNOWN_REGION).alias("_unknown_region"),
         F.col("plan_price").isNull().alias("_no_price"),
         *[F.col(c) for c in others],
     )).alias("_best")
-    return df.groupBy(key).agg(pick).select(key, *[F.col(f"_best.{c}").alias(c) for c in others]) \
-        .select(*df.columns)
+    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(pick)
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in others]).select(*df.columns) \
+        .union(df.filter(F.col(key).isNull()))
 
 
 def clean(df: DataFrame, dedup: str = "exact", strict_dates: bool = True) -> DataFrame:

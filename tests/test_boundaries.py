@@ -156,6 +156,25 @@ def test_mixed_date_parsing(spark):
     assert got == [d, d, d, d, None, None, None]
 
 
+def test_further_date_forms(spark):
+    texts = ["2023/01/05", "05-Jan-2023", "January 5, 2023", "JAN 5, 2023", "may 5, 2023", "20230105", "1/5/23",
+             "2023-1-5", "2023/13/05", "32-Jan-2023", "Janu 5, 2023"]
+    got = [r.d for r in one_col(spark, texts, T.StringType()).select(parse_mixed_date("x").alias("d")).collect()]
+    d = dt.date(2023, 1, 5)
+    assert got == [d, d, d, d, dt.date(2023, 5, 5), d, d, d, None, None, None]
+
+
+def test_strict_check_survives_column_pruning(spark):
+    raw = _raw(spark, [base_row(1, join_date="not a date", region="West")])
+    with pytest.raises(Exception, match="unparseable join_date"):
+        cleaning.clean(raw).groupBy("region").count().collect()
+
+
+def test_key_dedup_keeps_rows_without_an_id(spark):
+    rows = [base_row(None, region="West"), base_row(None, region="East"), base_row(1), base_row(1)]
+    assert cleaning.key_dedup(_raw(spark, rows)).count() == 3
+
+
 def test_strict_join_date_fails_on_garbage(spark):
     raw = _raw(spark, [base_row(1, join_date="not a date")])
     with pytest.raises(Exception, match="unparseable join_date"):
