@@ -7,14 +7,12 @@ normalisation steps.  Each micro-batch is written by ``foreachBatch`` into its
 own ``batch_id=<n>`` folder with overwrite, so a replayed batch after a failure
 rewrites the same output instead of duplicating it (exactly-once output).
 
-By default the dedup state grows with the number of distinct rows (exact
-dedup over all time); on a cluster use the RocksDB state store provider
+The dedup state grows with the number of distinct rows (exact dedup over all
+time); on a cluster use the RocksDB state store provider
 (``spark.sql.streaming.stateStore.providerClass``) so it spills to local disk
-and is checkpointed to the shared checkpoint folder.  With
-``dedup_retention`` (e.g. ``"7 days"``) the state is bounded instead: rows get
-their ingest time, the watermark trails it by the retention, and
-``dropDuplicatesWithinWatermark`` drops a re-delivered row only if it arrives
-within that window of its first copy.
+and is checkpointed.  A checkpoint belongs to one sink: a stream that starts
+afresh refuses a sink that already holds batches, since it would number its
+own from 0 again and overwrite them.
 """
 
 from __future__ import annotations
@@ -23,49 +21,52 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from churnlens.operators.cleaning import normalise
-from churnlens.schemas import WIDE_COLUMNS
-from churnlens.session import scratch_path
-from churnlens.sources.files import CSV_READ_SCHEMA
+from churnlens.schemas import WIDE_COLUMNS, WIDE_SCHEMA
+
+
+CSV_READ_SCHEMA = T.StructType([
+    T.StructField(f.name, T.StringType()) if f.name in ("join_date", "cancellation_date", "is_churned") else f
+    for f in WIDE_SCHEMA.fields
+])
 
 
 def read_raw_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(CSV_READ_SCHEMA).option("header", True)
+    """Raw records of the files in ``source_dir``; a file whose header differs from the record's columns fails."""
+    reader = spark.readStream.schema(CSV_READ_SCHEMA).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir)
     return raw.withColumn("is_churned", F.col("is_churned").try_cast("boolean")).select(*WIDE_COLUMNS)
 
 
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def start_clean_stream(
     spark: SparkSession,
     source_dir: str,
     sink_dir: str,
-    checkpoint_dir: str | None = None,
+    checkpoint_dir: str,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
-    dedup_retention: str | None = None,
 ) -> StreamingQuery:
     """Start the cleaning stream; returns the running query."""
-    checkpoint = checkpoint_dir or scratch_path(spark, "clean-stream")
-    raw = read_raw_stream(spark, source_dir, max_files_per_trigger)
-    if dedup_retention:
-        deduped = (
-            raw.withColumn("_ingested_at", F.current_timestamp())
-            .withWatermark("_ingested_at", dedup_retention)
-            .dropDuplicatesWithinWatermark(WIDE_COLUMNS)
-            .drop("_ingested_at")
-        )
-    else:
-        deduped = raw.dropDuplicates()
+    if _matches(spark, f"{sink_dir}/batch_id=*") and not _matches(spark, f"{checkpoint_dir}/offsets/*"):
+        raise ValueError(f"{sink_dir} holds batches that are not from the checkpoint {checkpoint_dir}")
+    deduped = read_raw_stream(spark, source_dir, max_files_per_trigger).dropDuplicates()
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        cleaned = normalise(batch, strict_dates=False).select(*WIDE_COLUMNS)
+        cleaned = normalise(batch).select(*WIDE_COLUMNS)
         cleaned.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
-    writer = deduped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = deduped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
