@@ -14,12 +14,14 @@ at least ``percent``/100 are linked; groups are connected components.
    links a group of copies in as many comparisons as it has members.  Regions
    of more than ``NEIGHBOURS`` + 1 members go deeper: each member is also
    compared with the smallest node that shares ``DEEP`` coordinates with it.
-4. Regions up to that size whose members are still in different components
-   are finished in sorted order, each row with its predecessors in the region:
-   every such pair.
-5. Larger regions that are still mixed are finished by an exact prefix join:
-   two linked sets share one of their rarest shingles, and enough shingles
-   follow it in both, so only such sets of different components are compared.
+4. In regions whose members are still in different components each row is
+   compared with its ``NEIGHBOURS`` predecessors in the tree's order.  Regions
+   of up to ``NEIGHBOURS`` + 1 members are finished by that: it is every pair.
+   In larger ones it joins most of what belongs together, pair by neighbour.
+5. Larger regions that are mixed even then are finished by an exact prefix
+   join: two linked sets share one of their rarest shingles, and enough
+   shingles follow it in both, so only such sets of different components are
+   compared.
 
 Pairs that set sizes rule out, or that share so few signature values as a
 linked pair does once in 1e9 cases, are dropped; all others are confirmed on
@@ -237,6 +239,14 @@ def _labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
         .withColumn("part", F.coalesce("label", "node")).drop("label", "label_node")
 
 
+def _mixed(scratch: Scratch, members: DataFrame, stars: DataFrame, name: str) -> DataFrame:
+    """Members, with their components, of the regions that hold several components."""
+    rows = _labelled(members, stars)
+    ends = rows.groupBy("region").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("region")
+    ends = scratch.table(ends, f"{name}_regions")
+    return scratch.table(rows.join(ends, "region", "left_semi"), name)
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, digest, n_shingles, component_id) for every row of ``docs``; ``id`` is a long.
@@ -280,17 +290,20 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     links = compare.links(leaders, "leader")
     parts = components(scratch, links, "parts")
 
-    rows = _labelled(crowded, parts)
-    ends = rows.groupBy("region").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("region")
-    ends = scratch.table(ends, "mixed_regions")
-    mixed = scratch.table(rows.join(ends, "region", "left_semi"), "mixed")
-    ordered = mixed.filter(F.col("n_members") <= small).join(known.select("node", "n", "sig"), "node") \
-        .select("region", "deep", "node", "part", "n", "sig") \
-        .repartitionByRange("region").sortWithinPartitions("region", "deep", "node")
-    pairs = ordered.mapInArrow(_neighbours(percent), "a long, b long")
-    rest = scratch.table(mixed.filter(F.col("n_members") > small).select("node", "part").distinct(), "rest")
-    pairs = pairs.union(_prefix_pairs(scratch, rest, sets, percent))
-    links = links.union(compare.links(pairs, "rest"))
+    mixed = _mixed(scratch, crowded, parts, "mixed")
+    ordered = mixed.join(known.select("node", "n", "sig"), "node").withColumn("place", F.xxhash64("region", "node"))
+    whole = ordered.filter(F.col("n_members") <= small).repartitionByRange("region").sortWithinPartitions("region")
+    # a hot region is cut over several tasks; what a cut parts is left to the prefix join
+    cut = ordered.filter(F.col("n_members") > small).repartitionByRange("region", "deep", "place") \
+        .sortWithinPartitions("region", "deep", "place")
+    pairs = [side.select("region", "node", "part", "n", "sig").mapInArrow(_neighbours(percent), "a long, b long")
+             for side in (whole, cut)]
+    links = links.union(compare.links(pairs[0].union(pairs[1]), "neighbour"))
+
+    parts = components(scratch, links, "joined")
+    mixed = _mixed(scratch, mixed.filter(F.col("n_members") > small).drop("part"), parts, "still_mixed")
+    rest = scratch.table(mixed.select("node", "part").distinct(), "rest")
+    links = links.union(compare.links(_prefix_pairs(scratch, rest, sets, percent), "rest"))
 
     ids = known.select("node", "id")
     by_id = links.join(ids.withColumnRenamed("node", "a").withColumnRenamed("id", "id_a"), "a") \
