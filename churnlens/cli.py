@@ -4,10 +4,14 @@
       raw customer records -> cleaned records (CSV), plan lookup (CSV), cleaning report
   python -m churnlens analyze --input CLEAN_CSV_DIR --output DIR
       cleaned records -> summary, correlations, chart frames (Parquet) and findings report (text)
-  python -m churnlens load    --sf-dir TABLES_DIR   --output DIR
-      source tables -> the four relational tables (Parquet) with surrogate keys and load times
-  python -m churnlens report  --sf-dir TABLES_DIR   --output DIR [--only NAME ...]
-      source tables -> loaded tables -> every registered analytics query (Parquet) + findings
+  python -m churnlens load    --input CLEAN_CSV_DIR | --sf-dir TABLES_DIR  --output DIR
+      cleaned records or source tables -> the four relational tables (Parquet) with surrogate
+      keys and load times
+  python -m churnlens report  --input CLEAN_CSV_DIR | --sf-dir TABLES_DIR  --output DIR [--only NAME ...]
+      the same -> loaded tables -> every registered analytics query (Parquet) + findings
+
+``load`` and ``report`` refuse cleaned records with repeated or absent customer ids.
+The tables written on the way are dropped at the end.
 
 Run under ``spark-submit`` on a cluster (the master comes from the submit
 configuration); every result is written by the executors, nothing is
@@ -18,14 +22,16 @@ from __future__ import annotations
 
 import argparse
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.operators import report
 from churnlens.operators.cleaning import clean, cleaning_report
-from churnlens.plans.catalog import ANALYTICS, TableCache, normalize_types
+from churnlens.operators.constraints import require_unique_ids
+from churnlens.plans.catalog import ANALYTICS, normalize_types
 from churnlens.plans.tables import ChurnTables
 from churnlens.session import build_session
 from churnlens.sources.files import read_customers_csv, write_csv, write_findings, write_plans_csv
@@ -59,12 +65,33 @@ def run_clean(spark: SparkSession, input_path: str, output: str, dedup: str = "e
 def run_analyze(spark: SparkSession, input_path: str, output: str) -> None:
     wide = read_customers_csv(spark, input_path, parse_dates=True)
     tables = ChurnTables.from_wide(wide).materialize(bucketed=False)
-    _write_results(tables, ANALYSIS_QUERIES, output, ANALYTICS)
+    try:
+        _write_results(tables, ANALYSIS_QUERIES, output, ANALYTICS)
+    finally:
+        tables.drop()
+
+
+@contextmanager
+def _loaded(spark: SparkSession, sf_dir: str | None, input_path: str | None) -> Iterator[ChurnTables]:
+    """The loaded tables of a folder of source tables or of cleaned CSV records, dropped afterwards."""
+    if input_path:
+        lazy = ChurnTables.from_wide(require_unique_ids(read_customers_csv(spark, input_path, parse_dates=True)))
+    else:
+        lazy = ChurnTables.derive(spark, sf_dir)
+    tables = lazy.materialize()
+    try:
+        yield tables
+    finally:
+        tables.drop()
 
 
-def run_load(spark: SparkSession, sf_dir: str, output: str) -> None:
+def run_load(spark: SparkSession, sf_dir: str | None, output: str, input_path: str | None = None) -> None:
     """The relational tables as files, with their declared surrogate keys and load timestamps."""
-    tables = TableCache(materialize=True).get(spark, sf_dir)
+    with _loaded(spark, sf_dir, input_path) as tables:
+        _write_tables(tables, output)
+
+
+def _write_tables(tables: ChurnTables, output: str) -> None:
     now = F.current_timestamp()
     out = {
         "subscription_plans": tables.subscription_plans.withColumn("created_at", now),
@@ -76,13 +103,20 @@ def run_load(spark: SparkSession, sf_dir: str, output: str) -> None:
         df.write.mode("overwrite").parquet(os.path.join(output, name))
 
 
-def run_report(spark: SparkSession, sf_dir: str, output: str, only: list[str] | None = None) -> None:
-    tables = TableCache(materialize=True).get(spark, sf_dir)
+def run_report(spark: SparkSession, sf_dir: str | None, output: str, only: list[str] | None = None,
+               input_path: str | None = None) -> None:
     names = only or sorted(ANALYTICS)
     unknown = [n for n in names if n not in ANALYTICS]
     if unknown:
         raise ValueError(f"unknown queries: {unknown}")
-    _write_results(tables, names, output, ANALYTICS)
+    with _loaded(spark, sf_dir, input_path) as tables:
+        _write_results(tables, names, output, ANALYTICS)
+
+
+def _add_source(parser: argparse.ArgumentParser) -> None:
+    source = parser.add_mutually_exclusive_group(required=True)
+    source.add_argument("--sf-dir")
+    source.add_argument("--input")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -96,10 +130,10 @@ def main(argv: list[str] | None = None) -> None:
     p_an.add_argument("--input", required=True)
     p_an.add_argument("--output", required=True)
     p_load = sub.add_parser("load")
-    p_load.add_argument("--sf-dir", required=True)
+    _add_source(p_load)
     p_load.add_argument("--output", required=True)
     p_rep = sub.add_parser("report")
-    p_rep.add_argument("--sf-dir", required=True)
+    _add_source(p_rep)
     p_rep.add_argument("--output", required=True)
     p_rep.add_argument("--only", nargs="*")
     args = parser.parse_args(argv)
@@ -110,9 +144,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "analyze":
         run_analyze(spark, args.input, args.output)
     elif args.command == "load":
-        run_load(spark, args.sf_dir, args.output)
+        run_load(spark, args.sf_dir, args.output, args.input)
     else:
-        run_report(spark, args.sf_dir, args.output, args.only)
+        run_report(spark, args.sf_dir, args.output, args.only, args.input)
 
 
 if __name__ == "__main__":

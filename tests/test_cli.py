@@ -6,6 +6,7 @@ import glob
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from churnlens.cli import ANALYSIS_QUERIES, main
@@ -55,6 +56,27 @@ def test_load_exports_relational_tables(spark):
     assert spark.read.parquet(os.path.join(out, "subscription_plans")).count() == 3
 
 
+def test_load_and_report_from_cleaned_records(spark, small_tables):
+    root = tempfile.mkdtemp(prefix="churnlens-cli-")
+    raw, clean_dir = os.path.join(root, "raw"), os.path.join(root, "clean")
+    make_dirty(small_tables.wide).withColumn("is_churned", F.col("is_churned").cast("int")) \
+        .write.option("header", True).csv(raw)
+    main(["clean", "--input", raw, "--output", clean_dir])
+    records = os.path.join(clean_dir, "customers_clean")
+    before = {d.name for d in spark.catalog.listDatabases()}
+    with pytest.raises(ValueError, match="2 ids are repeated, 0 rows have none"):
+        main(["load", "--input", records, "--output", os.path.join(root, "none")])
+
+    main(["clean", "--input", raw, "--output", clean_dir, "--dedup", "key"])
+    main(["load", "--input", records, "--output", os.path.join(root, "tables")])
+    assert spark.read.parquet(os.path.join(root, "tables", "customers")).count() == 150
+    main(["report", "--input", records, "--output", os.path.join(root, "report"), "--only", "mrr_by_plan"])
+    report = spark.read.parquet(os.path.join(root, "report", "mrr_by_plan"))
+    active = read_customers_csv(spark, records).filter("not is_churned")
+    assert report.agg(F.sum("active_subscribers")).first()[0] == active.count()
+    assert {d.name for d in spark.catalog.listDatabases()} == before
+
+
 def test_module_entry_point_lists_commands():
     import subprocess
     import sys
