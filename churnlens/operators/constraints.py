@@ -3,8 +3,7 @@
 Each check returns ``(constraint_name, violations)`` rows.  CHECK constraints pass
 on NULL (only a FALSE predicate is a violation), as in SQL.  All checks on one
 table share one aggregate pass; keys use a grouped count, foreign keys a
-left-anti join (sort-merge on the shared bucketing, or broadcast for the seeded
-plan table).
+left-anti join of the distinct keys.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from churnlens.plans.tables import ChurnTables
 from churnlens.schemas import NUMERIC_WIDTHS, SMALLINT_COLUMNS, VARCHAR_WIDTHS
+from churnlens.sources.warehouse import with_surrogate_key
 
 NOT_NULL = {
     "subscription_plans": ["plan_name", "price"],
@@ -61,13 +61,20 @@ def _duplicate_keys(df: DataFrame, key: str, name: str) -> DataFrame:
 def check_primary_key(t: ChurnTables) -> DataFrame:
     """K1: key values held by more than one row (NULL keys counted by the NOT NULL check).
 
-    Surrogate keys (subscription_id, metric_id) are unique by generation and
-    not re-checked.
+    The surrogate keys are checked as the load generates them, unless the
+    tables hold them already.
     """
+    subscriptions, usage = t.subscriptions, t.usage_metrics
+    if "subscription_id" not in subscriptions.columns:
+        subscriptions = with_surrogate_key(subscriptions, "subscription_id")
+    if "metric_id" not in usage.columns:
+        usage = with_surrogate_key(usage, "metric_id")
     return _union([
         _duplicate_keys(t.customers, "customer_id", "customers.customer_id PRIMARY KEY"),
         _duplicate_keys(t.subscription_plans, "plan_id", "subscription_plans.plan_id PRIMARY KEY"),
         _duplicate_keys(t.subscription_plans, "plan_name", "subscription_plans.plan_name UNIQUE"),
+        _duplicate_keys(subscriptions, "subscription_id", "subscriptions.subscription_id PRIMARY KEY"),
+        _duplicate_keys(usage, "metric_id", "usage_metrics.metric_id PRIMARY KEY"),
     ])
 
 
@@ -123,12 +130,12 @@ def check_width(t: ChurnTables) -> DataFrame:
     return _union(frames)
 
 
-def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str, broadcast_parent: bool = False) -> DataFrame:
-    keys = parent.select(key).filter(F.col(key).isNotNull())
-    if broadcast_parent:
-        keys = F.broadcast(keys)
-    missing = child.filter(F.col(key).isNotNull()).join(keys, key, "left_anti")
-    return missing.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
+def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
+    # one row a key on both sides, so a key with many rows is reduced before the join
+    keys = parent.select(key).filter(F.col(key).isNotNull()).distinct()
+    rows = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    missing = rows.join(keys, key, "left_anti")
+    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations")).select(
         F.lit(name).alias("constraint_name"), "violations"
     )
 
@@ -138,6 +145,19 @@ def check_foreign_key(t: ChurnTables) -> DataFrame:
     return _union([
         _orphans(t.subscriptions, t.customers, "customer_id", "subscriptions.customer_id -> customers"),
         _orphans(t.subscriptions, t.subscription_plans, "plan_id",
-                 "subscriptions.plan_id -> subscription_plans", broadcast_parent=True),
+                 "subscriptions.plan_id -> subscription_plans"),
         _orphans(t.usage_metrics, t.customers, "customer_id", "usage_metrics.customer_id -> customers"),
     ])
+
+
+def require_unique_ids(wide: DataFrame, key: str = "customer_id") -> DataFrame:
+    """The primary key, enforced before a load: fails on absent or repeated ids, else gives ``wide``."""
+    groups = wide.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = groups.agg(
+        F.count(F.when(F.col(key).isNotNull() & (F.col("n") > 1), True)).alias("repeated"),
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("absent"),
+    ).first()
+    if found.repeated or found.absent:
+        raise ValueError(f"{key} is a primary key: {found.repeated} ids are repeated, {found.absent} rows have none "
+                         "(`clean --dedup key` keeps one row of an id)")
+    return wide
