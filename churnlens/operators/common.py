@@ -39,13 +39,13 @@ def customer_plan(tables: ChurnTables, active: bool | None = None) -> DataFrame:
     """customers JOIN subscriptions JOIN subscription_plans.
 
     customers and subscriptions share the ``customer_id`` bucketing when
-    materialised, so their join needs no exchange; the plan lookup is the seeded
-    three-row table and is broadcast.
+    materialised, so their join needs no exchange; the plan lookup is broadcast
+    by its size in the statistics where that is small.
     """
     subs = tables.subscriptions.select("customer_id", "plan_id", "is_active")
     if active is not None:
         subs = subs.filter(F.col("is_active") == F.lit(active))
-    plans = F.broadcast(tables.subscription_plans.select("plan_id", "plan_name", "price"))
+    plans = tables.subscription_plans.select("plan_id", "plan_name", "price")
     return tables.customers.join(subs, "customer_id", "inner").join(plans, "plan_id", "inner")
 
 

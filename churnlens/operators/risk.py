@@ -22,7 +22,7 @@ def high_risk_customers(tables: ChurnTables, limit: int = HIGH_RISK_LIMIT) -> Da
     task keeps its own top ``limit`` rows and only those reach the final merge.
     """
     subs = tables.subscriptions.filter(F.col("is_active")).select("customer_id", "plan_id")
-    plans = F.broadcast(tables.subscription_plans.select("plan_id", "plan_name", "price"))
+    plans = tables.subscription_plans.select("plan_id", "plan_name", "price")
     usage = tables.usage_metrics.select("customer_id", "avg_monthly_logins", "billing_issues_count")
     joined = (
         tables.customers.filter(~F.col("is_churned"))

@@ -1,3 +1,3 @@
 """Plans around the operators: the table bundle (tables), the query registry
-(catalog), bounded broadcasts (broadcast) and the DuckDB oracle (oracle, oracle_check).
+(catalog) and the DuckDB oracle (oracle, oracle_check).
 """

@@ -8,6 +8,7 @@ normalised to BIGINT / DOUBLE / STRING / DATE / BOOLEAN.
 
 from __future__ import annotations
 
+import os
 import threading
 from collections.abc import Callable
 
@@ -28,7 +29,8 @@ from churnlens.operators import (
 )
 from churnlens.plans.tables import ChurnTables
 from churnlens.sources.dirty import make_dirty
-from churnlens.sources.tpch import read_table
+from churnlens.sources.faulty import faulty_tables
+from churnlens.sources.tpch import SOURCE_TABLES, read_table
 from churnlens.sources.warehouse import load_customers, load_subscriptions, load_usage_metrics
 
 TableOp = Callable[[ChurnTables], DataFrame]
@@ -132,28 +134,43 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Count, bytes, latest change and digest of the source files: a listing, no file is read."""
+    paths = [os.path.join(sf_dir, f"{name}.parquet") for name in SOURCE_TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return tuple(files.agg(
+        F.count("*"), F.sum("length"), F.max("modificationTime"),
+        F.bit_xor(F.xxhash64("path", "length", "modificationTime")),
+    ).first())
+
+
 class TableCache:
-    """Load each table bundle once per (session, data folder), like a load step.
+    """Load each table bundle once per (session, state of the data folder), like a load step.
 
     ``get`` gives the tables derived from the driver's data; ``get_cleaned``
-    the tables loaded from the cleaned dirty records.  With ``materialize``
-    both are written below the shared checkpoint folder (lineage cut).
+    the tables loaded from the cleaned dirty records; ``get_faulty`` tables
+    that break the declared constraints.  With ``materialize`` the first two are
+    written below the shared checkpoint folder (lineage cut).  A changed source
+    file makes the next call load again; ``drop`` drops all written tables, those
+    of earlier states included (a result may still read them until then).
     """
 
     def __init__(self, materialize: bool = True):
         self._materialize = materialize
         self._lock = threading.RLock()
-        self._cache: dict[tuple[str, str, str], ChurnTables] = {}
+        self._cache: dict[tuple, ChurnTables] = {}
 
     @staticmethod
-    def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
-        try:
-            app = spark.sparkContext.applicationId
-        except Exception:  # no JVM context available (e.g. a remote session)
-            app = str(id(spark))
-        return app, sf_dir.rstrip("/"), kind
-
-    def _load(self, spark: SparkSession, key: tuple[str, str, str], build: Callable[[], ChurnTables],
+    def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
+        return spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind, source_state(spark, sf_dir)
+
+    def drop(self) -> None:
+        with self._lock:
+            for tables in self._cache.values():
+                tables.drop()
+            self._cache.clear()
+
+    def _load(self, spark: SparkSession, key: tuple, build: Callable[[], ChurnTables],
               unique_key: bool) -> ChurnTables:
         with self._lock:
             cached = self._cache.get(key)
@@ -173,19 +190,23 @@ class TableCache:
         return self._load(spark, self._key(spark, sf_dir, "cleaned"),
                           lambda: cleaned_tables(self.get(spark, sf_dir)), unique_key=False)
 
+    def get_faulty(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
+        return faulty_tables(self.get(spark, sf_dir))
+
 
 def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cache = cache or TableCache()
 
-    def bind(op: TableOp, cleaned: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def bind(op: TableOp, load: Callable[[SparkSession, str], ChurnTables] = cache.get
+             ) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tables = cache.get_cleaned(spark, sf_dir) if cleaned else cache.get(spark, sf_dir)
-            return normalize_types(op(tables))
+            return normalize_types(op(load(spark, sf_dir)))
         run.__doc__ = op.__doc__
         return run
 
     out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING}.items()}
-    out.update({name: bind(op, cleaned=True) for name, op in CONSTRAINTS.items()})
+    out.update({name: bind(op, cache.get_cleaned) for name, op in CONSTRAINTS.items()})
+    out.update({f"{name}_faulty": bind(op, cache.get_faulty) for name, op in CONSTRAINTS.items()})
     out["inactive_users"] = lambda spark, sf_dir: normalize_types(
         extras.inactive_users(read_table(spark, sf_dir, "events"))
     )

@@ -57,6 +57,11 @@ class ChurnTables:
     def materialize(self, buckets: int | None = None, bucketed: bool = True) -> "ChurnTables":
         return materialize(self, buckets, bucketed)
 
+    def drop(self) -> None:
+        """Drop the written tables, files included; a lazy bundle has none."""
+        if self.database:
+            self.wide.sparkSession.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
 
 BUCKETS_CONF = "spark.churnlens.buckets"
 
@@ -128,10 +133,9 @@ def _create_views(spark: SparkSession, database: str) -> None:
               f"SELECT {', '.join(CUSTOMER_COLUMNS)} FROM {wide}")
     spark.sql(f"CREATE OR REPLACE VIEW {database}.usage_metrics AS "
               f"SELECT {', '.join(USAGE_COLUMNS)} FROM {wide}")
-    # the plan lookup is the seeded three-row table: broadcast by hint
     spark.sql(
         f"CREATE OR REPLACE VIEW {database}.subscriptions AS "
-        f"SELECT /*+ BROADCAST(p) */ w.customer_id, p.plan_id, w.plan_name, w.plan_price, "
+        f"SELECT w.customer_id, p.plan_id, w.plan_name, w.plan_price, "
         f"w.join_date AS start_date, w.cancellation_date AS end_date, NOT w.is_churned AS is_active "
         f"FROM {wide} w JOIN {database}.subscription_plans p ON w.plan_name = p.plan_name"
     )

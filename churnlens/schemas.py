@@ -22,17 +22,8 @@ PLANS = [
     ("Standard", Decimal("15.99"), "2 screens, HD quality"),
     ("Premium", Decimal("22.99"), "4 screens, 4K quality"),
 ]
-REGIONS = ["Northeast", "Southeast", "Midwest", "Southwest", "West", "International"]
 UNKNOWN_REGION = "Unknown"
 PAYMENT_METHODS = ["Credit Card", "Debit Card", "PayPal", "Bank Transfer"]
-CANCELLATION_REASONS = [
-    "Too Expensive",
-    "Not Enough Content",
-    "Technical Issues",
-    "Switching to Competitor",
-    "No Longer Needed",
-    "Found Better Alternative",
-]
 # Age bands: label, lowest age, highest age.
 AGE_GROUPS = [
     ("18-24", 18, 24),
@@ -64,8 +55,6 @@ MATRIX_COLUMNS = [
     "avg_monthly_logins", "avg_session_minutes",
     "support_tickets", "billing_issues_count",
 ]
-# Snapshot date of the generated data set (tenure runs to it).
-REFERENCE_SNAPSHOT = "2024-09-30"
 # ---------------------------------------------------------------------------
 
 PRICE_TYPE = T.DecimalType(6, 2)

@@ -9,6 +9,7 @@ absent, which is the case in tests and local benchmarking.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,34 +52,26 @@ def build_session(
     return spark
 
 
-_LOCAL_ROOTS: dict[int, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if none is set.
+    """Return the shared checkpoint folder.
 
     Order: the context's checkpoint directory, then ``spark.checkpoint.dir``
-    from the session configuration; only when both are absent (tests, local
-    runs) a temporary folder is created once per session and registered as the
-    context's checkpoint directory.
+    from the session configuration.  Where both are absent, a ``local`` master
+    (tests, local runs) gets a temporary folder, registered as the context's
+    checkpoint directory; any other master fails, since its executors would
+    not see such a folder.
     """
-    try:
-        current = spark.sparkContext.getCheckpointDir()
-    except Exception:  # no JVM context available (e.g. a remote session)
-        current = None
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if not configured:
-        configured = _LOCAL_ROOTS.get(id(spark))
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
-            _LOCAL_ROOTS[id(spark)] = configured
-    try:
-        spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    except Exception:
-        return configured
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is not set: it must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
+    context.setCheckpointDir(configured)
+    return context.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -18,9 +18,8 @@ the map-side combine removes most rows), joined to orders on the unique order
 key, then aggregated per customer with map-side partial aggregation (a customer
 with a third of all orders becomes one partial row per task, not a hot
 partition).  ``as_of`` is a scalar subquery (one value, computed once).  The
-nation/region dimension is broadcast after a bounded row-count check
-(``broadcast_if_small``); the customer join is left to Catalyst's size-based
-choice and AQE, which use a sort-merge join when it is large.
+nation/region dimension and the customer join are left to Catalyst's size-based
+choice and AQE, which use a sort-merge join when a side is large.
 """
 
 from __future__ import annotations
@@ -32,12 +31,12 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import months_between_div30
 from churnlens.functions.tiers import age_group
-from churnlens.plans.broadcast import broadcast_if_small
 from churnlens.schemas import METRIC_TYPE, PAYMENT_METHODS, PLANS, PRICE_TYPE, WIDE_COLUMNS
 
 # ---------------------------------------------------------------------------
 # Fixed values of the derivation.
 # ---------------------------------------------------------------------------
+SOURCE_TABLES = ("customer", "nation", "region", "orders", "lineitem")
 CHURN_GAP_DAYS = 270
 SEGMENT_TO_PLAN = {
     "AUTOMOBILE": "Basic",
@@ -120,9 +119,8 @@ def derive_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    # nation x region is a small dimension: broadcast after a bounded size check, so the
-    # customer-grain rows are never shuffled by nation key (25 values: a skewed shuffle)
-    geo = broadcast_if_small(nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left"))
+    # Catalyst broadcasts this dimension by its size
+    geo = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
 
     joined = (
         facts.join(customer, facts["customer_id"] == customer["c_custkey"], "inner")

@@ -1,7 +1,7 @@
 """Load the wide record into the plan / customer / subscription / usage schema.
 
-S3-S5 are projections of the wide record; S4 joins the three-row plan lookup
-(a literal relation, so its broadcast is bounded by construction).  Surrogate
+S3-S5 are projections of the wide record; S4 joins the plan lookup, which the
+seeded literal relation lets Catalyst broadcast by its known size.  Surrogate
 keys come from ``monotonically_increasing_id`` (unique, not dense), load
 timestamps from ``current_timestamp``; neither is part of compared output.
 """
@@ -40,8 +40,12 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
 
 def plans_frame(spark: SparkSession) -> DataFrame:
     """The seeded plan lookup, ``plan_id`` 1..3 in seed order."""
-    rows = [(i, name, price, features) for i, (name, price, features) in enumerate(PLANS, start=1)]
-    return spark.createDataFrame(rows, PLANS_SCHEMA)
+    rows = F.array(*[
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((i, *plan), PLANS_SCHEMA.fields)])
+        for i, plan in enumerate(PLANS, start=1)
+    ])
+    # one literal row unfolded: Catalyst knows its size (the outer form keeps the columns nullable)
+    return spark.range(1).select(F.inline_outer(rows))
 
 
 def load_customers(wide: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def load_customers(wide: DataFrame) -> DataFrame:
 
 def load_subscriptions(wide: DataFrame, plans: DataFrame) -> DataFrame:
     """One subscription per wide row whose plan name is in the lookup (inner join)."""
-    lookup = F.broadcast(plans.select("plan_id", F.col("plan_name").alias("_lookup_name")))
+    lookup = plans.select("plan_id", F.col("plan_name").alias("_lookup_name"))
     joined = wide.join(lookup, wide["plan_name"] == lookup["_lookup_name"], "inner")
     return joined.select(
         "customer_id",

@@ -1,28 +1,17 @@
-"""Session, cache and broadcast helpers."""
+"""Session and cache helpers."""
 
 from __future__ import annotations
 
-from churnlens.plans.broadcast import broadcast_if_small
-from churnlens.plans.catalog import TableCache
-from churnlens.session import checkpoint_root
-from tests.conftest import SF_SMALL
-
+import shutil
+from types import SimpleNamespace
 
-def _is_broadcast(df, other) -> bool:
-    joined = other.join(df, "id")
-    return "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+import pytest
+from pyspark.sql import functions as F
 
-
-def test_broadcast_only_below_the_bound(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = spark.range(0, 50_000)
-        small = spark.range(0, 10)
-        assert _is_broadcast(broadcast_if_small(small, max_rows=100), big)
-        assert not _is_broadcast(broadcast_if_small(big, max_rows=100), small)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+from churnlens.operators import kpis
+from churnlens.plans.catalog import CONSTRAINTS, TableCache
+from churnlens.session import checkpoint_root
+from tests.conftest import SF_SMALL
 
 
 def test_cache_loads_once_and_reloads_after_catalog_loss(spark):
@@ -50,3 +39,41 @@ def test_bucket_count_setting(spark):
     finally:
         spark.conf.unset(BUCKETS_CONF)
     assert _bucket_count(spark, None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cache_loads_again_after_a_source_file_changed(spark, tmp_path):
+    for name in ("customer", "nation", "region", "orders", "lineitem"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    cache = TableCache()
+    assert kpis.overall_churn(cache.get(spark, str(tmp_path))).first().total_customers == 150
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_custkey % 3 = 0")
+    expected = orders.agg(F.countDistinct("o_custkey")).first()[0]
+    assert 0 < expected < 150
+    orders.toPandas().to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    assert kpis.overall_churn(cache.get(spark, str(tmp_path))).first().total_customers == expected
+    databases = [t.database for t in cache._cache.values()]
+    assert len(databases) == 2
+    cache.drop()
+    assert not any(spark.catalog.databaseExists(d) for d in databases)
+
+
+def test_no_local_folder_off_a_local_master():
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf={})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(session)
+
+
+@pytest.mark.parametrize("name", sorted(CONSTRAINTS))
+def test_each_constraint_can_fail(spark, cache, name):
+    rows = CONSTRAINTS[name](cache.get_faulty(spark, SF_SMALL)).collect()
+    generated = {"subscriptions.subscription_id PRIMARY KEY", "usage_metrics.metric_id PRIMARY KEY"}
+    zero = {r.constraint_name for r in rows if r.violations == 0}
+    assert zero <= generated
+
+
+def test_repeated_surrogate_keys_are_counted(spark, small_tables):
+    from dataclasses import replace
+    doubled = small_tables.usage_metrics.withColumn("metric_id", F.pmod("customer_id", F.lit(10)))
+    rows = CONSTRAINTS["check_primary_key"](replace(small_tables, usage_metrics=doubled)).collect()
+    assert {r.constraint_name: r.violations for r in rows}["usage_metrics.metric_id PRIMARY KEY"] == 10
