@@ -11,9 +11,14 @@
    ``SAMPLE_DOCS`` documents (chosen by a hash of the id), labelled by the base
    checks, and turned into one SQL expression, so scoring the corpus is a
    narrow pass without Python.
-4. Thresholds are calibrated for each kind on held-out candidates: the lowest
-   score from which at least ``PRECISION`` of them are right.  Kinds without
-   such a score, or a sample without both labels, select nothing.
+4. Thresholds are calibrated for each kind on the candidates of all documents,
+   by one aggregate over kind and rounded score: the lowest score from which at
+   least ``PRECISION`` of them are right.  Kinds without such a score, or a
+   sample without both labels, select nothing.  A card candidate that meets no
+   base span but passes the card checks is neither right nor wrong.
+
+Base spans and described candidates are written once, with the carried columns;
+the fit, the calibration and the result read them there.
 
 A selected candidate is added unless it overlaps a base span or a selected one
 of higher score.  Positions are code points, end exclusive.
@@ -36,9 +41,7 @@ from churnlens.llm.common import Scratch, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4000
-HELD_OUT = 4  # one in HELD_OUT candidates calibrates
 PRECISION = 0.95
-LEAST_HELD = 20
 TREES, TREE_DEPTH = 12, 3
 CONTEXT = 16
 
@@ -51,7 +54,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _GENERATORS = (
     (("email",), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[(\[]at[)\]] ?|@| at )"
                  r"[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.| dot )[A-Za-z0-9-]++)++"),
-    (("phone", "card"), r"\+?[0-9](?:[ ().-]{0,2}[0-9])++"),
+    (("phone", "card"), r"\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}+"),
     (("phone", "card"), r"(?<![0-9])[0-9]{7,}+"),
     (("ip",), r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
 )
@@ -177,20 +180,33 @@ def features(c: Column) -> list[tuple[str, Column]]:
 
 # ---- model ---------------------------------------------------------------
 
-def _sample(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """Labelled candidates of at most ``sample_docs`` documents, chosen by a hash of the id."""
-    ident = F.col(f"`{id_col}`")
-    draw = F.xxhash64(F.lit("pii"), ident)
-    drawn = docs.select(draw.alias("draw")).distinct().orderBy("draw").limit(sample_docs)
-    drawn = scratch.table(drawn, "drawn")
-    texts = docs.select(draw.alias("draw"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")) \
-        .join(drawn, "draw", "left_semi")
-    spanned = texts.select("draw", base_spans(F.col("text")).alias("base"),
-                           F.explode(candidate_spans(F.col("text"))).alias("c"))
-    label = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start"))
-                     & (b["stop"] == F.col("c.stop")))
-    rows = spanned.select(F.xxhash64("draw", "c.start", "c.kind", "c.stop").alias("draw"), label.cast("double").alias("label"),
-                          *[f.alias(name) for name, f in features(F.col("c"))])
+def _described(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """The carried columns (as c0, c1, ...), a hash of the id, the base spans and the described candidates."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
+                       F.xxhash64(F.lit("pii"), F.col(f"`{id_col}`")).alias("draw"),
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("found", candidate_spans(F.col("text")))
+
+    def free(c: Column) -> Column:
+        return ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+
+    def label(c: Column) -> Column:
+        equal = F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"]) & (b["stop"] == c["stop"]))
+        passes = (c["kind"] == KINDS.index("card")) & _valid("card", c["match"])
+        return F.when(equal, 1.0).when(~(free(c) & passes), 0.0)
+
+    described = F.transform("found", lambda c: F.struct(
+        c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), free(c).alias("free"),
+        label(c).alias("label"), F.struct(*[f.alias(n) for n, f in features(c)]).alias("f")))
+    return scratch.publish(rows.withColumn("described", described).drop("text", "found"), "described")
+
+
+def _sample(scratch: Scratch, described: DataFrame, sample_docs: int) -> DataFrame:
+    """Labelled candidates of at most ``sample_docs`` documents that have any, chosen by a hash of the id."""
+    some = described.filter(F.size("described") > 0)
+    drawn = scratch.table(some.select("draw").distinct().orderBy("draw").limit(sample_docs), "drawn")
+    rows = some.join(drawn, "draw", "left_semi").select("draw", F.explode("described").alias("c")).select(
+        F.xxhash64("draw", "c.start", "c.kind", "c.stop").alias("draw"), "c.label", "c.f.*").filter("label IS NOT NULL")
     # as many candidates as fit the bound, in a fixed order
     return scratch.table(rows.dropDuplicates(["draw"]).orderBy("draw").limit(10 * sample_docs), "sample")
 
@@ -209,22 +225,19 @@ def _tree_sql(text: str, names: list[str]) -> str:
     return node(0)[0]
 
 
-def fit(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> tuple[str, dict[int, float]] | None:
+def fit(scratch: Scratch, described: DataFrame, sample_docs: int = SAMPLE_DOCS,
+        precision: float = PRECISION) -> tuple[str, dict[int, float]] | None:
     """(score as SQL over a feature struct ``f``, threshold of each kind), or None without both labels."""
-    sample = _sample(scratch, docs, id_col, text_col, sample_docs)
-    names = [name for name, _ in features(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (
-        ("start", "bigint"), ("kind", "int"), ("stop", "bigint"), ("match", "string"), ("before", "string"),
-        ("after", "string"))]))]
-    held = F.pmod(F.col("draw"), F.lit(HELD_OUT)) == 0
-    train = VectorAssembler(inputCols=names, outputCol="features").transform(sample.filter(~held))
-    labels = train.groupBy("label").count().collect()  # two rows at most
-    if len(labels) < 2 or min(r["count"] for r in labels) < LEAST_HELD:
+    sample = _sample(scratch, described, sample_docs)
+    names = [c for c in sample.columns if c not in ("draw", "label")]
+    train = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
+    if len(train.select("label").distinct().collect()) < 2:
         return None
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=TREE_DEPTH,
                           stepSize=0.3, seed=7).fit(train.coalesce(2))
     score = " + ".join(f"{w!r}D * ({_tree_sql(t.toDebugString, names)})" for t, w in zip(model.trees, model.treeWeights))
-    scored = sample.filter(held).select("kind", "label", F.struct(*names).alias("f")) \
+    scored = described.select(F.explode("described").alias("c")).select("c.kind", "c.label", "c.f") \
+        .filter("label IS NOT NULL") \
         .select("kind", "label", F.round(F.expr(score), 2).alias("score"))
     # one row for each kind and score in steps of 0.01
     bins = scored.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")) \
@@ -236,7 +249,7 @@ def fit(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str
         if r["kind"] != kind:
             kind, right, seen = r["kind"], 0.0, 0
         right, seen = right + r["right"], seen + r["n"]
-        if seen >= LEAST_HELD and right >= precision * seen and r["score"] > 0:
+        if right >= precision * seen and r["score"] > 0:
             thresholds[int(kind)] = r["score"]
     return score, thresholds
 
@@ -247,21 +260,14 @@ def find_spans(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_c
     """Rows of ``docs`` with the struct ``pii`` (or a free name): base and spans, arrays of (start, kind, stop)."""
     carry = list(docs.columns) if carry is None else carry
     name = fresh(docs.columns, "pii")
-    model = fit(scratch, docs, id_col, text_col, sample_docs, precision)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
+    described = _described(scratch, docs, id_col, text_col, carry)
+    carried = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
+    model = fit(scratch, described, sample_docs, precision)
     if model is None or not model[1]:
-        return based.select("row.*", F.struct("base", F.col("base").alias("spans")).alias(name))
+        return described.select(*carried, F.struct("base", F.col("base").alias("spans")).alias(name))
     score, thresholds = model
-    free = F.filter(candidate_spans(F.col("text")), lambda c: ~F.exists(
-        "base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    based = based.withColumn("free", free)
-    described = based.withColumn("described", F.transform("free", lambda c: F.struct(
-        c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"),
-        F.struct(*[f.alias(n) for n, f in features(c)]).alias("f"))))
     chosen = described.withColumn("scored", F.expr(
-        "transform(described, x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop, "
+        "transform(filter(described, x -> x.free), x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop, "
         f"transform(array(x.f), f -> {score})[0] AS score))"))
     limits = " ".join(f"WHEN {k} THEN {v!r}D" for k, v in sorted(thresholds.items()))
     chosen = chosen.withColumn("selected", F.expr(
@@ -271,7 +277,7 @@ def find_spans(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_c
         "struct(y.score, -y.start, -y.kind, y.stop) > struct(x.score, -x.start, -x.kind, x.stop))), "
         "x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop))"))
     spans = F.array_sort(F.concat("base", "added"))
-    return chosen.select("row.*", F.struct("base", spans.alias("spans")).alias(name))
+    return chosen.select(*carried, F.struct("base", spans.alias("spans")).alias(name))
 
 
 def label_spans(spans: Column) -> Column:

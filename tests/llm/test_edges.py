@@ -165,6 +165,17 @@ def test_pii_model_adds_joined_cards(spark, scratch):
     assert all(spans[i] == brute.pii(t) for i, t in rows[:300])
 
 
+def test_pii_thresholds_come_from_all_documents(spark, scratch):
+    """Three cards in the fitted documents and nine elsewhere, fewer than any held-out share would hold."""
+    cards = ["4539578763621486", "4785380592391139", "4737097684299439", "4994226020900891"] * 3
+    rows = [(i, f"pay {c} now, order {10 ** 11 + i * 104729} ref 123 4567 {i}") for i, c in enumerate(cards)]
+    rows.append((12, f"two {cards[0]} {cards[1]} cards"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.pii.spans] for r in pii.find_spans(scratch, frame, sample_docs=5).collect()}
+    assert spans[12] == [(4, 2, 20), (21, 2, 37)]
+    assert all(spans[i] == brute.pii(t) for i, t in rows[:12])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/s[]INST \\ab\nSYé", max_size=40))
 def test_escaping_is_reversible(text):
