@@ -7,15 +7,18 @@
    separators, plain digit runs, dotted quads.
 3. Gradient-boosted trees score each candidate from its format (digits,
    groups, separators, checksum, parts) and its context (characters around it,
-   cue words before it).  They are fitted on the candidates of at most
-   ``SAMPLE_DOCS`` documents (chosen by a hash of the id), labelled by the base
-   checks, and turned into one SQL expression, so scoring the corpus is a
-   narrow pass without Python.
-4. Thresholds are calibrated for each kind on the candidates of all documents,
-   by one aggregate over kind and rounded score: the lowest score from which at
-   least ``PRECISION`` of them are right.  Kinds without such a score, or a
-   sample without both labels, select nothing.  A card candidate that meets no
-   base span but passes the card checks is neither right nor wrong.
+   cue words before it).  Right are rewritten base spans in their own context
+   (``@`` and ``.`` as at/dot, no ``+``, no country code, digits regrouped, two
+   cards run together); wrong are the pieces proposed around those, and
+   candidates that meet no base span and fail the checks of their kind.
+   Candidates that pass them in a form that rewriting gives (phones: one of the
+   rewritten shapes, or after a cue word) are neither.  The trees are fitted on
+   at most ``SAMPLE_DOCS`` documents (chosen by a hash of the id) and turned into
+   one SQL expression, so scoring the corpus is a narrow pass without Python.
+4. Thresholds are calibrated for each kind on the right and wrong rows of all
+   documents, by one aggregate over kind and rounded score: the lowest score
+   from which at least ``PRECISION`` of them are right.  Kinds without such a
+   score, or a corpus without both labels, select nothing.
 
 Base spans and described candidates are written once, with the carried columns;
 the fit, the calibration and the result read them there.
@@ -44,11 +47,13 @@ SAMPLE_DOCS = 4000
 PRECISION = 0.95
 TREES, TREE_DEPTH = 12, 3
 CONTEXT = 16
+SNIPPET = 40  # characters kept on each side of a rewritten span
+SHAPES = 200  # most frequent rewritten phone shapes
 
 # base patterns; possessive groups and the look-behind only keep long runs linear
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-_CARD = r"[0-9](?:[\x20-]?[0-9])++"
+_CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # fewer digits are no card
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # generators: (kinds proposed, pattern)
 _GENERATORS = (
@@ -56,7 +61,8 @@ _GENERATORS = (
                  r"[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.| dot )[A-Za-z0-9-]++)++"),
     (("phone", "card"), r"\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}+"),
     (("phone", "card"), r"(?<![0-9])[0-9]{7,}+"),
-    (("ip",), r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
+    (("phone",), r"\([0-9]{1,4}\)(?:[ ().-]{0,2}[0-9]){6,}+"),
+    (("ip",), r"(?<![0-9.])[0-9]{1,3}(?:(?:\.| ?[(\[](?:dot|\.)[)\]] ?| dot )[0-9]{1,3}){3}(?![0-9])"),
 )
 _CUES = r"(?i)(?:mail|phone|call|tel|fax|card|visa|ip|host|address|contact)[^\w]*$"
 
@@ -144,15 +150,21 @@ def candidate_spans(text: Column) -> Column:
                   "before:string,after:string>>)")
     found = []
     for kinds, pattern in _GENERATORS:
-        guard = text.rlike(r"@|[(\[]at[)\]]| at .+ dot ") if kinds == ("email",) else text.rlike("[0-9]")
+        guard = text.rlike(r"@|[(\[]at[)\]]| at [A-Za-z0-9-]++(?: ?[(\[]dot| dot |\.)") if kinds == ("email",) else text.rlike("[0-9]")
         spans = _spans(text, pattern)
         found += [F.when(guard, _proposed(text, spans, kind)).otherwise(none) for kind in kinds]
     return F.array_distinct(F.concat(*found))
 
 
+def _plain(s: Column) -> Column:
+    """at/dot and bracketed dots written as ``@`` and ``.``."""
+    return F.regexp_replace(F.regexp_replace(s, r" ?[(\[]at[)\]] ?| at ", "@"), r" ?[(\[](?:dot|\.)[)\]] ?| dot ", ".")
+
+
 def features(c: Column) -> list[tuple[str, Column]]:
     """Format and context features of a candidate (a struct column)."""
     s, digits = c["match"], _digits(c["match"])
+    plain = _plain(s)
     flag = lambda cond: F.when(cond, 1.0).otherwise(0.0)
     number = lambda col: col.cast("double")
     groups = F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0))
@@ -163,14 +175,14 @@ def features(c: Column) -> list[tuple[str, Column]]:
         ("n_digits", number(F.length(digits))),
         ("n_groups", number(F.size(groups))),
         ("longest_group", number(longest)),
-        ("n_dots", number(F.length(s) - F.length(F.replace(s, F.lit("."), F.lit(""))))),
+        ("n_dots", number(F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit(""))))),
         ("n_letters", number(F.length(F.regexp_replace(s, "[^A-Za-z]", "")))),
         ("has_at", flag(s.contains("@"))),
         ("has_paren", flag(s.contains("("))),
         ("has_plus", flag(s.startswith("+"))),
         ("luhn", flag(luhn(digits))),
-        ("small_parts", flag(_small_parts(F.regexp_replace(s, "[^0-9.]", "")))),
-        ("last_part", number(F.length(F.substring_index(s, ".", -1)))),
+        ("small_parts", flag(_small_parts(F.regexp_replace(plain, "[^0-9.]", "")))),
+        ("last_part", number(F.length(F.substring_index(plain, ".", -1)))),
         ("cue", flag(c["before"].rlike(_CUES))),
         ("joined_before", flag(c["before"].rlike(r"[\w.@]$"))),
         ("joined_after", flag(c["after"].rlike(r"^\w"))),
@@ -187,26 +199,85 @@ def _described(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, ca
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("found", candidate_spans(F.col("text")))
 
-    def free(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-
-    def label(c: Column) -> Column:
-        equal = F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"]) & (b["stop"] == c["stop"]))
-        passes = (c["kind"] == KINDS.index("card")) & _valid("card", c["match"])
-        return F.when(equal, 1.0).when(~(free(c) & passes), 0.0)
-
-    described = F.transform("found", lambda c: F.struct(
-        c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), free(c).alias("free"),
-        label(c).alias("label"), F.struct(*[f.alias(n) for n, f in features(c)]).alias("f")))
-    return scratch.publish(rows.withColumn("described", described).drop("text", "found"), "described")
-
 
-def _sample(scratch: Scratch, described: DataFrame, sample_docs: int) -> DataFrame:
-    """Labelled candidates of at most ``sample_docs`` documents that have any, chosen by a hash of the id."""
-    some = described.filter(F.size("described") > 0)
-    drawn = scratch.table(some.select("draw").distinct().orderBy("draw").limit(sample_docs), "drawn")
-    rows = some.join(drawn, "draw", "left_semi").select("draw", F.explode("described").alias("c")).select(
-        F.xxhash64("draw", "c.start", "c.kind", "c.stop").alias("draw"), "c.label", "c.f.*").filter("label IS NOT NULL")
+    def passes(c: Column) -> Column:
+        checks = [_valid(k, _plain(c["match"])) for k in KINDS]
+        return F.element_at(F.array(*checks), c["kind"] + 1)
+
+    free = F.filter("found", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    described = F.transform(free, lambda c: F.struct(
+        c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), passes(c).alias("passes"),
+        F.regexp_replace(c["match"], "[0-9]", "9").alias("shape"),
+        F.struct(*[f.alias(n) for n, f in features(c)]).alias("f")))
+    marks = F.transform("base", lambda b: F.struct(
+        b["kind"].alias("kind"),
+        F.substring("text", F.greatest(b["start"] - SNIPPET, F.lit(0)).cast("int") + 1,
+                    F.least(b["start"], F.lit(SNIPPET)).cast("int")).alias("before"),
+        F.substring("text", b["start"].cast("int") + 1, (b["stop"] - b["start"]).cast("int")).alias("match"),
+        F.substring("text", b["stop"].cast("int") + 1, F.lit(SNIPPET)).alias("after")))
+    return scratch.publish(rows.withColumn("described", described).withColumn("marks", marks).drop("text", "found"),
+                           "described")
+
+
+def _forms(kind: Column, s: Column) -> Column:
+    """array of (prefix, body, suffix): a base span of ``kind`` rewritten; ``body`` is to be found."""
+    def form(body: Column, prefix: Column | None = None, suffix: Column | None = None) -> Column:
+        return F.struct((F.lit("") if prefix is None else prefix).alias("prefix"), body.alias("body"),
+                        (F.lit("") if suffix is None else suffix).alias("suffix"))
+
+    name, host, digits = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1), _digits(s)
+    swap = lambda text, dot: F.replace(text, F.lit("."), F.lit(dot))
+    emails = [form(F.concat(name, F.lit(at), swap(host, dot))) for at, dot in (
+        (" at ", " dot "), ("(at)", "."), (" at ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "))]
+    ips = [form(swap(s, dot)) for dot in ("[.]", "(dot)", " dot ")]
+    spaced = lambda text, by: F.regexp_replace(text, r"([0-9]{4})(?=[0-9])", f"$1{by}")
+    cards = [form(spaced(digits, ".")), form(spaced(digits, "  ")), form(s, suffix=F.concat(F.lit(" "), s)),
+             form(s, prefix=F.concat(s, F.lit(" ")))]
+    bare, local = F.expr("substring(m.match, 2)"), F.right(digits, F.lit(10))
+    grouped = lambda by: F.regexp_replace(local, "^([0-9]{3})([0-9]{3})", f"$1{by}$2{by}")
+    phones = [form(x) for x in (bare, F.regexp_replace(s, r"^\+[0-9]{1,3}[ .-]*(?=[(0-9])", ""), digits, local,
+                                grouped("-"), grouped("."), grouped(" "))]
+    by_kind = [emails, ips, cards, phones]
+    return F.element_at(F.array(*[F.array(*forms) for forms in by_kind]), kind + 1)
+
+
+def _rewritten(scratch: Scratch, described: DataFrame) -> DataFrame:
+    """Candidates around the rewritten base spans of all documents; right (label 1) are those that equal the span."""
+    forms = described.select("draw", F.explode("marks").alias("m")) \
+        .select("draw", "m", F.explode(_forms(F.col("m.kind"), F.col("m.match"))).alias("w"))
+    written = forms.select(
+        "draw", "m.kind", F.concat("m.before", "w.prefix", "w.body", "w.suffix", "m.after").alias("text"),
+        (F.char_length("m.before") + F.char_length("w.prefix")).alias("start"), F.char_length("w.body").alias("n"))
+    near = written.select("draw", F.col("kind").alias("own"), "start", (F.col("start") + F.col("n")).alias("stop"),
+                          F.explode(candidate_spans(F.col("text"))).alias("c")) \
+        .filter("c.kind = own AND c.start < stop AND start < c.stop")
+    equal = (F.col("c.start") == F.col("start")) & (F.col("c.stop") == F.col("stop"))
+    return scratch.table(near.select(
+        "draw", F.col("own").alias("kind"), equal.cast("double").alias("label"),
+        F.regexp_replace("c.match", "[0-9]", "9").alias("shape"),
+        F.struct(*[f.alias(n) for n, f in features(F.col("c"))]).alias("f")), "rewritten")
+
+
+def _labelled(scratch: Scratch, described: DataFrame) -> DataFrame:
+    """(draw, kind, label, f) of all documents: right and wrong rows."""
+    rewritten = _rewritten(scratch, described)
+    phone = KINDS.index("phone")
+    top = rewritten.filter((F.col("kind") == phone) & (F.col("label") == 1)).groupBy("shape").count() \
+        .orderBy(F.desc("count"), "shape").limit(SHAPES).collect()
+    shapes = [r["shape"] for r in top if not r["shape"].isdigit()]
+    rows = described.select("draw", F.explode("described").alias("c"))
+    known = F.col("c.passes") & ((F.col("c.kind") != phone) | (F.col("c.f.cue") == 1) | F.col("c.shape").isin(shapes))
+    wrong = rows.filter(~known).select("draw", "c.kind", F.lit(0.0).alias("label"), "c.f")
+    return rewritten.select("draw", "kind", "label", "f").union(wrong)
+
+
+def _sample(scratch: Scratch, labelled: DataFrame, sample_docs: int) -> DataFrame:
+    """Rows of at most ``sample_docs`` documents, half of them with right and half with wrong rows, by a hash of the id."""
+    right, wrong = (labelled.filter(F.col("label") == k).select("draw").distinct().orderBy("draw")
+                    .limit(max(1, sample_docs // 2)) for k in (1, 0))
+    drawn = scratch.table(right.union(wrong).distinct(), "drawn")
+    rows = labelled.join(drawn, "draw", "left_semi").select(
+        F.xxhash64("draw", "label", "f").alias("draw"), "label", "f.*")
     # as many candidates as fit the bound, in a fixed order
     return scratch.table(rows.dropDuplicates(["draw"]).orderBy("draw").limit(10 * sample_docs), "sample")
 
@@ -228,7 +299,8 @@ def _tree_sql(text: str, names: list[str]) -> str:
 def fit(scratch: Scratch, described: DataFrame, sample_docs: int = SAMPLE_DOCS,
         precision: float = PRECISION) -> tuple[str, dict[int, float]] | None:
     """(score as SQL over a feature struct ``f``, threshold of each kind), or None without both labels."""
-    sample = _sample(scratch, described, sample_docs)
+    labelled = _labelled(scratch, described)
+    sample = _sample(scratch, labelled, sample_docs)
     names = [c for c in sample.columns if c not in ("draw", "label")]
     train = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
     if len(train.select("label").distinct().collect()) < 2:
@@ -236,9 +308,7 @@ def fit(scratch: Scratch, described: DataFrame, sample_docs: int = SAMPLE_DOCS,
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=TREE_DEPTH,
                           stepSize=0.3, seed=7).fit(train.coalesce(2))
     score = " + ".join(f"{w!r}D * ({_tree_sql(t.toDebugString, names)})" for t, w in zip(model.trees, model.treeWeights))
-    scored = described.select(F.explode("described").alias("c")).select("c.kind", "c.label", "c.f") \
-        .filter("label IS NOT NULL") \
-        .select("kind", "label", F.round(F.expr(score), 2).alias("score"))
+    scored = labelled.select("kind", "label", F.round(F.expr(score), 2).alias("score"))
     # one row for each kind and score in steps of 0.01
     bins = scored.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")) \
         .orderBy("kind", F.col("score").desc()).collect()
@@ -267,7 +337,7 @@ def find_spans(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_c
         return described.select(*carried, F.struct("base", F.col("base").alias("spans")).alias(name))
     score, thresholds = model
     chosen = described.withColumn("scored", F.expr(
-        "transform(filter(described, x -> x.free), x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop, "
+        "transform(described, x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop, "
         f"transform(array(x.f), f -> {score})[0] AS score))"))
     limits = " ".join(f"WHEN {k} THEN {v!r}D" for k, v in sorted(thresholds.items()))
     chosen = chosen.withColumn("selected", F.expr(

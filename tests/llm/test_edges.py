@@ -176,6 +176,25 @@ def test_pii_thresholds_come_from_all_documents(spark, scratch):
     assert all(spans[i] == brute.pii(t) for i, t in rows[:12])
 
 
+def test_pii_rewritten_forms_are_selected(spark, scratch):
+    """Addresses with at/dot and phones without ``+`` are added to a corpus that holds the usual forms."""
+    def text(i):
+        email, phone = f"user{i}@mail{i % 7}.example.com", f"+1 ({200 + i}) 555-{1000 + i * 7}"
+        order, day = f"order {10 ** 11 + i * 104729}", f"since {i % 31}-2020-{i % 12:02d}-11"
+        return (f"mail {email} today", f"reach us, call {phone} now", f"{order} and {day}", f"write to {email} or {phone} soon",
+                f"{order} call {phone}", f"{day} mail {email} of {order}", f"phone {phone}", f"the address {email}")[i % 8]
+    rows = [(i, text(i)) for i in range(96)]
+    hidden = {100: ("mail bob at mail3.example dot com today", "bob at mail3.example dot com", 0),
+              101: ("mail eve(at)mail5.example.com today", "eve(at)mail5.example.com", 0),
+              102: ("reach us, call 1 (743) 555-3824 now", "1 (743) 555-3824", 3),
+              103: ("reach us, call 743-555-3824 now", "743-555-3824", 3)}
+    frame = spark.createDataFrame(rows + [(i, t) for i, (t, _, _) in hidden.items()], "doc_id long, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.pii.spans] for r in pii.find_spans(scratch, frame).collect()}
+    for i, (text, form, kind) in hidden.items():
+        assert spans[i] == [(text.index(form), kind, text.index(form) + len(form))]
+    assert all(spans[i] == brute.pii(t) for i, t in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/s[]INST \\ab\nSYé", max_size=40))
 def test_escaping_is_reversible(text):
