@@ -159,7 +159,69 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# steps as text: 0 and the sibling to the right, 1 and the sibling to the left, 2 for none
+_STEP = "CASE WHEN o.node IS NULL THEN '2' ELSE (t.slot % 2)::VARCHAR || o.node END"
+
+_OP12 = f"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+  FROM range(256) r(i))),
+d AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc
+      FROM documents, crc_table),
+l AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+             CASE WHEN crc % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS tampered FROM d),
+s AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS run, count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM l),
+t AS (SELECT 0 AS level, run, slot, n, leaf AS node FROM s
+      UNION ALL
+      SELECT level + 1, run, slot // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY slot)) FROM t WHERE n > 1
+      GROUP BY level, run, slot // 2, n),
+u AS (SELECT 0 AS level, run AS slot, (SELECT count(DISTINCT run) FROM s) AS n, node FROM t WHERE n = 1
+      UNION ALL
+      SELECT level + 1, slot // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY slot)) FROM u WHERE n > 1
+      GROUP BY level, slot // 2, n),
+low AS (SELECT s.run, s.slot, list({_STEP} ORDER BY t.level) AS steps
+        FROM s JOIN t ON t.run = s.run AND t.slot = s.slot >> t.level AND t.n > 1
+        LEFT JOIN t o ON o.run = t.run AND o.level = t.level AND o.slot = xor(t.slot, 1) GROUP BY ALL),
+up AS (SELECT r.run, list({_STEP} ORDER BY t.level) AS steps
+       FROM (SELECT DISTINCT run FROM s) r JOIN u t ON t.slot = r.run >> t.level AND t.n > 1
+       LEFT JOIN u o ON o.level = t.level AND o.slot = xor(t.slot, 1) GROUP BY ALL),
+p AS (SELECT s.*, list_concat(coalesce(low.steps, []), coalesce(up.steps, [])) AS steps
+      FROM s LEFT JOIN low USING (run, slot) LEFT JOIN up USING (run)),
+f AS (SELECT p.*, sha256(coalesce(array_to_string(list_transform(list_filter(steps, lambda x: x <> '2'), lambda x: x[2:]), ''), '')) AS proof_sha256,
+             list_reduce(steps, lambda a, x: sha256(CASE x[1] WHEN '0' THEN a || x[2:] WHEN '1' THEN x[2:] || a ELSE a END),
+                         tampered) AS folded_root FROM p)
+SELECT doc_id, leaf, t.node AS subroot, u.node AS root, proof_sha256, folded_root, folded_root = u.node AS verified
+FROM f JOIN t ON t.run = f.run AND t.n = 1 JOIN u ON u.n = 1
+"""
+
+_OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": _OP1, "op2_mix": _OP2, "op3_shard": _OP3, "op4_neardup": _OP4, "op5_chat": _OP5,
     "op6_substrings": _OP6, "op7_warc": _OP7, "op9_lines": _OP9,
+    "op12_merkle": _OP12, "op13_hardneg": _OP13,
 }

@@ -9,7 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import chat, decontaminate, linededup, mixing, neardup, pii, quality, sharding, substrings, warc
+from churnlens.llm import (
+    chat,
+    decontaminate,
+    hardneg,
+    langid,
+    linededup,
+    merkle,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    warc,
+)
 from churnlens.llm.common import Scratch
 from churnlens.llm.oracle import ORACLE_SQL
 
@@ -144,9 +158,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    with Scratch(spark, "op11") as scratch:
+        model = langid.fit(scratch, docs.filter(~F.coalesce(held_out, F.lit(False))))
+        said = langid.predict(docs, model, carry=["doc_id"])
+        return said.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "language.lang_pred",
+                           "language.score")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle.leaf([F.col(c) if c != "n_chars" else F.col(c) + F.when(picked, 1).otherwise(0) for c in fields])
+    with Scratch(spark, "op12") as scratch:
+        tree = merkle.manifest(scratch, docs, fields, carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+        folded = merkle.fold(F.col("tampered"), F.col("merkle.steps"))
+        return tree.select(
+            "doc_id", "merkle.leaf", "merkle.subroot", "merkle.root",
+            _sha(F.array_join(merkle.siblings(F.col("merkle.steps")), "")).alias("proof_sha256"),
+            folded.alias("folded_root"), (folded == F.col("merkle.root")).alias("verified"))
+
+
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    rows = _read(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    with Scratch(spark, "op13") as scratch:
+        return hardneg.mine(scratch, rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_mix, op3_shard, op4_neardup, op5_chat, op6_substrings, op7_warc,
-                            op8_pii, op9_lines, op10_quality)
+                            op8_pii, op9_lines, op10_quality, op11_langid, op12_merkle, op13_hardneg)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "streamed_events"]
