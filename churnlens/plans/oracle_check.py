@@ -41,7 +41,7 @@ def canonical(columns: list[str], rows: list[tuple]) -> list[str]:
 
 
 SPARK_TO_DUCK = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
 }
 
 
