@@ -29,13 +29,13 @@ languages teach nothing; equal rows get equal results.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +50,7 @@ LONG = 24
 LEAST = 1e-11
 CACHED = 200_000
 MARK = "▁"
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -64,14 +64,97 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
 
 def text_words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Lower-cased runs of letters."""
+    found = _LETTERS.findall((text or "").lower())
+    if "".join(found).isalpha():
+        return found
+    # the pattern also takes numerals such as a superscript two or a half
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = np.uint64(22)
+
+
+def _extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings, from those of the strings without their last character."""
+    mixed = (hashes ^ codes) * _MULTIPLIER
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _codes(group: list[str]) -> np.ndarray:
+    """Code points of words of one length: words x positions."""
+    points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return points.reshape(len(group), -1).astype(np.uint64) + np.uint64(1)
 
 
 class Segmenter:
-    """Forward and backward passes over the segmentations of words."""
+    """Forward and backward passes over the segmentations of words.
+
+    Pieces are looked up for many words at once, in a table by their hash.
+    """
 
     def __init__(self, pieces: list[str]):
         self._number = {p: k for k, p in enumerate(pieces)}
+        self._none = len(pieces)  # the number of what is no piece: its probability is 0
+        self._hashes = np.zeros(len(pieces) + 1, dtype=np.uint64)
+        for places, group in self._grouped(pieces):
+            if group[0]:
+                hashes = np.zeros(len(group), dtype=np.uint64)
+                for column in _codes(group).T:
+                    hashes = _extend(hashes, column)
+                self._hashes[places] = hashes
+        named = np.array([k for k, p in enumerate(pieces) if p], dtype=np.int32)
+        slots = self._hashes[named] >> (np.uint64(64) - _SLOT_BITS)
+        self._slots = np.full(1 << int(_SLOT_BITS), self._none, dtype=np.int32)
+        self._slots[slots] = named  # of several the last one
+        crowded = named[self._slots[slots] != named]
+        bits = 16
+        while True:  # wide enough that each of the others has a slot of its own
+            self._second_mask = np.uint64((1 << bits) - 1)
+            slots = (self._hashes[crowded] >> np.uint64(16)) & self._second_mask
+            if len(np.unique(slots)) == len(crowded):
+                break
+            bits += 1
+        self._second = np.full(1 << bits, self._none, dtype=np.int32)
+        self._second[slots] = crowded
+
+    def _pieces_of(self, hashes: np.ndarray) -> np.ndarray:
+        held = self._slots[hashes >> (np.uint64(64) - _SLOT_BITS)]
+        equal = self._hashes[held] == hashes
+        found = np.where(equal, held, self._none)
+        taken = np.flatnonzero(~equal & (held != self._none))
+        if len(taken):  # pieces whose slot was taken are in a second table
+            second = self._second[(hashes[taken] >> np.uint64(16)) & self._second_mask]
+            found[taken] = np.where(self._hashes[second] == hashes[taken], second, self._none)
+        return found
+
+    def _grouped(self, words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Places and words of one length together; those of more than LONG characters one by one."""
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(k)
+        for length, members in by_length.items():
+            size = 4096 if length <= LONG else 1
+            for begin in range(0, len(members), size):
+                part = members[begin: begin + size]
+                yield part, [words[k] for k in part]
+
+    def _spans(self, group: list[str]) -> list[tuple[int, int, np.ndarray]]:
+        """(start, stop, piece of each word) where any word has one, by start; unknown characters are piece 0."""
+        codes, found = _codes(group), []
+        length = codes.shape[1]
+        columns = np.ascontiguousarray(codes.T)
+        for start in range(length):
+            hashes = np.zeros(len(group), dtype=np.uint64)
+            for stop in range(start + 1, min(length, start + PIECE_CHARS) + 1):
+                hashes = _extend(hashes, columns[stop - 1])
+                pieces = self._pieces_of(hashes)
+                if stop == start + 1:
+                    found.append((start, stop, np.where(pieces == self._none, 0, pieces)))
+                elif (pieces != self._none).any():
+                    found.append((start, stop, pieces))
+        return found
 
     def spans(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end position 1..len: (start, piece) of the pieces that end there, unknown characters included."""
@@ -110,30 +193,43 @@ class Segmenter:
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """``log_probability`` of many words, those of equal length together."""
         out = np.empty((len(words), table.shape[1]))
-        by_length: dict[int, list[int]] = {}
-        for k, word in enumerate(words):
-            by_length.setdefault(len(word) if len(word) <= LONG else 0, []).append(k)
-        padded = np.vstack([table, np.zeros(table.shape[1])])  # the last row: no such piece
-        none = len(table)
-        for length, members in by_length.items():
-            if not length:
-                for k in members:
-                    out[k] = self.log_probability(words[k], table)
+        padded = np.vstack([table, np.zeros(table.shape[1])])
+        for places, group in self._grouped(words):
+            length = len(group[0])
+            if length > LONG:
+                out[places[0]] = self.log_probability(group[0], table)
                 continue
-            for begin in range(0, len(members), 4096):
-                part = members[begin: begin + 4096]
-                group = [words[k] for k in part]
-                alpha = np.zeros((length + 1, len(part), table.shape[1]))
-                alpha[0] = 1.0
-                for stop in range(1, length + 1):
-                    for start in range(max(0, stop - PIECE_CHARS), stop):
-                        missing = none if start < stop - 1 else 0
-                        numbers = [self._number.get(w[start:stop], missing) for w in group]
-                        if missing != none or any(k != none for k in numbers):
-                            alpha[stop] += alpha[start] * padded[numbers]
-                out[part] = np.log(alpha[length])
+            alpha = np.zeros((length + 1, len(group), table.shape[1]))
+            alpha[0] = 1.0
+            for start, stop, pieces in self._spans(group):
+                alpha[stop] += alpha[start] * padded[pieces]
+            out[places] = np.log(alpha[length])
         return out
 
+    def expected(self, words: list[str], times: list[int], weights: np.ndarray) -> np.ndarray:
+        """The expected number of uses of each piece over all segmentations, ``times`` each."""
+        padded, sums = np.append(weights, 0.0), np.zeros(self._none + 1)
+        plain = [float(v) for v in weights]
+        for places, group in self._grouped(words):
+            length = len(group[0])
+            if length > LONG:
+                self.add_expected(group[0], times[places[0]], plain, sums)
+                continue
+            spans = self._spans(group)
+            alpha, beta = np.zeros((2, length + 1, len(group)))
+            alpha[0] = 1.0
+            for start, stop, pieces in spans:
+                alpha[stop] += alpha[start] * padded[pieces]
+            beta[length] = np.array([times[k] for k in places]) / alpha[length]
+            used = []
+            for start, stop, pieces in reversed(spans):
+                uses = padded[pieces] * beta[stop]
+                beta[start] += uses
+                used.append(uses * alpha[start])
+            sums += np.bincount(np.concatenate([pieces for _, _, pieces in reversed(spans)]), weights=np.concatenate(used),
+                                minlength=len(sums))
+        return sums[:-1]
+
     def add_expected(self, word: str, times: float, weights: list[float], into: np.ndarray) -> None:
         """Adds the expected number of uses of each piece, over all segmentations, to ``into``."""
         spans = self.spans(word)
@@ -170,18 +266,18 @@ class Model:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a batch counted by language; a row without a word (NULL) counts the language's documents."""
-    fields = [("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = text_words(text.as_py())
             if found:
-                counts[lang, None] += 1
-            for word, n in Counter(found).items():
-                counts[lang, word] += n
+                here = counts.setdefault(lang, Counter())
+                here.update(found)
+                here[None] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-             pa.array(list(counts.values()), pa.int64())], [n for n, _ in fields])
+            [pa.array([lang for lang, c in counts.items() for _ in c], pa.string()),
+             pa.array([w for c in counts.values() for w in c], pa.string()),
+             pa.array([n for c in counts.values() for n in c.values()], pa.int64())], ["lang", "word", "n"])
 
 
 def _expected(shared, languages: list[str]):
@@ -190,11 +286,15 @@ def _expected(shared, languages: list[str]):
         pieces, table = shared.value
         segmenter, index = Segmenter(pieces), {lang: k for k, lang in enumerate(languages)}
         sums = np.zeros((len(languages), len(pieces)))
-        columns = [[float(v) for v in column] for column in table.T]  # plain floats are faster one by one
         for batch in batches:
+            words: dict[str, tuple[list, list]] = {}
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                here = words.setdefault(lang, ([], []))
+                here[0].append(MARK + word)
+                here[1].append(n)
+            for lang, (names, times) in words.items():
                 k = index[lang]
-                segmenter.add_expected(MARK + word, n, columns[k], sums[k])
+                sums[k] += segmenter.expected(names, times, table[:, k])
         lang, piece = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[lang, piece], pa.float64())],
@@ -231,34 +331,51 @@ def fit(scratch: Scratch, docs: DataFrame, text_col: str = "text", lang_col: str
     return Model(pieces, languages, table, np.array([math.log(r.n / total) for r in documents]))
 
 
+class _Words:
+    """Log probabilities of the words seen so far; more than CACHED of them start anew."""
+
+    def __init__(self, model: Model):
+        self._model, self._segmenter = model, Segmenter(model.pieces)
+        self._place: dict[str, int] = {}
+        self._values = np.empty((1024, len(model.languages)))
+
+    def sums(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text the sum of its words' log probabilities, by language."""
+        every = set().union(*texts)
+        new = every.difference(self._place)
+        if len(self._place) + len(new) > CACHED:
+            self._place, new = {}, every
+        if new:
+            names, begin = sorted(new), len(self._place)
+            end = begin + len(names)
+            if end > len(self._values):
+                more = np.empty((max(end, 2 * len(self._values)) - len(self._values), self._values.shape[1]))
+                self._values = np.concatenate([self._values, more])
+            self._values[begin:end] = self._segmenter.log_probabilities([MARK + w for w in names], self._model.table)
+            self._place.update(zip(names, range(begin, end)))
+        find = self._place.__getitem__
+        return [self._values.take(np.fromiter(map(find, t), np.int64, len(t)), axis=0).sum(axis=0) for t in texts]
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        segmenter, known = Segmenter(model.pieces), {}
-        values = np.empty((0, len(model.languages)))
-        fields = [("lang_pred", pa.string()), ("score", pa.float64())]
+        words = _Words(model)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                texts = [Counter(text_words(t.as_py())) for t in part.column(0)]
-                new = {w for t in texts for w in t if w not in known}
-                if len(known) + len(new) > CACHED:
-                    known, values = {}, values[:0]
-                    new = {w for t in texts for w in t}
-                fresh_words = sorted(new)
-                known.update(zip(fresh_words, range(len(known), len(known) + len(fresh_words))))
-                values = np.vstack([values, segmenter.log_probabilities([MARK + w for w in fresh_words], model.table)])
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                texts = [text_words(t.as_py()) if model.languages else [] for t in part.column(0)]
                 said = []
-                for text in texts:
-                    if not text or not model.languages:
+                for text, logs in zip(texts, words.sums(texts)):
+                    if not text:
                         said.append(("und", 0.0))
                         continue
-                    rows = values[[known[w] for w in text]]
-                    logs = model.prior + np.fromiter(text.values(), np.float64, len(text)) @ rows
+                    logs = model.prior + logs
                     best = int(np.argmax(logs))
                     said.append((model.languages[best], round(1.0 / float(np.exp(logs - logs[best]).sum()), 6)))
                 language = pa.StructArray.from_arrays(
-                    [pa.array([s[k] for s in said], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+                    [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
+                    ["lang_pred", "score"])
                 yield pa.RecordBatch.from_arrays([language, *part.columns[1:]], ["language", *part.schema.names[1:]])
     return run
 
