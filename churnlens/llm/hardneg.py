@@ -226,6 +226,8 @@ def _seed(width: int, windows: int, k: int, same: bool):
 
 def _pack_asks(width: int, windows: int):
     """Chunks of up to CHUNK anchors, as they lie along the curve."""
+    size = CHUNK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -234,7 +236,7 @@ def _pack_asks(width: int, windows: int):
             return _record([[p.tobytes()] for p in parts], [(c, pa.binary()) for c in _ASK])
         for batch in batches:
             for ask in _asks(batch, width, windows):
-                if n and n + len(ask[0]) > CHUNK:
+                if n and n + len(ask[0]) > size:
                     yield chunk()
                     held, n = [], 0
                 held.append(ask)
