@@ -5,8 +5,9 @@
   python -m churnlens analyze --input CLEAN_CSV_DIR --output DIR
       cleaned records -> summary, correlations, chart frames (Parquet) and findings report (text)
   python -m churnlens load    --input CLEAN_CSV_DIR | --sf-dir TABLES_DIR  --output DIR
-      cleaned records or source tables -> the four relational tables (Parquet) with surrogate
-      keys and load times
+      cleaned records or source tables -> the four relational tables with surrogate keys and load
+      times, as the next load of the warehouse DIR (plans.loads); a repeated load replaces the
+      tables in one step and keeps the keys of known customers
   python -m churnlens report  --input CLEAN_CSV_DIR | --sf-dir TABLES_DIR  --output DIR [--only NAME ...]
       the same -> loaded tables -> every registered analytics query (Parquet) + findings
 
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.operators import report
-from churnlens.operators.cleaning import clean, cleaning_report
-from churnlens.operators.constraints import require_unique_ids
+from churnlens.operators.cleaning import observed_clean, reported
 from churnlens.plans.catalog import ANALYTICS, normalize_types
+from churnlens.plans.loads import Warehouse
 from churnlens.plans.tables import ChurnTables
 from churnlens.session import build_session
 from churnlens.sources.files import read_customers_csv, write_csv, write_findings, write_plans_csv
-from churnlens.sources.warehouse import plans_frame, with_surrogate_key
+from churnlens.sources.warehouse import plans_frame
 
 # The analysis frames of the cleaned-records job (charts and report data).
 ANALYSIS_QUERIES = [
@@ -55,11 +56,11 @@ def _write_results(tables: ChurnTables, names: list[str], output: str,
 
 def run_clean(spark: SparkSession, input_path: str, output: str, dedup: str = "exact") -> None:
     raw = read_customers_csv(spark, input_path, parse_dates=False)
-    cleaned = clean(raw, dedup=dedup)
+    cleaned, figures = observed_clean(raw, dedup=dedup)
     write_csv(cleaned.withColumn("is_churned", F.col("is_churned").cast("int")),
               os.path.join(output, "customers_clean"))
     write_plans_csv(plans_frame(spark), os.path.join(output, "subscriptions"))
-    write_csv(cleaning_report(raw), os.path.join(output, "cleaning_report"))
+    write_csv(reported(spark, figures), os.path.join(output, "cleaning_report"))
 
 
 def run_analyze(spark: SparkSession, input_path: str, output: str) -> None:
@@ -71,14 +72,16 @@ def run_analyze(spark: SparkSession, input_path: str, output: str) -> None:
         tables.drop()
 
 
+def _lazy(spark: SparkSession, sf_dir: str | None, input_path: str | None) -> ChurnTables:
+    if input_path:
+        return ChurnTables.from_wide(read_customers_csv(spark, input_path, parse_dates=True))
+    return ChurnTables.derive(spark, sf_dir)
+
+
 @contextmanager
 def _loaded(spark: SparkSession, sf_dir: str | None, input_path: str | None) -> Iterator[ChurnTables]:
     """The loaded tables of a folder of source tables or of cleaned CSV records, dropped afterwards."""
-    if input_path:
-        lazy = ChurnTables.from_wide(require_unique_ids(read_customers_csv(spark, input_path, parse_dates=True)))
-    else:
-        lazy = ChurnTables.derive(spark, sf_dir)
-    tables = lazy.materialize()
+    tables = _lazy(spark, sf_dir, input_path).materialize()
     try:
         yield tables
     finally:
@@ -86,21 +89,9 @@ def _loaded(spark: SparkSession, sf_dir: str | None, input_path: str | None) ->
 
 
 def run_load(spark: SparkSession, sf_dir: str | None, output: str, input_path: str | None = None) -> None:
-    """The relational tables as files, with their declared surrogate keys and load timestamps."""
-    with _loaded(spark, sf_dir, input_path) as tables:
-        _write_tables(tables, output)
-
-
-def _write_tables(tables: ChurnTables, output: str) -> None:
-    now = F.current_timestamp()
-    out = {
-        "subscription_plans": tables.subscription_plans.withColumn("created_at", now),
-        "customers": tables.customers.withColumn("created_at", now),
-        "subscriptions": with_surrogate_key(tables.subscriptions, "subscription_id"),
-        "usage_metrics": with_surrogate_key(tables.usage_metrics, "metric_id", stamp="recorded_at"),
-    }
-    for name, df in out.items():
-        df.write.mode("overwrite").parquet(os.path.join(output, name))
+    """The next load of the warehouse ``output``, its tables also as Parquet folders."""
+    warehouse = Warehouse(spark, output)
+    warehouse.release(warehouse.load(_lazy(spark, sf_dir, input_path), export=True))
 
 
 def run_report(spark: SparkSession, sf_dir: str | None, output: str, only: list[str] | None = None,

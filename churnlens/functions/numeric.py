@@ -45,6 +45,11 @@ def round_ratio(numerator: Column | str, denominator: Column | str, digits: int,
     return F.round(exact_ratio(numerator, denominator, scale), digits).cast("double")
 
 
+def half_even_ratio(numerator: Column | str, denominator: Column | str, digits: int, scale: int = 1) -> Column:
+    """numerator * scale / denominator, rounded half to even, as DOUBLE (the report's segment rates)."""
+    return F.bround(exact_ratio(numerator, denominator, scale), digits).cast("double")
+
+
 def rate_pct(churned: Column | str, total: Column | str, digits: int = 2) -> Column:
     """Churn rate in percent, ``ROUND(churned * 100 / total, digits)``."""
     return round_ratio(churned, total, digits, scale=100)
@@ -56,19 +61,3 @@ def exact_mean(c: Column | str, digits: int) -> Column:
     total = F.sum(col.cast(_SUM_DECIMAL)).cast(_SUM_DECIMAL)
     n = F.count(col).cast(_COUNT_DECIMAL)
     return F.round(F.try_divide(total, n), digits).cast("double")
-
-
-def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson correlation over pairwise-complete rows; NULL (not an error) when a side is constant.
-
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI mode for a constant input, so the
-    quotient is formed with ``try_divide``.  The moments are Spark's stable
-    single-pass central-moment aggregates, so this stays one partial+final
-    aggregate, mergeable across partitions.
-    """
-    xc, yc = _col(x).cast("double"), _col(y).cast("double")
-    both = xc.isNotNull() & yc.isNotNull()
-    xp = F.when(both, xc)
-    yp = F.when(both, yc)
-    denom = F.stddev_pop(xp) * F.stddev_pop(yp)
-    return F.try_divide(F.covar_pop(xp, yp), F.when(denom != 0, denom))

@@ -18,11 +18,14 @@ lookup in step 5 is the seeded three-row plan table, broadcast.
 normalisation, chosen by a documented total order (known region first, then
 known price, then the smallest row); it is an aggregate, not a window, so a
 customer id with a third of all rows is reduced map-side as well.
+
+``observed_clean`` gives the cleaned records and the report's figures from one
+scan and one dedup; ``cleaning_report`` computes the figures alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.dates import parse_mixed_date
@@ -101,19 +104,21 @@ def normalise(df: DataFrame, strict_dates: bool = True) -> DataFrame:
     )
 
 
-def key_dedup(df: DataFrame, key: str = "customer_id") -> DataFrame:
+def key_dedup(df: DataFrame, key: str = "customer_id", summed: list[str] | None = None) -> DataFrame:
     """Keep one row per key: known region, then known price, then the smallest row.
 
-    Rows without a key are not one customer: all of them stay.
+    Rows without a key are not one customer: all of them stay.  Columns in
+    ``summed`` are added up over the rows that become one.
     """
-    others = [c for c in df.columns if c != key]
+    summed = summed or []
+    others = [c for c in df.columns if c != key and c not in summed]
     pick = F.min(F.struct(
         (F.col("region") == UNKNOWN_REGION).alias("_unknown_region"),
-        F.col("plan_price").isNull().alias("_no_price"),
+        F.col("plan_price").isNull().alias("_price_absent"),
         *[F.col(c) for c in others],
     )).alias("_best")
-    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(pick)
-    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in others]).select(*df.columns) \
+    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(pick, *[F.sum(c).alias(c) for c in summed])
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in others], *summed).select(*df.columns) \
         .union(df.filter(F.col(key).isNull()))
 
 
@@ -127,6 +132,52 @@ def clean(df: DataFrame, dedup: str = "exact", strict_dates: bool = True) -> Dat
     return out.select(*WIDE_COLUMNS)
 
 
+# -- cleaning and its report in one pass ---------------------------------------
+
+REPORT_STEPS = [(0, "rows_in"), (1, "duplicates_removed"), (4, "prices_filled"), (5, "regions_filled"),
+                (6, "invalid_dates_repaired"), (7, "rows_out")]
+_COUNTERS = ["_copies", "_distinct", "_no_price", "_no_region", "_bad_dates"]
+
+
+def counted_dedup(df: DataFrame) -> DataFrame:
+    """C1 with the number of copies of each row in ``_copies``."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def observed_clean(df: DataFrame, dedup: str = "exact", strict_dates: bool = True) -> tuple[DataFrame, Observation]:
+    """C9 and C10 in one pass: the cleaned records, and the figures of the report once they are written.
+
+    Each row carries what it stands for (its copies, whether a price, region or
+    date was repaired) up to the last step, where the sums are observed.  They are
+    observed in the stage that writes, whose tasks count once however often
+    they are repeated; a count before the shuffle would add up the tasks that a lost
+    executor makes run again.  ``reported`` gives the report.
+    """
+    if dedup not in ("exact", "key"):
+        raise ValueError("dedup must be 'exact' or 'key'")
+    counted = counted_dedup(df).withColumns({
+        "_distinct": F.lit(1).cast("bigint"),
+        "_no_price": F.col("plan_price").isNull().cast("bigint"),
+        "_no_region": F.col("region").isNull().cast("bigint")})
+    parsed = counted.transform(title_case_plan).transform(lambda d: parse_join_date(d, strict=strict_dates)) \
+        .transform(parse_cancellation_date)
+    marked = parsed.withColumn("_bad_dates", F.coalesce(invalid_cancellation(), F.lit(False)).cast("bigint"))
+    out = marked.transform(fill_price_from_plan).transform(fill_region).transform(repair_dates)
+    if dedup == "key":
+        out = key_dedup(out, summed=_COUNTERS)
+    figures = Observation()
+    seen = out.observe(figures, *[F.sum(c).alias(c[1:]) for c in _COUNTERS])
+    return seen.select(*WIDE_COLUMNS), figures
+
+
+def reported(spark: SparkSession, figures: Observation) -> DataFrame:
+    """The report of an ``observed_clean`` whose records have been written."""
+    got = {k: v or 0 for k, v in figures.get.items()}
+    values = [got["copies"], got["copies"] - got["distinct"], got["no_price"], got["no_region"], got["bad_dates"], got["distinct"]]
+    return spark.createDataFrame([(step, metric, v) for (step, metric), v in zip(REPORT_STEPS, values)],
+                                 "step long, metric string, value long")
+
+
 def cleaning_report(df: DataFrame) -> DataFrame:
     """(step, metric, value) counts of the cleaning run.
 

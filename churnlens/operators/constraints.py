@@ -3,11 +3,13 @@
 Each check returns ``(constraint_name, violations)`` rows.  CHECK constraints pass
 on NULL (only a FALSE predicate is a violation), as in SQL.  All checks on one
 table share one aggregate pass; keys use a grouped count, foreign keys a
-left-anti join of the distinct keys.
+left-anti join of the distinct keys.  The predicates themselves are shared with
+``operators.audit``, which finds the broken rows of all relations in one scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 from churnlens.plans.tables import ChurnTables
 from churnlens.schemas import NUMERIC_WIDTHS, SMALLINT_COLUMNS, VARCHAR_WIDTHS
-from churnlens.sources.warehouse import with_surrogate_key
 
 NOT_NULL = {
     "subscription_plans": ["plan_name", "price"],
@@ -61,73 +62,81 @@ def _duplicate_keys(df: DataFrame, key: str, name: str) -> DataFrame:
 def check_primary_key(t: ChurnTables) -> DataFrame:
     """K1: key values held by more than one row (NULL keys counted by the NOT NULL check).
 
-    The surrogate keys are checked as the load generates them, unless the
-    tables hold them already.
+    The surrogate keys are those that the load stored; tables that were not
+    loaded hold none, so nothing can be repeated there.
     """
-    subscriptions, usage = t.subscriptions, t.usage_metrics
-    if "subscription_id" not in subscriptions.columns:
-        subscriptions = with_surrogate_key(subscriptions, "subscription_id")
-    if "metric_id" not in usage.columns:
-        usage = with_surrogate_key(usage, "metric_id")
-    return _union([
+    frames = [
         _duplicate_keys(t.customers, "customer_id", "customers.customer_id PRIMARY KEY"),
         _duplicate_keys(t.subscription_plans, "plan_id", "subscription_plans.plan_id PRIMARY KEY"),
         _duplicate_keys(t.subscription_plans, "plan_name", "subscription_plans.plan_name UNIQUE"),
-        _duplicate_keys(subscriptions, "subscription_id", "subscriptions.subscription_id PRIMARY KEY"),
-        _duplicate_keys(usage, "metric_id", "usage_metrics.metric_id PRIMARY KEY"),
-    ])
+    ]
+    for table, df, key in (("subscriptions", t.subscriptions, "subscription_id"),
+                           ("usage_metrics", t.usage_metrics, "metric_id")):
+        stored = df if key in df.columns else df.withColumn(key, F.lit(None).cast("bigint"))
+        frames.append(_duplicate_keys(stored, key, f"{table}.{key} PRIMARY KEY"))
+    return _union(frames)
 
 
-def check_not_null(t: ChurnTables) -> DataFrame:
-    """K2: NULLs in NOT NULL columns (including primary keys)."""
-    frames = []
-    tables = _tables(t)
-    for table, cols in NOT_NULL.items():
-        frames.append(_counts(tables[table], {f"{table}.{c} NOT NULL": F.col(c).isNull() for c in cols}))
-    return _union(frames)
+Cell = Callable[[str], F.Column]
 
 
-def check_range(t: ChurnTables) -> DataFrame:
-    """K3: price > 0; age BETWEEN 18 AND 100 (NULL passes)."""
-    return _union([
-        _counts(t.subscription_plans, {"subscription_plans.price > 0": ~(F.col("price") > 0)}),
-        _counts(t.customers, {"customers.age BETWEEN 18 AND 100": ~F.col("age").between(18, 100)}),
-    ])
+def not_null_checks(table: str, at: Cell = F.col) -> dict[str, F.Column]:
+    return {f"{table}.{c} NOT NULL": at(c).isNull() for c in NOT_NULL.get(table, [])}
 
 
-def check_date_order(t: ChurnTables) -> DataFrame:
-    """K4: cancellation_date >= join_date; end_date >= start_date (NULL passes)."""
-    return _union([
-        _counts(t.customers, {"customers.chk_cancellation_after_join":
-                              F.col("cancellation_date") < F.col("join_date")}),
-        _counts(t.subscriptions, {"subscriptions.chk_end_after_start":
-                                  F.col("end_date") < F.col("start_date")}),
-    ])
+def range_checks(table: str, at: Cell = F.col) -> dict[str, F.Column]:
+    if table == "subscription_plans":
+        return {"subscription_plans.price > 0": ~(at("price") > 0)}
+    return {"customers.age BETWEEN 18 AND 100": ~at("age").between(18, 100)} if table == "customers" else {}
+
 
+def order_checks(table: str, at: Cell = F.col) -> dict[str, F.Column]:
+    if table == "customers":
+        return {"customers.chk_cancellation_after_join": at("cancellation_date") < at("join_date")}
+    return {"subscriptions.chk_end_after_start": at("end_date") < at("start_date")} if table == "subscriptions" else {}
 
-def _fits_numeric(c: str, precision: int, scale: int) -> F.Column:
+
+def _fits_numeric(col: F.Column, precision: int, scale: int) -> F.Column:
     """Violation: more integer digits than ``precision - scale`` or more than ``scale`` decimals."""
-    col = F.col(c)
     too_wide = F.abs(col) >= F.lit(10 ** (precision - scale))
     too_fine = F.round(col, scale) != col
     return col.isNotNull() & (too_wide | too_fine)
 
 
+def width_checks(table: str, at: Cell = F.col) -> dict[str, F.Column]:
+    checks = {f"{table}.{c} VARCHAR({n})": F.length(at(c)) > n for c, n in VARCHAR_WIDTHS.get(table, {}).items()}
+    for c in SMALLINT_COLUMNS.get(table, []):
+        checks[f"{table}.{c} SMALLINT"] = at(c).isNotNull() & at(c).try_cast("smallint").isNull()
+    for c, (p, s) in NUMERIC_WIDTHS.get(table, {}).items():
+        checks[f"{table}.{c} NUMERIC({p},{s})"] = _fits_numeric(at(c), p, s)
+    return checks
+
+
+ROW_CHECKS = (not_null_checks, range_checks, order_checks, width_checks)
+
+
+def _check_rows(t: ChurnTables, checks: Callable[[str], dict[str, F.Column]]) -> DataFrame:
+    return _union([_counts(df, found) for table, df in _tables(t).items() if (found := checks(table))])
+
+
+def check_not_null(t: ChurnTables) -> DataFrame:
+    """K2: NULLs in NOT NULL columns (including primary keys)."""
+    return _check_rows(t, not_null_checks)
+
+
+def check_range(t: ChurnTables) -> DataFrame:
+    """K3: price > 0; age BETWEEN 18 AND 100 (NULL passes)."""
+    return _check_rows(t, range_checks)
+
+
+def check_date_order(t: ChurnTables) -> DataFrame:
+    """K4: cancellation_date >= join_date; end_date >= start_date (NULL passes)."""
+    return _check_rows(t, order_checks)
+
+
 def check_width(t: ChurnTables) -> DataFrame:
     """K5: VARCHAR(n) lengths, SMALLINT range, NUMERIC(p,s) precision and scale."""
-    tables = _tables(t)
-    frames = []
-    for table in ["subscription_plans", "customers", "subscriptions", "usage_metrics"]:
-        checks: dict[str, F.Column] = {}
-        for c, n in VARCHAR_WIDTHS.get(table, {}).items():
-            checks[f"{table}.{c} VARCHAR({n})"] = F.length(c) > n
-        for c in SMALLINT_COLUMNS.get(table, []):
-            checks[f"{table}.{c} SMALLINT"] = F.col(c).isNotNull() & F.col(c).try_cast("smallint").isNull()
-        for c, (p, s) in NUMERIC_WIDTHS.get(table, {}).items():
-            checks[f"{table}.{c} NUMERIC({p},{s})"] = _fits_numeric(c, p, s)
-        if checks:
-            frames.append(_counts(tables[table], checks))
-    return _union(frames)
+    return _check_rows(t, width_checks)
 
 
 def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
@@ -148,16 +157,3 @@ def check_foreign_key(t: ChurnTables) -> DataFrame:
                  "subscriptions.plan_id -> subscription_plans"),
         _orphans(t.usage_metrics, t.customers, "customer_id", "usage_metrics.customer_id -> customers"),
     ])
-
-
-def require_unique_ids(wide: DataFrame, key: str = "customer_id") -> DataFrame:
-    """The primary key, enforced before a load: fails on absent or repeated ids, else gives ``wide``."""
-    groups = wide.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = groups.agg(
-        F.count(F.when(F.col(key).isNotNull() & (F.col("n") > 1), True)).alias("repeated"),
-        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("absent"),
-    ).first()
-    if found.repeated or found.absent:
-        raise ValueError(f"{key} is a primary key: {found.repeated} ids are repeated, {found.absent} rows have none "
-                         "(`clean --dedup key` keeps one row of an id)")
-    return wide

@@ -43,7 +43,7 @@ def lifetime_by_status(tables: ChurnTables) -> DataFrame:
     )
 
 
-def _revenue(count_col: F.Column, price_col: F.Column, months: int = 1) -> F.Column:
+def revenue(count_col: F.Column, price_col: F.Column, months: int = 1) -> F.Column:
     value = count_col.cast("decimal(20,0)") * price_col
     if months != 1:
         value = value * F.lit(months).cast("decimal(4,0)")
@@ -60,7 +60,7 @@ def mrr_by_plan(tables: ChurnTables) -> DataFrame:
     n = F.count("customer_id")
     agg = joined.groupBy("plan_name", "price").agg(
         n.alias("active_subscribers"),
-        _revenue(n, F.col("price")).alias("monthly_revenue"),
+        revenue(n, F.col("price")).alias("monthly_revenue"),
         rate_pct(F.sum(flag("is_churned")), F.count(F.lit(1))).alias("churn_rate_pct"),
     )
     return agg.orderBy(F.col("price").desc()).select(
@@ -76,8 +76,8 @@ def revenue_lost_by_plan(tables: ChurnTables) -> DataFrame:
     n = F.count("customer_id")
     agg = joined.groupBy("plan_name", "price").agg(
         n.alias("churned_customers"),
-        _revenue(n, F.col("price")).alias("monthly_revenue_lost"),
-        _revenue(n, F.col("price"), months=12).alias("annualized_revenue_lost"),
+        revenue(n, F.col("price")).alias("monthly_revenue_lost"),
+        revenue(n, F.col("price"), months=12).alias("annualized_revenue_lost"),
     )
     return agg.orderBy(F.col("monthly_revenue_lost").desc_nulls_first()).select(
         "plan_name", "churned_customers", "monthly_revenue_lost", "annualized_revenue_lost"

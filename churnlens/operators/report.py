@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.numeric import exact_ratio, flag, round_ratio, safe_corr
+from churnlens.functions.numeric import exact_ratio, flag, half_even_ratio, round_ratio
+from churnlens.operators.statistics import churn_correlation
 from churnlens.plans.tables import ChurnTables
 from churnlens.schemas import CORRELATION_FEATURES
 
@@ -45,14 +46,15 @@ def _sections(sets: DataFrame) -> DataFrame:
     (section churn_by_plan), a region row its churn % (churn_by_region); NULL
     plan / region groups are dropped, as a pandas group-by drops them.  A
     single small window (partitioned by section) numbers the segment rows:
-    plans by name, regions by falling rate.  Because the branches are not
+    plans by name, regions by falling rate.  Segment rates are rounded half to
+    even, as the report's are; headline figures half away from zero.  Because the branches are not
     separate filters over the aggregate, the aggregate runs once.
     """
     gid = F.col("gid")
     overall = gid == _GID_OVERALL
     plan = (gid == _GID_PLAN) & F.col("plan_name").isNotNull()
     region = (gid == _GID_REGION) & F.col("region").isNotNull()
-    rate_pct = round_ratio("churned", "flagged", 1, scale=100)
+    rate_pct = half_even_ratio("churned", "flagged", 1, scale=100)
     rate = exact_ratio("churned", "flagged").cast("double")
 
     def cell(keep, section, ord_, item, value, sort_rate=None):
@@ -82,12 +84,10 @@ def _sections(sets: DataFrame) -> DataFrame:
 
 
 def top_drivers(tables: ChurnTables, k: int = 3) -> DataFrame:
-    feats = CORRELATION_FEATURES
-    one = tables.wide.agg(*[safe_corr(F.col(f), flag("is_churned")).alias(f) for f in feats])
-    long = one.unpivot([], feats, "feature", "r")
-    order = Window.orderBy(F.abs("r").desc_nulls_last(), "feature")
+    order = Window.orderBy(F.abs("r").desc_nulls_last(), "feature")  # a row a feature
     return (
-        long.withColumn("ord", F.row_number().over(order).cast("bigint"))
+        churn_correlation(tables.wide, CORRELATION_FEATURES)
+        .withColumn("ord", F.row_number().over(order).cast("bigint"))
         .filter(F.col("ord") <= k)
         .select(F.lit("top_drivers").alias("section"), "ord",
                 F.col("feature").alias("item"), F.round("r", 4).alias("value"))

@@ -2,9 +2,10 @@
 profile, correlation with the churn flag, the correlation matrix and the
 equal-width engagement bins with their linear trend.
 
-Every statistic is a single aggregate pass (partial + final) whose one-row
+Every statistic is a single aggregate pass (partial + final) whose small
 result is reshaped afterwards; nothing loops over features with a job each and
-nothing collects rows to the driver.
+nothing collects rows to the driver.  Correlations share one accumulator for each
+pair of columns, bins and their trend one table of value frequencies.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.numeric import flag, round_ratio, safe_corr
+from churnlens.functions.numeric import flag, round_ratio
 from churnlens.plans.tables import ChurnTables
 from churnlens.schemas import CORRELATION_FEATURES, MATRIX_COLUMNS
 
@@ -77,19 +78,51 @@ def _direction(r: F.Column) -> F.Column:
     return F.when(r > 0, "POSITIVE").otherwise("NEGATIVE")
 
 
+def co_moments(df: DataFrame, columns: dict[str, F.Column], pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row for each pair: (pair, n, r), over the rows where both columns are present.
+
+    Each row is unfolded into its pairs and one accumulator (count, means, squared
+    deviations, co-moment) is kept for each of them: partial and final hash aggregate
+    on the pair's number, merged like any aggregate, with the same small
+    generated code for any number of columns.  ``r`` is Pearson's, NULL where a side is
+    constant; a pair of a column with itself gives 1.
+    """
+    values = df.select(*[c.cast("double").alias(name) for name, c in columns.items()])
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+                      for k, (a, b) in enumerate(pairs)])
+    complete = values.select(F.inline(cells)).filter("x IS NOT NULL AND y IS NOT NULL")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    return complete.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("x", "y"), F.when(spread != 0, spread)).alias("r"))
+
+
+def _correlated(df: DataFrame, columns: dict[str, F.Column], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(feature_a, feature_b, r) for all ``pairs``, those without a complete row included (NULL)."""
+    distinct = sorted({(min(p), max(p)) for p in pairs})
+    # one row: a map with an entry a pair
+    found = co_moments(df, columns, distinct).agg(F.map_from_entries(F.collect_list(F.struct("pair", "r"))).alias("r"))
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                 F.try_element_at("r", F.lit(distinct.index((min(a, b), max(a, b))))).alias("r"))
+        for a, b in pairs])))
+
+
+def churn_correlation(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, r): unrounded Pearson r of each feature with the churn flag."""
+    columns = {f: F.col(f) for f in features} | {"is_churned": flag("is_churned")}
+    return _correlated(df, columns, [(f, "is_churned") for f in features]).select(F.col("feature_a").alias("feature"), "r")
+
+
 def churn_correlations(tables: ChurnTables, features: list[str] | None = None,
                        exclude: list[str] | None = None) -> DataFrame:
     """Pearson r of each feature with the churn flag, by |r| descending, with direction."""
     feats = [f for f in (features or CORRELATION_FEATURES) if f not in (exclude or [])]
-    w = tables.wide
-    one = w.agg(*[safe_corr(F.col(f), flag("is_churned")).alias(f) for f in feats])
-    long = one.unpivot([], feats, "feature", "r_raw")
     return (
-        long.select(
+        churn_correlation(tables.wide, feats).select(
             "feature",
-            F.round(F.col("r_raw"), 6).alias("r"),
-            _direction(F.col("r_raw")).alias("direction"),
-            F.abs(F.col("r_raw")).alias("_abs"),
+            F.round("r", 6).alias("r"),
+            _direction(F.col("r")).alias("direction"),
+            F.abs("r").alias("_abs"),
         )
         .orderBy(F.col("_abs").desc_nulls_last(), "feature")
         .drop("_abs")
@@ -97,16 +130,13 @@ def churn_correlations(tables: ChurnTables, features: list[str] | None = None,
 
 
 def top3_churn_factors(tables: ChurnTables) -> DataFrame:
-    w = tables.wide
-    feats = CORRELATION_FEATURES
-    one = w.agg(*[safe_corr(F.col(f), flag("is_churned")).alias(f) for f in feats])
-    long = one.unpivot([], feats, "feature", "r_raw")
-    top = long.orderBy(F.abs("r_raw").desc_nulls_last(), "feature").limit(3)
+    top = churn_correlation(tables.wide, CORRELATION_FEATURES) \
+        .orderBy(F.abs("r").desc_nulls_last(), "feature").limit(3)
     ranked = top.select(
-        F.row_number().over(Window.orderBy(F.abs("r_raw").desc_nulls_last(), "feature"))
+        F.row_number().over(Window.orderBy(F.abs("r").desc_nulls_last(), "feature"))
         .cast("bigint").alias("rank"),
         "feature",
-        F.round("r_raw", 6).alias("r"),
+        F.round("r", 6).alias("r"),
     )
     return ranked.orderBy("rank")
 
@@ -114,40 +144,27 @@ def top3_churn_factors(tables: ChurnTables) -> DataFrame:
 def correlation_matrix(tables: ChurnTables, columns: list[str] | None = None) -> DataFrame:
     """Symmetric long-form matrix (feature_a, feature_b, r); diagonal 1, NULL for a constant column."""
     cols = columns or MATRIX_COLUMNS
-    w = tables.wide
-    aggs = []
-    for i, a in enumerate(cols):
-        x = _numeric(a).cast("double")
-        aggs.append(F.stddev_pop(x).alias(f"sd__{i}"))
-        for j in range(i + 1, len(cols)):
-            aggs.append(safe_corr(x, _numeric(cols[j]).cast("double")).alias(f"r__{i}__{j}"))
-    one = w.agg(*aggs)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                value = F.when(F.col(f"sd__{i}") > 0, F.lit(1.0))
-            else:
-                lo, hi = min(i, j), max(i, j)
-                value = F.round(F.col(f"r__{lo}__{hi}"), 6)
-            cells.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                  value.cast("double").alias("r")))
-    return one.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-
-
-def _bin_edges(tables: ChurnTables, n_bins: int) -> tuple[DataFrame, F.Column]:
-    """Logins with churn flags, and the ``n_bins + 1`` equal-width edges as a scalar subquery.
+    found = _correlated(tables.wide, {c: _numeric(c) for c in cols}, [(a, b) for a in cols for b in cols])
+    r = F.when(F.col("feature_a") == F.col("feature_b"), F.when(F.col("r").isNotNull(), F.lit(1.0))).otherwise(F.round("r", 6))
+    return found.select("feature_a", "feature_b", r.alias("r"))
+
+
+def _login_frequencies(tables: ChurnTables) -> DataFrame:
+    """(x, churned, flagged) for each distinct number of logins: what range, bins and fit are made from."""
+    w = tables.wide.select(F.col("avg_monthly_logins").cast("double").alias("x"), flag("is_churned").alias("y"))
+    table = w.filter(F.col("x").isNotNull()).groupBy("x").agg(F.sum("y").alias("churned"), F.count("y").alias("flagged"))
+    # a small exchange that whoever reads the table shares, even where one partition holds all rows
+    return table.repartition("x")
+
+
+def _edges(mn: F.Column, mx: F.Column, n_bins: int) -> F.Column:
+    """The ``n_bins + 1`` equal-width edges over [mn, mx].
 
     Edges are ``start + i * step`` with the last edge set to the maximum, as a
     linear grid does, and the lowest edge lowered by 0.1 % of the range so the
     minimum falls in bin 1.  With min = max the range is first widened by
-    0.1 % on each side.  The edges are one array value, computed once from a
-    global min/max aggregate.
+    0.1 % on each side.
     """
-    x = F.col("avg_monthly_logins").cast("double")
-    w = tables.wide.select(x.alias("x"), flag("is_churned").alias("y")).filter(F.col("x").isNotNull())
-    bounds = w.agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    mn, mx = F.col("mn"), F.col("mx")
     same = mn == mx
     widen_lo = F.when(mn != 0, mn - F.lit(0.001) * F.abs(mn)).otherwise(mn - F.lit(0.001))
     widen_hi = F.when(mx != 0, mx + F.lit(0.001) * F.abs(mx)).otherwise(mx + F.lit(0.001))
@@ -155,22 +172,24 @@ def _bin_edges(tables: ChurnTables, n_bins: int) -> tuple[DataFrame, F.Column]:
     stop = F.when(same, widen_hi).otherwise(mx)
     step = (stop - start) / F.lit(float(n_bins))
     first = F.when(same, start).otherwise(start - (mx - mn) * F.lit(0.001))
-    edges = F.array(
-        first,
-        *[F.lit(float(i)) * step + start for i in range(1, n_bins)],
-        stop,
-    )
-    return w, bounds.select(edges).scalar()
+    return F.array(first, *[F.lit(float(i)) * step + start for i in range(1, n_bins)], stop)
 
 
 def _binned_logins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> tuple[DataFrame, F.Column]:
-    """Right-closed bin of every value: ``bin = #{edges < x}`` (1..n_bins)."""
-    w, edges = _bin_edges(tables, n_bins)
+    """(bin, churned, flagged) with right-closed bins 1..n_bins, and the edges.
+
+    Range and bins both come from the frequency table.  The range (a scalar
+    subquery) takes all its columns along, so both read the same aggregate and
+    Spark runs it once.
+    """
+    frequencies = _login_frequencies(tables)
+    whole = frequencies.agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.sum("churned").alias("churned"),
+                            F.sum("flagged").alias("flagged"))
+    found = whole.select(F.struct(_edges(F.col("mn"), F.col("mx"), n_bins).alias("edges"), "churned", "flagged")).scalar()
+    edges = found["edges"]
     below = [F.when(F.element_at(edges, i + 1) < F.col("x"), 1).otherwise(0) for i in range(n_bins + 1)]
-    total = below[0]
-    for b in below[1:]:
-        total = total + b
-    return w.withColumn("bin", total), edges
+    binned = frequencies.withColumn("bin", sum(below[1:], below[0]))
+    return binned.groupBy("bin").agg(F.sum("churned").alias("churned"), F.sum("flagged").alias("flagged")), edges
 
 
 def _midpoint(edges: F.Column, bin_col: F.Column) -> F.Column:
@@ -178,22 +197,22 @@ def _midpoint(edges: F.Column, bin_col: F.Column) -> F.Column:
 
 
 def engagement_bins(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
+    """Mean and count of the churn flag in each bin (a NULL flag is skipped by both)."""
     binned, edges = _binned_logins(tables, n_bins)
-    # mean and count of the flag per bin (a NULL flag is skipped by both)
-    agg = binned.groupBy("bin").agg(F.sum("y").alias("_churned"), F.count("y").alias("n"))
-    return agg.select(
+    return binned.select(
         F.col("bin").cast("bigint").alias("bin"),
         F.round(_midpoint(edges, F.col("bin")), 6).alias("midpoint"),
-        round_ratio(F.col("_churned"), F.col("n"), 6, scale=100).alias("churn_pct"),
-        "n",
+        round_ratio(F.col("churned"), F.col("flagged"), 6, scale=100).alias("churn_pct"),
+        F.col("flagged").alias("n"),
     ).orderBy("bin")
 
 
 def engagement_trend(tables: ChurnTables, n_bins: int = N_ENGAGEMENT_BINS) -> DataFrame:
     """Unweighted least-squares line of churn % on bin midpoint (degree-1 fit)."""
     binned, edges = _binned_logins(tables, n_bins)
-    per_bin = binned.groupBy("bin").agg((F.avg("y") * F.lit(100.0)).alias("pct")).select(
-        _midpoint(edges, F.col("bin")).alias("mid"), "pct",
+    per_bin = binned.select(
+        _midpoint(edges, F.col("bin")).alias("mid"),
+        (F.try_divide(F.col("churned").cast("double"), F.col("flagged").cast("double")) * F.lit(100.0)).alias("pct"),
     )
     return per_bin.agg(
         F.round(F.regr_slope("pct", "mid"), 6).alias("slope"),

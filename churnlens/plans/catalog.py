@@ -17,21 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.operators import (
+    appended,
+    audit,
     cleaning,
     constraints,
     extras,
     kpis,
     report,
     risk,
+    rollup,
     segments,
     statistics,
     timeseries,
 )
+from churnlens.plans.loads import Warehouse
 from churnlens.plans.tables import ChurnTables
+from churnlens.session import hadoop_path, scratch_path
 from churnlens.sources.dirty import make_dirty
-from churnlens.sources.faulty import faulty_tables
+from churnlens.sources.faulty import faulty_intake, faulty_plans, faulty_tables
+from churnlens.sources.files import findings_lines, write_csv_checked
 from churnlens.sources.tpch import SOURCE_TABLES, read_table
-from churnlens.sources.warehouse import load_customers, load_subscriptions, load_usage_metrics
+from churnlens.sources.warehouse import list_tables, load_customers, load_subscriptions, load_usage_metrics
 
 TableOp = Callable[[ChurnTables], DataFrame]
 
@@ -105,7 +111,7 @@ CLEANING: dict[str, TableOp] = {
 
 
 def cleaned_tables(t: ChurnTables) -> ChurnTables:
-    """The dirty records cleaned (exact dedup) and loaded into the relational tables."""
+    """The dirty records cleaned (exact dedup), in the relational tables."""
     return ChurnTables.from_wide(cleaning.clean(_dirty(t)))
 
 
@@ -121,6 +127,96 @@ CONSTRAINTS: dict[str, TableOp] = {
 }
 
 
+# The second of two loads: what joined before this day was loaded first.
+SECOND_LOAD_FROM = "1995-01-01"
+
+
+def load_keys(t: ChurnTables) -> DataFrame:
+    """The surrogate keys of each customer, as stored by the load."""
+    return t.records.select("customer_id", "subscription_id", "metric_id")
+
+
+def loaded_tables(t: ChurnTables) -> DataFrame:
+    """The relations of the loaded database."""
+    return list_tables(t.wide.sparkSession, t.database).filter("table_name <> 'records'")
+
+
+def load_times(t: ChurnTables) -> DataFrame:
+    """For each table its rows and whether all of them carry the load's one time."""
+    at = t.records.agg(F.max("loaded_at")).scalar()
+    frames = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
+                     (F.count(F.lit(1)) == F.count(F.when(F.col(stamp) == at, 1))).alias("one_load_time"))
+              for name, df, stamp in (("customers", t.customers, "created_at"), ("usage_metrics", t.usage_metrics, "recorded_at"),
+                                      ("subscription_plans", t.subscription_plans, "created_at"))]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def report_lines(t: ChurnTables) -> DataFrame:
+    """The lines of the findings report, dated with the latest day in the data."""
+    latest = t.wide.agg(F.greatest(F.max("join_date"), F.max("cancellation_date"))).scalar()
+    return findings_lines(report.findings(t), latest).select(F.col("value").alias("line"))
+
+
+def audit_counts_faulty(t: ChurnTables) -> DataFrame:
+    """K2-K6 over the damaged records, all relations in one scan."""
+    return audit.audit_counts(audit.audit(faulty_intake(t), faulty_plans(t)))
+
+
+def rejects_faulty(t: ChurnTables) -> DataFrame:
+    """The damaged records that a load rejects, with the constraints that they break."""
+    found = audit.rejects(audit.audit(faulty_intake(t), faulty_plans(t)))
+    return found.select("record_id", F.array_join(F.array_sort("broken"), "; ").alias("broken"))
+
+
+def redelivered(t: ChurnTables) -> DataFrame:
+    """A delivery as an intake: records of the last year again, once under their ids and once under new ones.
+
+    Subscriptions of churned customers name an id that no customer has.
+    """
+    again = t.records.filter("tenure_months < 12").withColumn("customer_id", F.explode(F.array("customer_id", -F.col("customer_id"))))
+    rows = audit.intake(again)
+    lost = F.col("subscriptions").withField("customer_id", F.lit(-1_000_000_000) - F.abs("record_id"))
+    return rows.withColumn("subscriptions", F.when(F.col("customers.is_churned"), lost).otherwise(F.col("subscriptions")))
+
+
+def check_appended(t: ChurnTables) -> DataFrame:
+    """K1 and K6 of a delivery against the loaded tables."""
+    return appended.check_appended(t, redelivered(t))
+
+
+AUDITS: dict[str, TableOp] = {
+    "audit_counts_faulty": audit_counts_faulty, "rejects_faulty": rejects_faulty, "check_appended": check_appended,
+}
+
+
+def awkward_texts(t: ChurnTables) -> DataFrame:
+    """Customer ids with texts that a CSV file must quote: one of each kind in turn."""
+    label = F.concat_ws(" ", "region", "plan_name")
+    kinds = [label, F.concat(F.lit('say "'), label, F.lit('"')), F.concat(label, F.lit("\nnext, line")), F.lit(""),
+             F.lit(None).cast("string"), F.concat(F.lit("  "), label, F.lit(" ")), F.concat(F.lit("\\"), label, F.lit('\\"')),
+             F.lit("#"), F.concat(F.lit("'"), label, F.lit(";\t|"))]
+    text = F.get(F.array(*kinds), F.pmod("customer_id", F.lit(len(kinds))).cast("int"))
+    return t.wide.select("customer_id", text.alias("text"), "join_date", "plan_price", "is_churned")
+
+
+def csv_round_trip(t: ChurnTables) -> DataFrame:
+    """Records written as CSV and read back, checked by fingerprint."""
+    spark = t.wide.sparkSession
+    path = scratch_path(spark, "csv")
+    fs, folder = hadoop_path(spark, path)
+    fs.deleteOnExit(folder)
+    return write_csv_checked(awkward_texts(t), path)
+
+
+LOADING: dict[str, TableOp] = {
+    "load_keys": load_keys,
+    "load_times": load_times,
+    "loaded_tables": loaded_tables,
+    "report_lines": report_lines,
+    "csv_round_trip": csv_round_trip,
+}
+
+
 def normalize_types(df: DataFrame) -> DataFrame:
     """Integral -> BIGINT, decimal/float -> DOUBLE; everything else unchanged."""
     cols = []
@@ -159,6 +255,7 @@ class TableCache:
         self._materialize = materialize
         self._lock = threading.RLock()
         self._cache: dict[tuple, ChurnTables] = {}
+        self._rollups: dict[tuple, str] = {}
 
     @staticmethod
     def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
@@ -169,6 +266,7 @@ class TableCache:
             for tables in self._cache.values():
                 tables.drop()
             self._cache.clear()
+            self._rollups.clear()
 
     def _load(self, spark: SparkSession, key: tuple, build: Callable[[], ChurnTables],
               unique_key: bool) -> ChurnTables:
@@ -190,6 +288,42 @@ class TableCache:
         return self._load(spark, self._key(spark, sf_dir, "cleaned"),
                           lambda: cleaned_tables(self.get(spark, sf_dir)), unique_key=False)
 
+    def get_clean_report(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The report of a cleaning run that wrote its records (one scan, one dedup)."""
+        cleaned, figures = cleaning.observed_clean(_dirty(self.get(spark, sf_dir)))
+        path = scratch_path(spark, "cleaned")
+        cleaned.write.parquet(path)
+        fs, folder = hadoop_path(spark, path)
+        fs.delete(folder, True)
+        return cleaning.reported(spark, figures)
+
+    def get_rollup(self, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        """The roll-up of the early joiners, stored, then refreshed by the later ones alone; and the plans."""
+        key = self._key(spark, sf_dir, "rollup")
+        with self._lock:
+            path = self._rollups.get(key)
+            tables = self.get(spark, sf_dir)
+            if path is None:
+                early = F.coalesce(F.col("join_date") < SECOND_LOAD_FROM, F.lit(False))
+                path = scratch_path(spark, "rollup")
+                rollup.roll_up(tables.records.filter(early)).write.parquet(f"{path}/first")
+                stored = spark.read.parquet(f"{path}/first")
+                rollup.refresh(stored, tables.records.filter(~early)).write.parquet(f"{path}/refreshed")
+                self._rollups[key] = path
+            return spark.read.parquet(f"{path}/refreshed"), tables.subscription_plans
+
+    def get_two_loads(self, spark: SparkSession, sf_dir: str) -> tuple[ChurnTables, DataFrame]:
+        """The tables after two loads into one warehouse (early joiners, then everybody), and the loads' history."""
+        key = self._key(spark, sf_dir, "two_loads")
+        with self._lock:
+            tables = self._cache.get(key)
+            if tables is None or not spark.catalog.databaseExists(tables.database):
+                wide = self.get(spark, sf_dir).wide
+                warehouse = Warehouse(spark, scratch_path(spark, "two-loads"))
+                warehouse.load(ChurnTables.from_wide(wide.filter(F.col("join_date") < SECOND_LOAD_FROM)))
+                tables = self._cache[key] = warehouse.load(ChurnTables.from_wide(wide))
+            return tables, Warehouse(spark, os.path.dirname(tables.folder)).history()
+
     def get_faulty(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
         return faulty_tables(self.get(spark, sf_dir))
 
@@ -204,9 +338,17 @@ def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSessio
         run.__doc__ = op.__doc__
         return run
 
-    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING}.items()}
+    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING, **LOADING, **AUDITS}.items()}
     out.update({name: bind(op, cache.get_cleaned) for name, op in CONSTRAINTS.items()})
     out.update({f"{name}_faulty": bind(op, cache.get_faulty) for name, op in CONSTRAINTS.items()})
+    def roll(made: rollup.Report) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: normalize_types(made(*cache.get_rollup(spark, sf_dir)))
+
+    out.update({f"rolled_{name}": roll(made) for name, made in rollup.REPORTS.items()})
+    out["clean_observed"] = lambda spark, sf_dir: cache.get_clean_report(spark, sf_dir)
+    out["load_keys_next"] = lambda spark, sf_dir: normalize_types(load_keys(cache.get_two_loads(spark, sf_dir)[0]))
+    out["load_history"] = lambda spark, sf_dir: normalize_types(cache.get_two_loads(spark, sf_dir)[1].select(
+        "load_id", "customers", "subscriptions", "subscription_high", "metric_high"))
     out["inactive_users"] = lambda spark, sf_dir: normalize_types(
         extras.inactive_users(read_table(spark, sf_dir, "events"))
     )

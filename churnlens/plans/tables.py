@@ -2,8 +2,8 @@
 
 ``ChurnTables.derive`` builds a lazy plan over the driver's tables.  The
 reference loads its data once and then runs many queries; ``materialize`` does
-the same: it writes the wide record once, bucketed and sorted by
-``customer_id``, into a database below the shared checkpoint folder, and
+the same: it writes the wide record with its surrogate keys once, bucketed and
+sorted by ``customer_id``, below the shared checkpoint folder (``plans.loads``), and
 defines the relational tables (customers, subscriptions, usage_metrics) as
 catalog views over it.  They are column projections of one columnar table,
 so a query reads only its columns, joins between them are sort-merge joins on
@@ -13,13 +13,11 @@ Lineage is cut: a lost executor recomputes from the written files.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.schemas import CUSTOMER_COLUMNS, USAGE_COLUMNS
-from churnlens.session import checkpoint_root
+from churnlens.session import hadoop_path, scratch_path
 from churnlens.sources.tpch import derive_wide
 from churnlens.sources.warehouse import (
     load_customers,
@@ -37,6 +35,9 @@ class ChurnTables:
     subscription_plans: DataFrame
     usage_metrics: DataFrame
     database: str | None = None
+    records: DataFrame | None = None  # a load's wide rows with their plan, surrogate keys and load time
+    folder: str | None = None
+    buckets: int = 0
 
     @staticmethod
     def from_wide(wide: DataFrame) -> "ChurnTables":
@@ -55,87 +56,16 @@ class ChurnTables:
         return ChurnTables.from_wide(derive_wide(spark, sf_dir))
 
     def materialize(self, buckets: int | None = None, bucketed: bool = True) -> "ChurnTables":
-        return materialize(self, buckets, bucketed)
+        """The bundle loaded into a warehouse of its own; ``bucketed``: customer ids are unique."""
+        from churnlens.plans.loads import Warehouse
+
+        spark = self.wide.sparkSession
+        return Warehouse(spark, scratch_path(spark, "warehouse")).load(self, unique_key=bucketed, buckets=buckets)
 
     def drop(self) -> None:
         """Drop the written tables, files included; a lazy bundle has none."""
         if self.database:
-            self.wide.sparkSession.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
-
-
-BUCKETS_CONF = "spark.churnlens.buckets"
-
-
-def _bucket_count(spark: SparkSession, buckets: int | None) -> int:
-    """Explicit argument, else ``spark.churnlens.buckets``, else the shuffle-partition count.
-
-    Size it so one bucket file is a few hundred MB: about the wide table's
-    bytes / 256 MB (the wide record is ~150 bytes per customer before
-    compression).
-    """
-    if buckets:
-        return buckets
-    configured = spark.conf.get(BUCKETS_CONF, None)
-    if configured:
-        return max(1, int(configured))
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def _write_bucketed(df: DataFrame, table: str, buckets: int, shuffle: bool) -> None:
-    src = df.repartition(buckets, "customer_id") if shuffle else df
-    (
-        src.write.mode("overwrite")
-        .format("parquet")
-        .bucketBy(buckets, "customer_id")
-        .sortBy("customer_id")
-        .saveAsTable(table)
-    )
-
-
-def _write_plain(df: DataFrame, table: str, buckets: int, shuffle: bool) -> None:
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
-
-
-def materialize(tables: ChurnTables, buckets: int | None = None, bucketed: bool = True) -> ChurnTables:
-    """Write the bundle once and return a bundle over the written table and its views.
-
-    ``bucketed`` is for bundles whose ``customer_id`` is unique by construction
-    (the derived tables: it is the grouping key of the derivation).  Records
-    whose key may repeat (cleaned input, where one id could hold a third of all
-    rows) are written as they are partitioned, so no writer task receives a hot
-    bucket; their joins rely on AQE's skew-join splitting instead.
-    """
-    spark = tables.wide.sparkSession
-    n = _bucket_count(spark, buckets)
-    root = checkpoint_root(spark)
-    database = f"churnlens_{uuid.uuid4().hex[:12]}"
-    location = f"{root.rstrip('/')}/{database}.db"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
-
-    (_write_bucketed if bucketed else _write_plain)(tables.wide, f"{database}.wide", n, shuffle=True)
-    tables.subscription_plans.write.mode("overwrite").format("parquet") \
-        .saveAsTable(f"{database}.subscription_plans")
-    _create_views(spark, database)
-    return ChurnTables(
-        wide=spark.table(f"{database}.wide"),
-        customers=spark.table(f"{database}.customers"),
-        subscriptions=spark.table(f"{database}.subscriptions"),
-        subscription_plans=spark.table(f"{database}.subscription_plans"),
-        usage_metrics=spark.table(f"{database}.usage_metrics"),
-        database=database,
-    )
-
-
-def _create_views(spark: SparkSession, database: str) -> None:
-    """The relational schema as views over the wide table (same rows as S3-S5)."""
-    wide = f"{database}.wide"
-    spark.sql(f"CREATE OR REPLACE VIEW {database}.customers AS "
-              f"SELECT {', '.join(CUSTOMER_COLUMNS)} FROM {wide}")
-    spark.sql(f"CREATE OR REPLACE VIEW {database}.usage_metrics AS "
-              f"SELECT {', '.join(USAGE_COLUMNS)} FROM {wide}")
-    spark.sql(
-        f"CREATE OR REPLACE VIEW {database}.subscriptions AS "
-        f"SELECT w.customer_id, p.plan_id, w.plan_name, w.plan_price, "
-        f"w.join_date AS start_date, w.cancellation_date AS end_date, NOT w.is_churned AS is_active "
-        f"FROM {wide} w JOIN {database}.subscription_plans p ON w.plan_name = p.plan_name"
-    )
+            spark = self.wide.sparkSession
+            spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+            fs, path = hadoop_path(spark, self.folder)
+            fs.delete(path, True)

@@ -52,6 +52,12 @@ def build_session(
     return spark
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a folder as Spark's own readers and writers see it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 

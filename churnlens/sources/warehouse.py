@@ -2,8 +2,7 @@
 
 S3-S5 are projections of the wide record; S4 joins the plan lookup, which the
 seeded literal relation lets Catalyst broadcast by its known size.  Surrogate
-keys come from ``monotonically_increasing_id`` (unique, not dense), load
-timestamps from ``current_timestamp``; neither is part of compared output.
+keys and load times are given when a load is written (``plans.loads``).
 """
 
 from __future__ import annotations
@@ -73,14 +72,6 @@ def load_usage_metrics(wide: DataFrame) -> DataFrame:
     return with_defaults(wide, "usage_metrics").select(*USAGE_COLUMNS)
 
 
-def with_surrogate_key(df: DataFrame, key: str, stamp: str | None = None) -> DataFrame:
-    """Add a unique surrogate key and an optional load timestamp column."""
-    out = df.withColumn(key, F.monotonically_increasing_id())
-    if stamp:
-        out = out.withColumn(stamp, F.current_timestamp())
-    return out.select(key, *[c for c in out.columns if c != key])
-
-
 def list_tables(spark: SparkSession, database: str) -> DataFrame:
     """Names of the tables of a database, sorted."""
     return spark.sql(f"SHOW TABLES IN {database}").select(F.col("tableName").alias("table_name")).orderBy(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from churnlens.cli import ANALYSIS_QUERIES, main
 from churnlens.operators.cleaning import clean
+from churnlens.plans.loads import Warehouse
 from churnlens.sources.dirty import make_dirty
 from churnlens.sources.files import read_customers_csv
 from tests.conftest import SF_SMALL
@@ -48,12 +49,14 @@ def test_report_from_tables(spark):
 def test_load_exports_relational_tables(spark):
     out = tempfile.mkdtemp(prefix="churnlens-cli-")
     main(["load", "--sf-dir", SF_SMALL, "--output", out])
-    subs = spark.read.parquet(os.path.join(out, "subscriptions"))
+    tables = os.path.join(Warehouse(spark, out).current_folder(), "tables")
+    subs = spark.read.parquet(os.path.join(tables, "subscriptions"))
     assert subs.count() == 150
-    assert subs.select("subscription_id").distinct().count() == 150
-    usage = spark.read.parquet(os.path.join(out, "usage_metrics"))
+    assert sorted(r[0] for r in subs.select("subscription_id").collect()) == list(range(1, 151))
+    usage = spark.read.parquet(os.path.join(tables, "usage_metrics"))
     assert {"metric_id", "recorded_at"} <= set(usage.columns)
-    assert spark.read.parquet(os.path.join(out, "subscription_plans")).count() == 3
+    assert spark.read.parquet(os.path.join(tables, "subscription_plans")).count() == 3
+    assert "created_at" in spark.read.parquet(os.path.join(tables, "customers")).columns
 
 
 def test_load_and_report_from_cleaned_records(spark, small_tables):
@@ -69,7 +72,8 @@ def test_load_and_report_from_cleaned_records(spark, small_tables):
 
     main(["clean", "--input", raw, "--output", clean_dir, "--dedup", "key"])
     main(["load", "--input", records, "--output", os.path.join(root, "tables")])
-    assert spark.read.parquet(os.path.join(root, "tables", "customers")).count() == 150
+    folder = Warehouse(spark, os.path.join(root, "tables")).current_folder()
+    assert spark.read.parquet(os.path.join(folder, "tables", "customers")).count() == 150
     main(["report", "--input", records, "--output", os.path.join(root, "report"), "--only", "mrr_by_plan"])
     report = spark.read.parquet(os.path.join(root, "report", "mrr_by_plan"))
     active = read_customers_csv(spark, records).filter("not is_churned")

@@ -93,7 +93,7 @@ def test_plans_and_findings_sinks(spark, small_tables):
 
 def test_list_tables(spark, small_tables):
     names = [r.table_name for r in list_tables(spark, small_tables.database).collect()]
-    assert names == ["customers", "subscription_plans", "subscriptions", "usage_metrics", "wide"]
+    assert names == ["customers", "records", "subscription_plans", "subscriptions", "usage_metrics"]
 
 
 def test_declared_defaults_fill_omitted_columns(small_tables):

@@ -14,8 +14,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_mod
 from churnlens.plans.catalog import TableCache, registry
+from churnlens.plans.oracle import ORACLE_SQL
 from churnlens.plans.oracle_check import compare, duck
 from tests.conftest import SF_ORACLE
 
@@ -58,9 +58,9 @@ def qs():
     return registry(TableCache())
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle_with_nulls(spark, null_dir, con, qs, name):
-    ok, why = compare(qs[name](spark, null_dir), con, entry_mod.oracle_sql()[name])
+    ok, why = compare(qs[name](spark, null_dir), con, ORACLE_SQL[name])
     assert ok, f"{name}: {why}"
 
 

@@ -1,4 +1,4 @@
-"""Every registered query against its independent DuckDB SQL (the driver's gate)."""
+"""Every registered query of the library itself against its independent DuckDB SQL (the driver's gate)."""
 
 from __future__ import annotations
 
@@ -6,14 +6,32 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from tests.conftest import SF_ORACLE, SF_SMALL
+from churnlens.plans.catalog import registry
+from churnlens.plans.oracle import ORACLE_SQL as ORACLE
 from churnlens.plans.oracle_check import compare, duck
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+QUERIES = registry()
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
+
+
+def test_a_broken_corpus_import_is_not_swallowed(monkeypatch):
+    import builtins
+    real = builtins.__import__
+
+    def failing(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("no such module", name=missing)
+        return real(name, *args, **kwargs)
+    monkeypatch.setattr(builtins, "__import__", failing)
+    for missing in ("corpus_pipeline", "churnlens.llm"):
+        assert set(entry_mod.queries()) == set(QUERIES)
+    missing = "churnlens.llm.qualty"
+    with pytest.raises(ModuleNotFoundError):
+        entry_mod.queries()
 
 
 @pytest.fixture(scope="module")
