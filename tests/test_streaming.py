@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.cleaning import clean
 from churnlens.sources.dirty import make_dirty
-from churnlens.streaming.ingest import read_clean_output, start_clean_stream
+from churnlens.streaming.ingest import read_clean_output, read_quarantine, start_clean_stream
 
 
 def test_stream_matches_batch(spark, small_tables):
@@ -40,3 +40,36 @@ def test_stream_matches_batch(spark, small_tables):
     assert read_clean_output(spark, sink).count() == batch.count()
     with pytest.raises(ValueError, match="holds batches"):
         start_clean_stream(spark, flat, sink, checkpoint_dir=os.path.join(root, "other"))
+
+
+@pytest.fixture()
+def delivery(spark, small_tables, tmp_path):
+    """A folder with good records and three bad ones, in another column order; and the good records."""
+    dirty = make_dirty(small_tables.wide).withColumn("is_churned", F.col("is_churned").cast("int"))
+    text = dirty.select([F.col(c).cast("string").alias(c) for c in reversed(dirty.columns)])
+    bad = text.limit(3).withColumns({
+        "customer_id": F.concat(F.lit("9000"), "customer_id"),
+        "plan_price": F.lit("9,99"), "join_date": F.lit("soon"), "cancellation_date": F.lit("never")})
+    src = str(tmp_path / "in")
+    text.unionByName(bad).unionByName(bad).coalesce(1).write.option("header", True).csv(src)
+    return src, small_tables.wide
+
+
+def test_bad_cells_are_set_aside(spark, delivery, tmp_path):
+    src, wide = delivery
+    sink, aside, ckpt = (str(tmp_path / n) for n in ("out", "aside", "ckpt"))
+    start_clean_stream(spark, src, sink, ckpt, quarantine_dir=aside).awaitTermination(timeout=180)
+    cleaned, expected = read_clean_output(spark, sink), clean(make_dirty(wide))
+    assert cleaned.exceptAll(expected).count() == expected.exceptAll(cleaned).count() == 0
+    rows = read_quarantine(spark, aside).collect()
+    assert [r.bad for r in rows] == [["plan_price", "join_date"]] * 3  # an unreadable cancellation date is none
+    assert all('"plan_price":"9,99"' in r.text and '"customer_id":"9000' in r.text for r in rows)
+
+
+def test_bad_cells_fail_a_stream_without_quarantine(spark, delivery, tmp_path):
+    src, _ = delivery
+    sink = str(tmp_path / "out")
+    query = start_clean_stream(spark, src, sink, str(tmp_path / "ckpt"))
+    with pytest.raises(Exception, match="do not parse"):
+        query.awaitTermination(timeout=180)
+    assert not os.path.exists(sink)
