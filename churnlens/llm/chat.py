@@ -61,9 +61,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages of a log.
 
     The log has conv_id, seq, turn, role, message (names the message within
-    the conversation), kind and text.
+    the conversation), kind and text; further columns are left out.  Events without a
+    ``seq`` come first; of those with equal ``seq`` a delta does not outlast a reset; of equal resets the later
+    one in (kind, text) counts, equal deltas are appended in order of their text.
     """
     key = ["conv_id", "turn", "role", "message"]
+    events = events.select(*key, F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), "kind", "text")
     resets = events.filter(F.col("kind") != "delta").groupBy(*key).agg(F.max(F.struct("seq", "kind", "text")).alias("reset"))
     resets = resets.select(*[F.col(k).alias(f"reset_{k}") for k in key], "reset")
     same = [F.col(k).eqNullSafe(F.col(f"reset_{k}")) for k in key]

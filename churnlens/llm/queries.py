@@ -87,15 +87,43 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def streamed_events(rows: DataFrame, delta_chars: int = 200) -> DataFrame:
-    """A message table as an event log: each text arrives in deltas of ``delta_chars`` characters."""
+    """A message table as the log of an application that wrote it.
+
+    ``seq`` numbers a conversation's events throughout.  Messages take turns in how they came
+    about: streamed in deltas of ``delta_chars`` characters; a draft that was
+    regenerated; a wrong text edited after everything else was said; a half
+    edited on the way and then streamed on.  Some conversations also hold messages that
+    were dropped.  Folding gives the rows' texts again.
+    """
     text = F.coalesce("text", F.lit(""))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / delta_chars).cast("int")),
-        lambda k: F.substring(text, k * delta_chars + 1, F.lit(delta_chars)))
-    return rows.withColumn("message", F.monotonically_increasing_id()) \
-        .select("conv_id", "turn", "role", "message", F.posexplode(pieces).alias("piece", "text")) \
-        .select("conv_id", F.col("piece").cast("bigint").alias("seq"), "turn", "role", "message",
-                F.lit("delta").alias("kind"), "text")
+
+    def event(kind: str, body: Column, late: bool = False) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), body.alias("text"), F.lit(late).alias("late"), F.lit(False).alias("extra")))
+
+    def deltas(body: Column) -> Column:
+        last = F.greatest(F.char_length(body) - 1, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(last / delta_chars).cast("int")), lambda k: F.struct(
+                F.lit("delta").alias("kind"), F.substring(body, k * delta_chars + 1, F.lit(delta_chars)).alias("text"),
+                F.lit(False).alias("late"), F.lit(False).alias("extra")))
+
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    wrong = F.concat(F.lit("no: "), F.reverse(first))
+    way = F.pmod("message", F.lit(4))
+    events = F.when(way == 0, deltas(text)) \
+        .when(way == 1, F.concat(deltas(wrong), event("regenerate", F.lit(None).cast("string")), deltas(text))) \
+        .when(way == 2, F.concat(deltas(wrong), event("edit", text, late=True))) \
+        .otherwise(F.concat(event("delta", wrong), event("edit", first), deltas(rest)))
+    dropped = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit("never").alias("text"), F.lit(False).alias("late"),
+                                 F.lit(True).alias("extra")) for kind in ("delta", "drop")])
+    events = F.when(F.pmod("message", F.lit(5)) == 0, F.concat(events, dropped)).otherwise(events)
+    log = rows.withColumn("message", F.monotonically_increasing_id()) \
+        .select("conv_id", "turn", "role", "message", F.explode(events).alias("e"))
+    said = F.monotonically_increasing_id()
+    return log.select("conv_id", F.when(F.col("e.late"), F.lit(1 << 62) + said).otherwise(said).alias("seq"), "turn", "role",
+                      F.when(F.col("e.extra"), -1 - F.col("message")).otherwise(F.col("message")).alias("message"),
+                      "e.kind", "e.text")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
