@@ -8,10 +8,12 @@ written for every size and offset.  Archives are single files in the shared
 folder, written by Spark's own file writer, so any store that Spark writes to
 will do; its line end after each row is the package's one-character comment.
 
-Reader: finds the end-of-central-directory record (and its ZIP64 form) from
-the back of the file, reads the central directory, locates the two members,
-and then reads each record by the offset and length of its index line.  No
-member is extracted and no record is read that is not asked for.
+Reader: Spark lists the packages; tasks find the end-of-central-directory record
+(and its ZIP64 form) from the back of each file, read the central directory, locate the
+two members and read the index.  That gives a table of (path, page, offset, length);
+the rows that are asked for are spread over tasks and read by their ranges.  No member is
+extracted, no other record is read, and a package may be of any size.  Ranges
+are read through pyarrow's file systems (local, HDFS and object stores).
 
 Of payloads of at least ``MIN_REVISIT`` bytes that are equal, the smallest
 page id is a ``response`` and the others are ``revisit`` records without a
@@ -28,19 +30,23 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import Scratch
 
 ARCHIVE_BYTES = 8 << 20
 MIN_REVISIT = 100
+READ_BYTES = 4 << 20
+SPREAD_BYTES = 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 _LOCAL = struct.Struct("<4s5H3I2H")
@@ -196,39 +202,100 @@ def write_archives(scratch: Scratch, pages: DataFrame, id_col: str = "page_id",
     return path
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Package:
+    """Ranges of one file, through the file system of its path."""
+
+    def __init__(self, path: str):
+        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", path))
+        self._file = system.open_input_file(name)
+        self.bytes_read = 0
+
+    def read(self, offset: int, length: int) -> bytes:
+        data = self._file.read_at(length, offset)
+        if len(data) != length:
+            raise ValueError(f"{length} bytes at {offset} are beyond the file's end")
+        self.bytes_read += length
+        return data
+
+    def close(self) -> None:
+        self._file.close()
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, page_id, offset, length) of every record, from directories and indexes alone."""
+    for batch in batches:
+        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            package = _Package(path)
+            members = central_directory(package.read, size)
+            base = members[DATA][0]
+            lines = [json.loads(line) for line in package.read(*members[INDEX]).splitlines()]
+            package.close()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path] * len(lines), pa.string()), pa.array([x["page"] for x in lines], pa.int64()),
+                 pa.array([base + x["offset"] for x in lines], pa.int64()), pa.array([x["length"] for x in lines], pa.int64())],
+                ["path", "page_id", "offset", "length"])
+
+
+def _adjoining(rows: list[tuple[str, int, int]], most: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Runs of records that follow each other in one file, of at most ``most`` bytes (one record may be longer)."""
+    run: list[tuple[str, int, int]] = []
+    for row in rows:
+        if run and (row[0] != run[-1][0] or row[1] != run[-1][1] + run[-1][2] or row[1] + row[2] - run[0][1] > most):
+            yield run
+            run = []
+        run.append(row)
+    if run:
+        yield run
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads the records at (path, offset, length); neighbours in a file are one read."""
     fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()),
               ("payload", pa.binary()), ("refers_to", pa.int64())]
+    opened, package = None, None
     for batch in batches:
-        for blob in batch.column(0):
-            view = memoryview(blob.as_buffer())
+        wanted = list(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))))
+        for run in _adjoining(wanted, READ_BYTES):
+            if run[0][0] != opened:
+                if package:
+                    package.close()
+                opened, package = run[0][0], _Package(run[0][0])
+            begin = run[0][1]
+            blob = package.read(begin, run[-1][1] + run[-1][2] - begin)
+            rows = []
+            for _, offset, length in run:
+                head, payload = read_record(blob[offset - begin: offset - begin + length])
+                digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of page {head['Page-ID']} does not match its digest")
+                rows.append((int(head["Page-ID"]) if head["Page-ID"] else None, head["WARC-Type"], digest,
+                             payload if head["WARC-Type"] == "response" else None,
+                             int(head["Refers-To-Page"]) if "Refers-To-Page" in head else None))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+    if package:
+        package.close()
+
+
+def locate_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_id, offset, length) of every record of the packages below ``path``."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # a listing, no content
+    return files.mapInArrow(_locate, "path string, page_id long, offset long, length long")
+
+
+def read_records(located: DataFrame) -> DataFrame:
+    """(page_id, record_type, payload_digest, payload, refers_to) of located records, each read by its range.
+
+    Stretches of ``SPREAD_BYTES`` of a file go to tasks of their own, so a large package is no single task's.
+    """
+    stretch = F.floor(F.col("offset") / SPREAD_BYTES)
+    return located.repartition("path", stretch).sortWithinPartitions("path", "offset").select("path", "offset", "length") \
+        .mapInArrow(_fetch, "page_id long, record_type string, payload_digest string, payload binary, refers_to long")
 
-            def read(offset: int, length: int) -> bytes:
-                return bytes(view[offset: offset + length])
 
-            members = central_directory(read, len(view))
-            base = members[DATA][0]
-            lines = read(*members[INDEX]).decode().splitlines()
-            for part in range(0, len(lines), 200):
-                rows = []
-                for line in lines[part: part + 200]:
-                    where = json.loads(line)
-                    head, payload = read_record(read(base + where["offset"], where["length"]))
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of page {head['Page-ID']} does not match its digest")
-                    rows.append((int(head["Page-ID"]) if head["Page-ID"] else None, head["WARC-Type"], digest,
-                                 payload if head["WARC-Type"] == "response" else None,
-                                 int(head["Refers-To-Page"]) if "Refers-To-Page" in head else None))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
-
-
-def read_archives(spark, path: str) -> DataFrame:
-    """(page_id, record_type, payload_digest, payload, refers_to) of every record below ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(
-        _read, "page_id long, record_type string, payload_digest string, payload binary, refers_to long")
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the packages below ``path``."""
+    return read_records(locate_records(spark, path))
 
 
 def resolve(records: DataFrame) -> DataFrame:
