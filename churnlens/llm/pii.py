@@ -9,11 +9,13 @@
    groups, separators, checksum, parts) and its context (characters around it,
    cue words before it).  Right are rewritten base spans in their own context
    (``@`` and ``.`` as at/dot, no ``+``, no country code, digits regrouped, two
-   cards run together); wrong are the pieces proposed around those, and
+   cards run together); wrong are the pieces proposed around those, addresses whose
+   only sign is the word "at" (prose: "look at example.com"), and
    candidates that meet no base span and fail the checks of their kind.
    Candidates that pass them in a form that rewriting gives (phones: one of the
    rewritten shapes, or after a cue word) are neither.  The trees are fitted on
-   at most ``SAMPLE_DOCS`` documents (chosen by a hash of the id) and turned into
+   at most ``SAMPLE_DOCS`` documents (chosen by a hash of the id) and
+   ``ROWS_PER_DOC`` times as many candidates, and turned into
    one SQL expression, so scoring the corpus is a narrow pass without Python.
 4. Thresholds are calibrated for each kind on the right and wrong rows of all
    documents, by one aggregate over kind and rounded score: the lowest score
@@ -48,7 +50,7 @@ PRECISION = 0.95
 TREES, TREE_DEPTH = 12, 3
 CONTEXT = 16
 SNIPPET = 40  # characters kept on each side of a rewritten span
-SHAPES = 200  # most frequent rewritten phone shapes
+ROWS_PER_DOC = 10
 
 # base patterns; possessive groups and the look-behind only keep long runs linear
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -118,6 +120,11 @@ def _valid(kind: str, s: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+def _written_address(s: Column) -> Column:
+    """An address by more than the word "at": ``@``, a bracketed at, or a dot in words; its last part is letters."""
+    return s.rlike(r"@|[(\[]at[)\]]| dot |[(\[]dot[)\]]") & _plain(s).rlike(r"\.[A-Za-z]{2,}$")
+
+
 def _base_of(text: Column, k: int, pattern: str) -> Column:
     spans = F.filter(_spans(text, pattern), lambda s: _valid(KINDS[k], s["match"]))
     return F.transform(spans, lambda s: F.struct(
@@ -178,6 +185,7 @@ def features(c: Column) -> list[tuple[str, Column]]:
         ("n_dots", number(F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit(""))))),
         ("n_letters", number(F.length(F.regexp_replace(s, "[^A-Za-z]", "")))),
         ("has_at", flag(s.contains("@"))),
+        ("in_words", flag(s.rlike(r"[(\[]at[)\]]| dot |[(\[](?:dot|\.)[)\]]"))),
         ("has_paren", flag(s.contains("("))),
         ("has_plus", flag(s.startswith("+"))),
         ("luhn", flag(luhn(digits))),
@@ -201,7 +209,7 @@ def _described(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, ca
 
 
     def passes(c: Column) -> Column:
-        checks = [_valid(k, _plain(c["match"])) for k in KINDS]
+        checks = [_written_address(c["match"]) if k == "email" else _valid(k, _plain(c["match"])) for k in KINDS]
         return F.element_at(F.array(*checks), c["kind"] + 1)
 
     free = F.filter("found", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
@@ -220,15 +228,18 @@ def _described(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, ca
 
 
 def _forms(kind: Column, s: Column) -> Column:
-    """array of (prefix, body, suffix): a base span of ``kind`` rewritten; ``body`` is to be found."""
-    def form(body: Column, prefix: Column | None = None, suffix: Column | None = None) -> Column:
+    """array of (prefix, body, suffix, right): a base span of ``kind`` rewritten; ``body`` is to be found, or not if wrong."""
+    def form(body: Column, prefix: Column | None = None, suffix: Column | None = None, right: bool = True) -> Column:
         return F.struct((F.lit("") if prefix is None else prefix).alias("prefix"), body.alias("body"),
-                        (F.lit("") if suffix is None else suffix).alias("suffix"))
+                        (F.lit("") if suffix is None else suffix).alias("suffix"), F.lit(right).alias("right"))
 
     name, host, digits = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1), _digits(s)
     swap = lambda text, dot: F.replace(text, F.lit("."), F.lit(dot))
     emails = [form(F.concat(name, F.lit(at), swap(host, dot))) for at, dot in (
-        (" at ", " dot "), ("(at)", "."), (" at ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "))]
+        (" at ", " dot "), ("(at)", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "))]
+    # the word "at" alone is prose, with a host or with a sentence that goes on without a space
+    emails += [form(F.concat(name, F.lit(" at "), host), right=False),
+               form(F.concat(name, F.lit(" at "), F.substring_index(host, ".", 1), F.lit("."), F.initcap(name)), right=False)]
     ips = [form(swap(s, dot)) for dot in ("[.]", "(dot)", " dot ")]
     spaced = lambda text, by: F.regexp_replace(text, r"([0-9]{4})(?=[0-9])", f"$1{by}")
     cards = [form(spaced(digits, ".")), form(spaced(digits, "  ")), form(s, suffix=F.concat(F.lit(" "), s)),
@@ -247,11 +258,11 @@ def _rewritten(scratch: Scratch, described: DataFrame) -> DataFrame:
         .select("draw", "m", F.explode(_forms(F.col("m.kind"), F.col("m.match"))).alias("w"))
     written = forms.select(
         "draw", "m.kind", F.concat("m.before", "w.prefix", "w.body", "w.suffix", "m.after").alias("text"),
-        (F.char_length("m.before") + F.char_length("w.prefix")).alias("start"), F.char_length("w.body").alias("n"))
-    near = written.select("draw", F.col("kind").alias("own"), "start", (F.col("start") + F.col("n")).alias("stop"),
+        (F.char_length("m.before") + F.char_length("w.prefix")).alias("start"), F.char_length("w.body").alias("n"), "w.right")
+    near = written.select("draw", F.col("kind").alias("own"), "right", "start", (F.col("start") + F.col("n")).alias("stop"),
                           F.explode(candidate_spans(F.col("text"))).alias("c")) \
         .filter("c.kind = own AND c.start < stop AND start < c.stop")
-    equal = (F.col("c.start") == F.col("start")) & (F.col("c.stop") == F.col("stop"))
+    equal = F.col("right") & (F.col("c.start") == F.col("start")) & (F.col("c.stop") == F.col("stop"))
     return scratch.table(near.select(
         "draw", F.col("own").alias("kind"), equal.cast("double").alias("label"),
         F.regexp_replace("c.match", "[0-9]", "9").alias("shape"),
@@ -262,11 +273,12 @@ def _labelled(scratch: Scratch, described: DataFrame) -> DataFrame:
     """(draw, kind, label, f) of all documents: right and wrong rows."""
     rewritten = _rewritten(scratch, described)
     phone = KINDS.index("phone")
-    top = rewritten.filter((F.col("kind") == phone) & (F.col("label") == 1)).groupBy("shape").count() \
-        .orderBy(F.desc("count"), "shape").limit(SHAPES).collect()
-    shapes = [r["shape"] for r in top if not r["shape"].isdigit()]
-    rows = described.select("draw", F.explode("described").alias("c"))
-    known = F.col("c.passes") & ((F.col("c.kind") != phone) | (F.col("c.f.cue") == 1) | F.col("c.shape").isin(shapes))
+    shapes = rewritten.filter((F.col("kind") == phone) & (F.col("label") == 1) & F.col("shape").rlike("[^0-9]")) \
+        .select(F.col("shape").alias("known_shape")).distinct()
+    shapes = scratch.table(shapes, "shapes")
+    rows = described.select("draw", F.explode("described").alias("c")) \
+        .join(shapes, F.col("c.shape") == F.col("known_shape"), "left")
+    known = F.col("c.passes") & ((F.col("c.kind") != phone) | (F.col("c.f.cue") == 1) | F.col("known_shape").isNotNull())
     wrong = rows.filter(~known).select("draw", "c.kind", F.lit(0.0).alias("label"), "c.f")
     return rewritten.select("draw", "kind", "label", "f").union(wrong)
 
@@ -279,7 +291,7 @@ def _sample(scratch: Scratch, labelled: DataFrame, sample_docs: int) -> DataFram
     rows = labelled.join(drawn, "draw", "left_semi").select(
         F.xxhash64("draw", "label", "f").alias("draw"), "label", "f.*")
     # as many candidates as fit the bound, in a fixed order
-    return scratch.table(rows.dropDuplicates(["draw"]).orderBy("draw").limit(10 * sample_docs), "sample")
+    return scratch.table(rows.dropDuplicates(["draw"]).orderBy("draw").limit(ROWS_PER_DOC * sample_docs), "sample")
 
 
 def _tree_sql(text: str, names: list[str]) -> str:
