@@ -10,15 +10,20 @@ segments are equal as wholes.
 
 1. segments of all documents: about one row for 18 words;
 2. segments whose anchor lies in one document only share nothing and drop out;
-3. equal segments are joined at once: all but the smallest document's copies
-   are repeated spans, their source being that document;
+3. equal segments are joined at once, each to its source, the place in the smallest
+   document that holds it;
 4. the segments left branch (the passage ends inside them, or an edit does):
    only these are unfolded into single edges at their source coordinates, and
    the edges joined the same way;
-5. each document's spans, from 3 and 4, remove its words.
-
-Segments and edges are compared by 128 bits: the anchor's hash and an
-independent one of all the words between their coordinates.  Counts are
+5. pieces that follow each other in a document and in their source are one path and compact to
+   one span with its source coordinates;
+6. the span's words and those at its source coordinates are read again from the texts and compared by
+   SHA-256; a span that differs (a collision of the hashes above) removes nothing;
+7. each document's spans remove its words.
+
+Segments and edges are proposed by 64 to 128 bits of hash (the anchor's and an
+independent one of all the words between their coordinates), the verdict is the
+comparison of step 6.  Counts are
 pre-aggregated, joins are equi-joins that Spark may split, and a hot passage
 costs one row for each place it occurs in.
 
@@ -30,13 +35,15 @@ larger than all others; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from churnlens.llm.common import Scratch, fresh
 from churnlens.llm.hashing import WindowHasher, word_hashes
@@ -80,7 +87,7 @@ _EDGES = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("id", pa.int6
 _ROWS = 100_000
 
 
-def _find_segments(window: int, anchor: int):
+def _find_segments(window: int, anchor: int, hash_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher()
         parts: list[tuple] = []
@@ -96,7 +103,7 @@ def _find_segments(window: int, anchor: int):
                 words = (text.as_py() or "").encode().split()
                 if len(words) < window:
                     continue
-                key, body, first, last = segments(word_hashes(words), hasher, window, anchor)
+                key, body, first, last = segments(hash_words(words), hasher, window, anchor)
                 parts.append((key.view(np.int64), body.view(np.int64), np.full(len(first), i), np.full(len(first), rid),
                               first.astype(np.int32), (last - first + 1).astype(np.int32)))
                 held += len(first)
@@ -107,13 +114,13 @@ def _find_segments(window: int, anchor: int):
     return run
 
 
-def _unfold(window: int):
+def _unfold(window: int, hash_words):
     """Single edges of the segments listed with each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher()
         for batch in batches:
             for i, rid, text, listed in zip(*(batch.column(c) for c in ("id", "rid", "text", "listed"))):
-                hashes = word_hashes((text.as_py() or "").encode().split())
+                hashes = hash_words((text.as_py() or "").encode().split())
                 prefixes = hasher.prefixes(hashes, 1)
                 flat = listed.values
                 key, first, count = (flat.field(k).to_numpy() for k in range(3))
@@ -128,6 +135,19 @@ def _unfold(window: int):
     return run
 
 
+_DIGESTS = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])
+
+
+def _digest_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the listed word spans of each text."""
+    for batch in batches:
+        for i, rid, text, listed in zip(*(batch.column(c) for c in ("id", "rid", "text", "listed"))):
+            words = (text.as_py() or "").encode().split()
+            start, n = (listed.values.field(k).to_numpy() for k in range(2))
+            digests = [hashlib.sha256(b" ".join(words[a: a + m])).digest() for a, m in zip(start.tolist(), n.tolist())]
+            yield _batch([np.full(len(n), i.as_py()), np.full(len(n), rid.as_py()), start, n, digests], _DIGESTS)
+
+
 _RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("kept_text", T.StringType()),
@@ -157,8 +177,47 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("row"), result], ["row", "result"])
 
 
+def _paths(pieces: DataFrame, window: int) -> DataFrame:
+    """(id, rid, start, n, source_id, source_rid, source_start): pieces that continue each other, as one span of words.
+
+    A piece continues another if it begins among its edges or right behind them, in
+    the document and in the source alike.
+    """
+    shifted = pieces.select(
+        "id", "rid", F.col("source.id").alias("source_id"), F.col("source.rid").alias("source_rid"),
+        (F.col("first") - F.col("source.first")).alias("shift"), "first", (F.col("first") + F.col("n_edges")).alias("behind")).distinct()
+    path = ["id", "rid", "source_id", "source_rid", "shift"]  # no more pieces than the document has
+    along = Window.partitionBy(*path).orderBy("first", "behind")
+    reached = F.max("behind").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached.isNull() | (F.col("first") > reached), 1).otherwise(0)
+    numbered = shifted.withColumn("begins", begins).withColumn("number", F.sum("begins").over(
+        along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = numbered.groupBy(*path, "number").agg(F.min("first").alias("start"), F.max("behind").alias("behind"))
+    return whole.select("id", "rid", "start", (F.col("behind") - F.col("start") + (window - 1)).cast("int").alias("n"),
+                        "source_id", "source_rid", (F.col("start") - F.col("shift")).cast("int").alias("source_start"))
+
+
+def _verified(scratch: Scratch, rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """The paths whose words equal those at their source."""
+    here = paths.select("id", "rid", "start", "n")
+    there = paths.select(F.col("source_id").alias("id"), F.col("source_rid").alias("rid"), F.col("source_start").alias("start"), "n")
+    listed = here.union(there).groupBy(F.col("id").alias("listed_id"), F.col("rid").alias("listed_rid")) \
+        .agg(F.collect_set(F.struct("start", "n")).alias("listed"))
+    texts = rows.select("id", "rid", "text").join(
+        scratch.table(listed, "listed_spans"), (F.col("id") == F.col("listed_id")) & (F.col("rid") == F.col("listed_rid")))
+    digests = texts.select("id", "rid", "text", "listed").mapInArrow(
+        _digest_spans, "id long, rid long, start int, n int, digest binary")
+    digests = scratch.table(digests.distinct(), "digests")
+    own = scratch.table(paths.join(digests, ["id", "rid", "start", "n"]), "own_digests")
+    source = digests.select(F.col("id").alias("source_id"), F.col("rid").alias("source_rid"), F.col("start").alias("source_start"), "n",
+                            F.col("digest").alias("source_digest"))
+    return own.join(source, ["source_id", "source_rid", "source_start", "n"]).filter("digest = source_digest") \
+        .select("id", "rid", "start", "n")
+
+
 def remove_repeats(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None) -> DataFrame:
+                   window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None,
+                   hash_words: Callable[[list[bytes]], np.ndarray] = word_hashes) -> DataFrame:
     """Rows of ``docs`` with n_words, n_removed and the kept text, in the struct ``repeats`` (or a free name).
 
     Tables still needed by the result are published, the others belong to ``scratch``.
@@ -172,15 +231,16 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", te
                        F.xxhash64(ident, F.coalesce(text, F.lit(""))).alias("rid"), text.alias("text"))
 
     found = scratch.table(rows.select("id", "rid", "text").mapInArrow(
-        _find_segments(window, anchor), "anchor long, body long, id long, rid long, first int, n_edges int"), "found")
+        _find_segments(window, anchor, hash_words), "anchor long, body long, id long, rid long, first int, n_edges int"), "found")
     in_two = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) \
         .filter("lo < hi").select("anchor")
     shared = scratch.table(found.join(in_two, "anchor", "left_semi"), "shared")
     scratch.drop("found")
 
-    sources = shared.groupBy("anchor", "body").agg(F.min("id").alias("source"))
+    place = F.struct("id", "rid", "first")
+    sources = shared.groupBy("anchor", "body").agg(F.min(place).alias("source"))
     placed = scratch.publish(shared.join(sources, ["anchor", "body"])
-                             .withColumn("repeated", F.col("id") > F.col("source")), "placed")
+                             .withColumn("repeated", F.col("id") > F.col("source.id")), "placed")
     branching = placed.filter("NOT repeated")
     open_anchors = branching.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) \
         .filter("lo < hi").select("anchor")
@@ -188,15 +248,17 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", te
         .agg(F.collect_set(F.struct("anchor", "first", "n_edges")).alias("listed"))
     listed = scratch.publish(listed, "listed")
     edges = rows.join(listed, (F.col("id") == F.col("listed_id")) & (F.col("rid") == F.col("listed_rid"))).select("row", "id", "rid", "text", "listed") \
-        .mapInArrow(_unfold(window), "anchor long, body long, id long, rid long, first int")
-    edge_sources = edges.groupBy("anchor", "body").agg(F.min("id").alias("source"))
-    repeated_edges = edges.join(edge_sources, ["anchor", "body"]).filter("id > source")
-
-    spans = placed.filter("repeated").select("id", "rid", F.col("first").alias("start"),
-                                             (F.col("first") + F.col("n_edges") + (window - 1)).alias("stop")) \
-        .union(repeated_edges.select("id", "rid", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
-    spans = spans.groupBy(F.col("id").alias("spans_id"), F.col("rid").alias("spans_rid")) \
-        .agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        .mapInArrow(_unfold(window, hash_words), "anchor long, body long, id long, rid long, first int")
+    edges = scratch.table(edges, "edges")
+    edge_sources = edges.groupBy("anchor", "body").agg(F.min(place).alias("source"))
+    repeated_edges = edges.join(edge_sources, ["anchor", "body"]).filter("id > source.id")
+
+    pieces = placed.filter("repeated").select("id", "rid", "source", "first", "n_edges") \
+        .union(repeated_edges.select("id", "rid", "source", "first", F.lit(1).alias("n_edges")))
+    paths = scratch.table(_paths(pieces, window), "paths")
+    spans = _verified(scratch, rows, paths).groupBy(F.col("id").alias("spans_id"), F.col("rid").alias("spans_rid")) \
+        .agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).alias("spans"))
+    spans = scratch.publish(spans, "spans")
     joined = rows.join(spans, (F.col("id") == F.col("spans_id")) & (F.col("rid") == F.col("spans_rid")), "left") \
         .select("row", "text", "spans")
     schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("result", _RESULT)])
