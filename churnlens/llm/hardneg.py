@@ -6,7 +6,7 @@ other rows of its label; a positive's negatives are the best ``NEGATIVES`` rows
 of other labels with ``low`` * positive <= 100 * negative <= 100 * positive.
 Higher scores come first, then smaller ids.
 
-1. Rows are sorted along a Hilbert curve over the ``CURVE_DIMS`` dimensions of
+1. Rows of a label are sorted along a Hilbert curve over the ``CURVE_DIMS`` dimensions of
    the largest variance and cut into Parquet blocks of ``BLOCK_ROWS``; each has
    a zone map, the minimum and maximum of every dimension and of the label.
    Consecutive blocks are a segment, with a zone map of its own: about ``SEGMENTS``
@@ -302,7 +302,7 @@ class Candidates:
         cells = [_cell(F.coalesce(F.get("q", F.lit(d.dim)), F.lit(0)), d.mean, d.variance) for d in widest]
         curve = hilbert_index(cells, CURVE_BITS) if len(cells) > 1 else cells[0] if cells else F.lit(0).cast("bigint")
         placed = global_positions(scratch, scratch.table(rows.withColumn("curve", curve), "curve"),
-                                  [F.col("curve"), F.col("id")], "along_curve", "row")
+                                  [F.col("label"), F.col("curve"), F.col("id")], "along_curve", "row")
         block = F.floor(F.col("row") / BLOCK_ROWS).cast("bigint")
         segment_blocks = min(SEGMENT_MOST, max(SEGMENT_LEAST, placed.count() // (SEGMENTS * BLOCK_ROWS)))
         members = placed.groupBy(F.floor(block / segment_blocks).cast("bigint").alias("segment"), block.alias("block")) \
