@@ -4,59 +4,62 @@ A document's set are its distinct shingles of ``words`` lower-cased words
 (fewer words: the whole sequence).  Documents with a similarity (Jaccard) of
 at least ``percent``/100 are linked; groups are connected components.
 
-1. Sketch: set size, digest of the set, ``SIGNATURE`` MinHash values.
-   Documents with equal sets collapse to their smallest id.
+1. Sketch: set size, digest of the set, MinHash values: ``COORDINATES`` whole ones
+   for the trees and ``EXTRA`` further ones of a byte each.  Equal sets become one node.
 2. Forest: ``TREES`` sorted orders of the signatures, each beginning with
-   other coordinates.  Sets that share their first ``DEPTH`` coordinates form
-   a region of the tree; a true link falls into a common region of some tree
+   other coordinates.  Nodes that share their first ``DEPTH`` coordinates form
+   a region, a run of the order; a true link falls into a common region of some tree
    but for (1 - s ** DEPTH) ** TREES, 2e-9 at s = 0.85.
-3. Every member of a region is compared with the region's smallest node, which
-   links a group of copies in as many comparisons as it has members.  Regions
-   of more than ``NEIGHBOURS`` + 1 members go deeper: each member is also
-   compared with the smallest node that shares ``DEEP`` coordinates with it.
-4. In regions whose members are still in different components each row is
-   compared with its ``NEIGHBOURS`` predecessors in the tree's order.  Regions
-   of up to ``NEIGHBOURS`` + 1 members are finished by that: it is every pair.
-   In larger ones it joins most of what belongs together, pair by neighbour.
-5. Larger regions that are mixed even then are finished by an exact prefix
-   join: two linked sets share one of their rarest shingles, and enough
+3. A node's candidate is its neighbour in the order, the one with the longest
+   common prefix: within a region, the nearest predecessor of *another* component.
+   The first ``FIRST_TREES`` trees alone join most copies; with their components
+   contracted, all trees follow, and once more what they left apart.
+4. Depth adapts to the region: one of up to ``NEAR`` + 1 nodes needs no more than
+   its first ``DEPTH`` coordinates, every pair of it is compared; in larger ones the
+   deeper coordinates decide who is near.
+5. Larger regions that hold several components even then are finished by an
+   exact prefix join: two linked sets share one of their rarest shingles, and enough
    shingles follow it in both, so only such sets of different components are
    compared.
 
 Pairs that set sizes rule out, or that share so few signature values as a
 linked pair does once in 1e9 cases, are dropped; all others are confirmed on
-the full sets.  No group or bucket is capped, and no pairs are made within a
-component.
+the full sets, each pair once.  No group or bucket is capped, and no pairs are made
+within a component.
 
 Defined results: NULL text, or text without words, has an empty set and is
-linked with nothing; so are rows with a NULL id (their component is NULL, they
-are kept); rows with equal ids are one node of the link graph and share its
-component; an empty table gives no rows.
+linked with nothing (its component is its id); repeated ids are separate documents
+if their sets differ; rows with a NULL id belong to the group of their text, a group
+of NULL ids alone has a NULL component; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlens.llm.common import Scratch, fresh
+from churnlens.llm.common import Scratch, fresh, strip_space
 from churnlens.llm.components import components
 from churnlens.llm.hashing import mix, word_hashes
 
 WORDS = 5
 PERCENT = 80
-SIGNATURE = 64
+COORDINATES = 64
+EXTRA = 192
 TREES = 21
 DEPTH = 3
-NEIGHBOURS = 8
-DEEP = 6
-_CHUNK = 2048
+KEY = 6  # coordinates of a sort key
+FIRST_TREES = 4
+NEAR = 8
+_CHUNK = 256
+_SIGNATURE_BYTES = 4 * COORDINATES + EXTRA
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
                0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -76,16 +79,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(acc)
 
 
-_DRAWN = mix(np.arange(1, 2 * SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_A, _B = (_DRAWN[:SIGNATURE] | np.uint64(1))[:, None], _DRAWN[SIGNATURE:][:, None]
+_DRAWN = mix(np.arange(1, 2 * (COORDINATES + EXTRA) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_A, _B = (_DRAWN[: COORDINATES + EXTRA] | np.uint64(1))[:, None], _DRAWN[COORDINATES + EXTRA:][:, None]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values: the upper 32 bits of the minimum of each hash function."""
-    low = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(shingles: np.ndarray) -> bytes:
+    """MinHash values: the upper 32 bits of the minima for the trees, a byte of the others."""
+    low = np.full(COORDINATES + EXTRA, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), _CHUNK):
         np.minimum(low, (_A * shingles[None, i: i + _CHUNK] + _B).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(">u4")
+    return (low[:COORDINATES] >> np.uint64(32)).astype(">u4").tobytes() + (low[COORDINATES:] >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
 def _batch(columns: list, fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -93,32 +96,29 @@ def _batch(columns: list, fields: list[tuple[str, pa.DataType]]) -> pa.RecordBat
 
 
 def _sketch(words: int):
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())]
+    fields = [("id", pa.int64()), ("text_md5", pa.string()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, md5, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingle_set(text.as_py(), words)
-                rows.append((i, len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None,
-                             signature(s).tobytes() if len(s) else None))
-            yield _batch(list(zip(*rows)) or [[]] * 4, fields)
+                rows.append((i, md5, len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None,
+                             signature(s) if len(s) else None))
+            yield _batch(list(zip(*rows)) or [[]] * len(fields), fields)
     return run
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a tree: hashes of the tree and its first DEPTH and DEEP coordinates."""
-    fields = [("region", pa.int64()), ("deep", pa.int64()), ("node", pa.int64())]
+    """One row a tree: its number, the node's place in its order, and the node."""
+    fields = [("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())]
     for batch in batches:
         for begin in range(0, batch.num_rows, 5000):
             part = batch.slice(begin, 5000)
-            sig = _signatures(part.column(1)).astype(np.uint64)
+            coordinates = _signatures(part.column(1))[0]
             for t in range(TREES):
-                prefix, keys = np.full(len(sig), t, dtype=np.uint64), []
-                for k in range(DEEP):
-                    prefix = mix((prefix << np.uint64(1)) * _C[0] + sig[:, (t * DEPTH + k) % SIGNATURE])
-                    keys.append(prefix.view(np.int64))
-                yield _batch([keys[DEPTH - 1], keys[DEEP - 1], part.column(0)], fields)
+                key = np.ascontiguousarray(coordinates[:, [(t * DEPTH + k) % COORDINATES for k in range(KEY)]])
+                yield _batch([np.full(len(key), t, np.int32), [row.tobytes() for row in key], part.column(0)], fields)
 
 
 def _sets(words: int):
@@ -127,13 +127,8 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                nodes, sets = [], []
-                for node, digest, text in zip(*(batch.slice(begin, 256).column(k) for k in range(3))):
-                    blob = shingle_set(text.as_py(), words).tobytes()
-                    if xxhash.xxh128_digest(blob) == digest.as_py():  # a repeated id may hold another text
-                        nodes.append(node.as_py())
-                        sets.append(blob)
-                yield _batch([nodes, sets], fields)
+                part = batch.slice(begin, 256)
+                yield _batch([part.column(0), [shingle_set(t.as_py(), words).tobytes() for t in part.column(1)]], fields)
     return run
 
 
@@ -158,51 +153,79 @@ def _confirm(percent: int):
 
 def least_agreement(percent: int) -> int:
     """Signature values that a linked pair shares at least: 6.5 standard deviations below the mean (1e-9)."""
-    s = percent / 100
-    return max(0, int(SIGNATURE * s - 6.5 * (SIGNATURE * s * (1 - s)) ** 0.5))
+    s, n = percent / 100, COORDINATES + EXTRA
+    return max(0, int(n * s - 6.5 * (n * s * (1 - s)) ** 0.5))
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").reshape(-1, SIGNATURE)
+def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, _SIGNATURE_BYTES)
+    return np.ascontiguousarray(whole[:, : 4 * COORDINATES]).view(">u4"), whole[:, 4 * COORDINATES:]
 
 
-def _plausible(n_a: np.ndarray, n_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
+def _plausible(n_a: np.ndarray, n_b: np.ndarray, sig_a: tuple, sig_b: tuple, percent: int) -> np.ndarray:
     """Pairs whose set sizes and signatures allow a link."""
     sizes = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
-    return sizes & ((sig_a == sig_b).sum(axis=1) >= least_agreement(percent))
+    agreement = sum((x == y).sum(axis=1) for x, y in zip(sig_a, sig_b))
+    return sizes & (agreement >= least_agreement(percent))
 
 
 def _plausible_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            good = pa.array(_plausible(n_a, n_b, _signatures(batch.column("sig_a")),
-                                       _signatures(batch.column("sig_b")), percent), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+            good = np.ones(batch.num_rows, dtype=bool)
+            if batch.num_rows:
+                good = _plausible(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(),
+                                  _signatures(batch.column("sig_a")), _signatures(batch.column("sig_b")), percent)
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
     return run
 
 
 def _neighbours(percent: int):
-    """Plausible pairs of rows at most NEIGHBOURS apart in a region's order, in different components."""
+    """Plausible candidates of rows in the trees' orders (region, node, part, small, n, sig).
+
+    In a small region every row of another component before a row is its
+    candidate, in others the nearest one.
+    """
+    pair = [("a", pa.int64()), ("b", pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.empty(0, np.int64)] * 4 + [np.empty((0, SIGNATURE), ">u4")]
+        held: list[tuple] = []  # rows before this batch that may still be somebody's candidate
+        region = None
         for batch in batches:
-            own = [batch.column(c).to_numpy() for c in ("region", "node", "part", "n")] + [_signatures(batch.column("sig"))]
-            held = len(last[0])
-            rows = [np.concatenate(pair) for pair in zip(last, own)]
-            region, node, part, n, sig = rows
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("region", "node", "part", "small", "n", "sig"))))
             left, right = [], []
-            for lag in range(1, NEIGHBOURS + 1):
-                i = np.arange(max(held, lag), len(region))
-                i = i[(region[i] == region[i - lag]) & (part[i] != part[i - lag])]
-                i = i[_plausible(n[i], n[i - lag], sig[i], sig[i - lag], percent)]
-                left.append(node[i])
-                right.append(node[i - lag])
-            last = [r[-NEIGHBOURS:] for r in rows]
-            yield _batch([np.concatenate(left), np.concatenate(right)], [("a", pa.int64()), ("b", pa.int64())])
+            for row in rows:
+                if row[0] != region:
+                    region, held = row[0], []
+                before = [h for h in held if h[2] != row[2]]
+                if before:
+                    chosen = before if row[3] else before[-1:]
+                    left.extend([row] * len(chosen))
+                    right.extend(chosen)
+                if row[3]:
+                    held.append(row)
+                else:  # the last row, and the last one of another component than its
+                    held = [h for h in held if h[2] != row[2]][-1:] + [row]
+            for begin in range(0, len(left), 4096):
+                x, y = left[begin: begin + 4096], right[begin: begin + 4096]
+                sizes = [np.array([r[4] for r in side]) for side in (x, y)]
+                sigs = [_signatures(pa.array([r[5] for r in side], pa.binary())) for side in (x, y)]
+                good = np.flatnonzero(_plausible(*sizes, *sigs, percent))
+                yield _batch([[x[i][1] for i in good], [y[i][1] for i in good]], pair)
     return run
 
 
+def _first_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, predecessor) of rows in the trees' orders (region, node)."""
+    last = (None, None)
+    for batch in batches:
+        rows = [last, *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        pairs = [(b[1], a[1]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]]
+        last = rows[-1]
+        yield _batch(list(zip(*pairs)) or [[], []], [("a", pa.int64()), ("b", pa.int64())])
+
+
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [("node", pa.int64()), ("shingle", pa.int64())]
     for batch in batches:
@@ -212,24 +235,26 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Comparer:
-    """Confirms pairs on the full sets of the nodes that share a region with another.
-
-    Pairs that sizes or signatures rule out are dropped before the sets are read.
-    """
+    """Confirms pairs on the full sets of their nodes, each pair once."""
 
     def __init__(self, scratch: Scratch, known: DataFrame, sets: DataFrame, percent: int):
         self._scratch, self._known, self._sets, self._percent = scratch, known, sets, percent
+        self._tested: list[DataFrame] = []
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+    def links(self, pairs: DataFrame, name: str, plausible: bool = False) -> DataFrame:
+        """The linked ones of ``pairs``; ``plausible``: sizes and signatures were looked at already."""
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        sides = [self._known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-                 for x in ("a", "b")]
-        near = pairs.join(sides[0], "a").join(sides[1], "b") \
-            .mapInArrow(_plausible_pairs(self._percent), "a long, b long")
-        near = self._scratch.table(near, f"{name}_pairs")
+        if not plausible:
+            sides = [self._known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+                     for x in ("a", "b")]
+            pairs = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_plausible_pairs(self._percent), "a long, b long")
+        if self._tested:
+            pairs = pairs.join(reduce(DataFrame.union, self._tested), ["a", "b"], "left_anti")
+        pairs = self._scratch.table(pairs, f"{name}_pairs")
+        self._tested.append(pairs)
         left = self._sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
         right = self._sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-        both = near.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return self._scratch.table(both.mapInArrow(_confirm(self._percent), "a long, b long"), f"{name}_links")
 
 
@@ -247,72 +272,84 @@ def _mixed(scratch: Scratch, members: DataFrame, stars: DataFrame, name: str) ->
     return scratch.table(rows.join(ends, "region", "left_semi"), name)
 
 
+def _in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in the trees' orders; small regions stay whole, large ones may be cut between tasks."""
+    order = [F.col("region"), F.when(~F.col("small"), F.col("key")), F.when(~F.col("small"), F.col("node"))]
+    return rows.repartitionByRange(*order).sortWithinPartitions("region", "key", "node").select(*columns)
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, digest, n_shingles, component_id) for every row of ``docs``; ``id`` is a long.
+    """One row for each row of ``docs``: id (a long), text_md5, n_shingles, component_id, keeper.
 
-    ``digest`` identifies the row's shingle set (NULL: empty).
+    ``component_id`` is the smallest id of the group; ``keeper`` marks the rows of
+    the one document that stands for it, the smallest in (id, text_md5).
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sketch = scratch.table(texts.mapInArrow(_sketch(words), "id long, n long, digest binary, sig binary"), "sketch")
-    placed = sketch.filter("id IS NOT NULL AND digest IS NOT NULL")
-
-    # equal sets: one node for each distinct set, its smallest id (a repeated id may hold several sets)
-    firsts = scratch.table(placed.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last"), "firsts")
-    copies = placed.select("id", "digest").distinct().join(firsts, "digest").filter("id <> rep") \
-        .select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    nodes = placed.groupBy("digest").agg(F.min(F.struct("id", "n", "sig")).alias("s")) \
-        .select("digest", F.col("s.id").alias("id"), F.col("s.n").alias("n"), F.col("s.sig").alias("sig"))
-    nodes = scratch.table(nodes.withColumn("node", F.xxhash64("digest")), "nodes")
-    # nodes are named by their set's hash; ids come back with the links
-    forest = scratch.table(nodes.select("node", "sig").mapInArrow(
-        _trees, "region long, deep long, node long"), "forest")
-    regions = forest.groupBy("region").agg(
-        F.count(F.lit(1)).alias("n_members"), F.min("node").alias("leader")).filter("n_members > 1")
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_md5"),
+                        text.alias("text"))
+    sketch = scratch.table(texts.mapInArrow(
+        _sketch(words), "id long, text_md5 string, n long, digest binary, sig binary"), "sketch")
+
+    # equal sets are one node; its number is its place in the written table
+    nodes = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(
+        _first_document(F.struct("id", "text_md5")), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    forest = scratch.table(nodes.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long").select(
+        "tree", F.concat(F.to_binary(F.lpad(F.hex("tree"), 2, "0"), F.lit("hex")), F.substring("key", 1, 4 * DEPTH)).alias("region"),
+        "key", "node"), "forest")
+    regions = forest.groupBy("region").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1") \
+        .select("region", (F.col("n_members") <= NEAR + 1).alias("small"))
     regions = scratch.table(regions, "regions")  # plain shuffles on both sides of the join: hot regions are split
     crowded = scratch.table(forest.join(regions, "region"), "crowded")
     scratch.drop("forest")
 
     needed = crowded.select("node").distinct()
-    known = scratch.table(nodes.join(needed, "node", "left_semi").select("node", "n", "id", "digest", "sig"), "known")
-    holders = texts.join(known.select(F.col("id").alias("holder"), "node", "digest"), F.col("id") == F.col("holder"))
-    sets = holders.select("node", "digest", "text").mapInArrow(_sets(words), "node long, shingles binary")
+    known = scratch.table(nodes.join(needed, "node", "left_semi").select("node", "n", "first", "sig"), "known")
+    # the text of its first document stands for a node
+    first = known.select("node", F.col("first.id").alias("of_id"), F.col("first.text_md5").alias("of_md5"))
+    holders = texts.join(first, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_md5") == F.col("of_md5"))).select("node", "text")
+    sets = holders.mapInArrow(_sets(words), "node long, shingles binary")
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
     compare = _Comparer(scratch, known, sets, percent)
 
-    small = NEIGHBOURS + 1
-    below = crowded.filter(F.col("n_members") > small)
-    deep = scratch.table(below.groupBy("deep").agg(
-        F.min("node").alias("deep_leader"), F.max("node").alias("last")).filter("deep_leader < last").drop("last"), "deep")
-    leaders = crowded.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).union(
-        below.join(deep, "deep").filter("node <> deep_leader").select("node", "deep_leader"))
-    links = compare.links(leaders, "leader")
-    parts = components(scratch, links, "parts")
-
-    mixed = _mixed(scratch, crowded, parts, "mixed")
-    ordered = mixed.join(known.select("node", "n", "sig"), "node").withColumn("place", F.xxhash64("region", "node"))
-    whole = ordered.filter(F.col("n_members") <= small).repartitionByRange("region").sortWithinPartitions("region")
-    # a hot region is cut over several tasks; what a cut parts is left to the prefix join
-    cut = ordered.filter(F.col("n_members") > small).repartitionByRange("region", "deep", "place") \
-        .sortWithinPartitions("region", "deep", "place")
-    pairs = [side.select("region", "node", "part", "n", "sig").mapInArrow(_neighbours(percent), "a long, b long")
-             for side in (whole, cut)]
-    links = links.union(compare.links(pairs[0].union(pairs[1]), "neighbour"))
-
+    early = _in_order(crowded.filter(F.col("tree") < FIRST_TREES), "region", "node").mapInArrow(
+        _first_neighbours, "a long, b long")
+    links = compare.links(early, "first")
+    left = crowded.drop("tree")
+    for turn in ("second", "third"):
+        parts = components(scratch, links, f"{turn}_parts")
+        left = _mixed(scratch, left, parts, f"{turn}_mixed")
+        # every pair of a small region is compared in the second turn
+        rows = left if turn == "second" else left.filter("NOT small")
+        rows = rows.join(known.select("node", "n", "sig"), "node")
+        near = _in_order(rows, "region", "node", "part", "small", "n", "sig").mapInArrow(_neighbours(percent), "a long, b long")
+        links = links.union(compare.links(near, turn, plausible=True))
+        left = left.filter("NOT small").drop("part")
     parts = components(scratch, links, "joined")
-    mixed = _mixed(scratch, mixed.filter(F.col("n_members") > small).drop("part"), parts, "still_mixed")
-    rest = scratch.table(mixed.select("node", "part").distinct(), "rest")
+    rest = scratch.table(_mixed(scratch, left, parts, "still_mixed").select("node", "part").distinct(), "rest")
     links = links.union(compare.links(_prefix_pairs(scratch, rest, sets, percent), "rest"))
 
-    ids = known.select("node", "id")
-    by_id = links.join(ids.withColumnRenamed("node", "a").withColumnRenamed("id", "id_a"), "a") \
-        .join(ids.withColumnRenamed("node", "b").withColumnRenamed("id", "id_b"), "b") \
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    groups = components(scratch, by_id.union(copies), "groups")
-    out = sketch.join(groups, F.col("id") == F.col("hi"), "left").select(
-        "id", "digest", F.col("n").alias("n_shingles"), F.coalesce("lo", "id").alias("component_id"))
-    return scratch.publish(out, "groups")
+    stars = components(scratch, links, "groups")
+    numbered = nodes.select("digest", "node").join(stars, F.col("node") == F.col("hi"), "left") \
+        .select(F.col("digest").alias("set"), F.coalesce("lo", "node").alias("part"))
+    numbered = scratch.table(numbered, "numbered")
+    # the smallest document of each component, copies pre-aggregated by their set
+    firsts = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(_first_document(F.struct("id", "text_md5"))) \
+        .join(numbered, F.col("digest") == F.col("set")).groupBy("part").agg(_first_document(F.col("first")))
+    firsts = scratch.table(firsts.select(F.col("part").alias("of_part"), "first"), "firsts")
+    placed = sketch.join(numbered, F.col("digest") == F.col("set"), "left").join(firsts, F.col("part") == F.col("of_part"), "left")
+    first = F.col("first")
+    keeper = F.col("digest").isNull() | (F.col("id").eqNullSafe(first["id"]) & (F.col("text_md5") == first["text_md5"]))
+    return scratch.publish(placed.select(
+        "id", "text_md5", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(first["id"])
+        .alias("component_id"), keeper.alias("keeper")), "groups")
+
+
+def _first_document(document: Column) -> Column:
+    """The smallest (id, text_md5), NULL ids last."""
+    return F.min(F.struct(document["id"].isNull().alias("unnamed"), document["id"].alias("id"),
+                          document["text_md5"].alias("text_md5"))).alias("first")
 
 
 def _prefix_pairs(scratch: Scratch, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -345,9 +382,16 @@ def _prefix_pairs(scratch: Scratch, rest: DataFrame, sets: DataFrame, percent: i
         & (F.least("to_come_a", "to_come_b") * (100 + percent) >= overlap)).select("a", "b")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that stand for their group, one for each id; NULL ids stay."""
-    key = fresh(docs.columns, "kept_id")
-    kept = groups.filter("id = component_id").select(F.col("id").alias(key)).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`") == F.col(key)).dropDuplicates([id_col]).select(*docs.columns)
-    return named.union(docs.filter(F.col(f"`{id_col}`").isNull()))
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one document each, and every row without words.
+
+    Documents are told apart by id and text, so a repeated id loses no other
+    text; of rows equal in both, one stays.
+    """
+    kept_id, kept_md5, md5 = (fresh(docs.columns, n) for n in ("kept_id", "kept_md5", "text_md5"))
+    kept = groups.filter("keeper AND n_shingles > 0").select(F.col("id").alias(kept_id), F.col("text_md5").alias(kept_md5)).distinct()
+    text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(md5) == F.col(kept_md5))
+    found = docs.withColumn(md5, F.md5(text.cast("binary"))).join(kept, same).dropDuplicates([id_col, md5])
+    wordless = F.coalesce(strip_space(text), F.lit("")) == ""
+    return found.filter(~wordless).select(*docs.columns).union(docs.filter(wordless))
