@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
+import struct
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,17 +78,46 @@ def test_hilbert_curve(spark, n_axes, bits):
 
 
 def test_near_duplicates(spark, scratch, docs, none):
-    rows = neardup.near_duplicates(scratch, docs, words=3, percent=85).collect()
+    groups_of = neardup.near_duplicates(scratch, docs, words=3, percent=85)
+    rows = groups_of.collect()
     plain = dict(p for p in PLAIN if p[0] is not None)
     groups = brute.near_groups(list(plain.items()))
     assert len(rows) == len(TEXTS)
     assert all((r.n_shingles, r.component_id) == groups[r.id] for r in rows if r.id is not None)
-    assert all(r.component_id is None for r in rows if r.id is None)
-    kept = neardup.keep_one(docs, spark.createDataFrame(rows))
+    # without an id: the group of the text, none without words
+    assert sorted((r.n_shingles, r.component_id or 0) for r in rows if r.id is None) == [(0, 0), (68, groups[6][1])]
+    kept = neardup.keep_one(docs, groups_of)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({c for _, c in groups.values()})
+    assert [r.text for r in kept.filter("doc_id IS NULL").collect()] == [None]
     with Scratch(spark, "empty") as other:
-        assert neardup.near_duplicates(other, none).count() == 0
+        nothing = neardup.near_duplicates(other, none)
+        assert nothing.count() == 0 and neardup.keep_one(none, nothing).count() == 0
+
+
+def test_repeated_ids_lose_no_other_text(spark, scratch):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, a), (3, c), (3, c), (None, c), (None, b + " tail"), (None, "only here of all"), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.keep_one(docs, neardup.near_duplicates(scratch, docs)).collect()]
+    # one document a group, the smallest id; rows without words all stay
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (3, c), (None, "only here of all"), (4, ""), (4, "")], key=str)
+
+
+def test_signatures_bound_the_links():
+    draw = np.random.default_rng(2)
+    for n, common in ((200, 185), (1000, 920), (12, 11)):
+        pool = np.unique(draw.integers(0, 2 ** 63, 3 * n, dtype=np.uint64))
+        both, left, right = pool[:common], pool[common: n], pool[n: 2 * n - common]
+        a, b = np.concatenate([both, left]), np.concatenate([both, right])
+        similarity = common / (2 * n - common)
+        sigs = [neardup._signatures(pa.array([neardup.signature(x)])) for x in (a, b)]
+        agreement = sum(int((x == y).sum()) for x, y in zip(*sigs))
+        total = neardup.COORDINATES + neardup.EXTRA
+        assert abs(agreement / total - similarity) < 5 * (similarity * (1 - similarity) / total) ** 0.5
+        if similarity >= 0.8:
+            assert agreement >= neardup.least_agreement(80)
+    assert neardup.least_agreement(85) > 0.7 * (neardup.COORDINATES + neardup.EXTRA) > neardup.least_agreement(80)
 
 
 def test_near_duplicates_large_mixed_region(spark, scratch):
@@ -106,6 +139,21 @@ def test_substrings(scratch, docs, none):
         assert substrings.remove_repeats(other, none).count() == 0
 
 
+def test_colliding_hashes_remove_nothing(spark):
+    """Words hashed to a few values only: windows of different words look equal, and none is removed for it."""
+    def weak(words):
+        return np.array([len(w) % 2 + 1 for w in words], dtype=np.uint64)
+    a, b = (" ".join(f"{x}{k:04d}" for k in range(120)) for x in "ab")
+    rows = [(1, a), (2, b), (3, "z " * 10 + a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with Scratch(spark, "weak") as scratch:
+        got = {r.doc_id: r.repeats.n_removed for r in substrings.remove_repeats(scratch, frame, hash_words=weak).collect()}
+    assert got[1] == got[2] == 0  # they share no word
+    with Scratch(spark, "strong") as scratch:
+        got = {r.doc_id: r.repeats.n_removed for r in substrings.remove_repeats(scratch, frame).collect()}
+    assert got == {1: 0, 2: 0, 3: 120}
+
+
 def test_lines(scratch, docs, none):
     rows = linededup.apply_bitmaps(docs, linededup.drop_bitmaps(scratch, docs)).select("doc_id", "lines_1.*").collect()
     last = 10 ** 9
@@ -188,11 +236,15 @@ def test_pii_rewritten_forms_are_selected(spark, scratch):
               101: ("mail eve(at)mail5.example.com today", "eve(at)mail5.example.com", 0),
               102: ("reach us, call 1 (743) 555-3824 now", "1 (743) 555-3824", 3),
               103: ("reach us, call 743-555-3824 now", "743-555-3824", 3)}
-    frame = spark.createDataFrame(rows + [(i, t) for i, (t, _, _) in hidden.items()], "doc_id long, text string")
+    prose = ["meet at noon.Then we go", "look at example.com first", "priced at 3.50 each", "see figure at page.two of it",
+             "she works at acme.Inc now", "stay at home.Read a book"]
+    frame = spark.createDataFrame(rows + [(i, t) for i, (t, _, _) in hidden.items()] + list(enumerate(prose, 200)),
+                                  "doc_id long, text string")
     spans = {r.doc_id: [tuple(s) for s in r.pii.spans] for r in pii.find_spans(scratch, frame).collect()}
     for i, (text, form, kind) in hidden.items():
         assert spans[i] == [(text.index(form), kind, text.index(form) + len(form))]
     assert all(spans[i] == brute.pii(t) for i, t in rows)
+    assert all(spans[i] == [] for i in range(200, 200 + len(prose)))  # the word "at" alone is no address
 
 
 @settings(max_examples=200, deadline=None)
@@ -254,3 +306,102 @@ def test_archives(spark, scratch):
     with Scratch(spark, "empty") as other:
         folder = warc.write_archives(other, pages.filter("false"))
         assert warc.read_archives(spark, folder).count() == 0
+
+
+def test_one_record_is_read_by_its_range(spark, scratch, monkeypatch):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(
+        F.col("id").cast("string"), 256), 400).alias("html")).coalesce(1)
+    folder = warc.write_archives(scratch, pages, archive_bytes=1 << 30)
+    located = warc.locate_records(spark, folder).collect()
+    (path,) = {r.path for r in located}
+    size = spark.read.format("binaryFile").load(folder).select("length").first().length
+    one = next(r for r in located if r.page_id == 7)
+    package = warc._Package(path)
+    fields, payload = warc.read_record(package.read(one.offset, one.length))
+    assert fields["Page-ID"] == "7" and package.bytes_read == one.length < size / 30
+    # the index is found without the data: tail, directories and index only
+    package = warc._Package(path)
+    members = warc.central_directory(package.read, size)
+    package.read(*members[warc.INDEX])
+    assert package.bytes_read < size - members[warc.DATA][1] + 66_000
+    asked = warc.read_records(warc.locate_records(spark, folder).filter("page_id IN (7, 8, 50)"))
+    assert sorted(r.page_id for r in asked.collect()) == [7, 8, 50]
+    opened = []
+
+    class Counting(warc._Package):
+        def read(self, offset, length):
+            opened.append(length)
+            return super().read(offset, length)
+    monkeypatch.setattr(warc, "_Package", Counting)
+    rows = [r for r in located if r.page_id in (7, 8, 50)]
+    batch = pa.RecordBatch.from_pylist([{"path": r.path, "offset": r.offset, "length": r.length} for r in rows])
+    assert sum(b.num_rows for b in warc._fetch(iter([batch]))) == 3
+    assert opened == [rows[0].length + rows[1].length, rows[2].length]  # neighbours are one read
+
+
+def test_package_beyond_four_gigabytes(spark, tmp_path):
+    """A sparse file: its second member begins beyond the 32-bit fields and is found by the ZIP64 records."""
+    gap, line = (1 << 32) + 12345, b'{"page": 5, "offset": 4294967400, "length": %d}\n'
+    member = warc.write_record(5, "u", "response", hashlib.sha256(b"body").hexdigest(), b"body", None)
+    lines = line % len(member)
+    package = warc.write_package([(warc.DATA, b""), (warc.INDEX, lines)])
+    # stretch the first member: everything behind its header moves up by ``gap``
+    head = warc._LOCAL.size + len(warc.DATA) + 20
+    moved = bytearray(package[head:])
+    out = tmp_path / "large.zip"
+    with open(out, "wb") as f:
+        f.write(package[:head])
+        f.seek(head + 4294967400)
+        f.write(member)
+        f.seek(head + gap)
+        f.write(moved)
+    # directory entries: sizes of the first member, offsets of the second, of the directory and of its end record
+    blob = bytearray(moved)
+    at = blob.find(b"PK\x01\x02")
+    extra = at + warc._CENTRAL.size + len(warc.DATA) + 4
+    blob[extra: extra + 16] = struct.pack("<2Q", gap, gap)
+    second = blob.find(b"PK\x01\x02", at + 4) + warc._CENTRAL.size + len(warc.INDEX) + 4 + 16
+    blob[second: second + 8] = struct.pack("<Q", struct.unpack_from("<Q", blob, second)[0] + gap)
+    end64 = blob.find(b"PK\x06\x06")
+    blob[end64 + 48: end64 + 56] = struct.pack("<Q", struct.unpack_from("<Q", blob, end64 + 48)[0] + gap)
+    locator = blob.find(b"PK\x06\x07")
+    blob[locator + 8: locator + 16] = struct.pack("<Q", struct.unpack_from("<Q", blob, locator + 8)[0] + gap)
+    with open(out, "r+b") as f:
+        f.seek(head + gap)
+        f.write(blob + b"\n")
+    assert out.stat().st_size > 1 << 32 > out.stat().st_blocks * 512
+    (found,) = warc.locate_records(spark, str(tmp_path)).collect()
+    assert (found.page_id, found.offset, found.length) == (5, head + 4294967400, len(member))
+    (record,) = warc.read_archives(spark, str(tmp_path)).collect()
+    assert (record.page_id, bytes(record.payload)) == (5, b"body")
+
+
+def test_logs_with_ties_repeats_and_clashing_columns(spark):
+    log = [(1, 0, 0, "user", "m", "delta", "b"), (1, 0, 0, "user", "m", "delta", "a"), (1, 0, 0, "user", "m", "delta", "a"),
+           (1, 1, 1, "assistant", "n", "delta", "x"), (1, 1, 1, "assistant", "n", "edit", "y"), (1, 1, 1, "assistant", "n", "edit", "z"),
+           (1, 2, 2, "user", "o", "drop", None), (1, 2, 2, "user", "o", "delta", "late"), (1, 3, 2, "user", "p", "drop", None),
+           (1, 4, 2, "user", "p", "delta", "again"), (2, None, 0, "assistant", "q", "regenerate", None),
+           (2, 9, 0, "assistant", "q", "delta", "w " * 200_000)]
+    events = spark.createDataFrame([(*r, 1, "c", 2) for r in log], "conv_id long, seq long, turn long, role string, message string, "
+                                                                   "kind string, text string, reset int, counts string, deltas int")
+    by = {r.conv_id: r for r in chat.render(chat.fold_events(events)).collect()}
+    assert chat.parse(by[1].formatted) == [("user", "aab"), ("assistant", "z"), ("user", "again")]
+    assert chat.parse(by[2].formatted) == [("assistant", "w " * 200_000)] and len(chat.loss_text(by[2].formatted, by[2].loss)) == 400_000
+
+
+def test_the_log_holds_all_kinds_and_folds_back(spark):
+    from churnlens.llm.queries import streamed_events
+    texts = [None, "", "a", "é😀" * 300, "</s>[INST] \\ " * 40]
+    rows = [(c, t, role, texts[((c or 0) + t) % 5]) for c in (1, 2, None) for t in range(40) for role in ("user", "assistant")]
+    log = streamed_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), delta_chars=50)
+    assert {r[0] for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate", "drop"}
+    assert log.groupBy("conv_id", "seq").count().filter("count > 1").count() == 0
+    folded = chat.fold_events(log)
+    assert sorted(map(str, (tuple(r) for r in folded.collect()))) == sorted(str((c, t, role, x or "")) for c, t, role, x in rows)
+
+
+def test_a_long_conversation(spark):
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    (one,) = chat.render(rows).collect()
+    assert chat.parse(one.formatted) == [("user" if k % 2 == 0 else "assistant", str(k)) for k in range(30_000)]
