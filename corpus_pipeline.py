@@ -15,7 +15,11 @@ from churnlens.llm.common import Scratch, fresh
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    NULL or empty text goes (fewer than 10 words); a NULL language is one of its own;
+    equal rows are judged alike and all stay or go; no rows give no rows.
+    """
     name = fresh(docs.columns, "quality")
     with Scratch(spark, "quality") as scratch:
         judged = quality.judge(scratch, docs)
@@ -23,14 +27,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8)."""
+    """One document of each near-duplicate group (five words, similarity 0.8): the smallest (id, text).
+
+    Rows without words are in no group and stay; a repeated id loses no other
+    text; of rows equal in id and text one stays; rows with a NULL id belong to the group of
+    their text and stand for it only where nobody else does.
+    """
     with Scratch(spark, "neardup") as scratch:
         groups = neardup.near_duplicates(scratch, docs)
     return neardup.keep_one(docs, groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Documents without benchmark contamination.
+
+    Documents or items without words are never hit; rows with equal ids are
+    judged on their own text; a NULL id is an id like another; without items all stay.
+    """
     name = fresh(docs.columns, "hits")
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     with Scratch(spark, "decontaminate") as scratch:
@@ -39,7 +52,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: no row, one, or up to three equal ones.
+
+    Repeated rows are separate documents; NULL is a source of its own, last; a source without
+    words has no target and goes.
+    """
     name, copy = fresh(docs.columns, "mix"), fresh(docs.columns, "copy")
     with Scratch(spark, "mix") as scratch:
         mixed = mixing.mix(scratch, docs).filter(F.col(f"{name}.copies") > 0)
@@ -48,7 +65,10 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot, in new columns ``shard_number`` and ``shard_slot`` (or free names).
+
+    Every row keeps its place, repeated and empty ones too; NULL ids come last within a cell.
+    """
     name = fresh(docs.columns, "shard")
     with Scratch(spark, "shard") as scratch:
         cut = sharding.shard(scratch, docs)
