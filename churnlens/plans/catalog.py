@@ -157,17 +157,20 @@ def report_lines(t: ChurnTables) -> DataFrame:
     return findings_lines(report.findings(t), latest).select(F.col("value").alias("line"))
 
 
-def audit_counts_faulty(t: ChurnTables) -> DataFrame:
+def audit_counts_faulty(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """K2-K6 over the damaged records, all relations in one scan."""
-    return audit.audit_counts(audit.audit(faulty_intake(t), faulty_plans(t)))
+    return audit.audit_counts(audit.audit(rows, plans))
 
 
-def rejects_faulty(t: ChurnTables) -> DataFrame:
+def rejects_faulty(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """The damaged records that a load rejects, with the constraints that they break."""
-    found = audit.rejects(audit.audit(faulty_intake(t), faulty_plans(t)))
+    found = audit.rejects(audit.audit(rows, plans))
     return found.select("record_id", F.array_join(F.array_sort("broken"), "; ").alias("broken"))
 
 
+AUDITS = {"audit_counts_faulty": audit_counts_faulty, "rejects_faulty": rejects_faulty}
+
+
 def redelivered(t: ChurnTables) -> DataFrame:
     """A delivery as an intake: records of the last year again, once under their ids and once under new ones.
 
@@ -184,11 +187,6 @@ def check_appended(t: ChurnTables) -> DataFrame:
     return appended.check_appended(t, redelivered(t))
 
 
-AUDITS: dict[str, TableOp] = {
-    "audit_counts_faulty": audit_counts_faulty, "rejects_faulty": rejects_faulty, "check_appended": check_appended,
-}
-
-
 def awkward_texts(t: ChurnTables) -> DataFrame:
     """Customer ids with texts that a CSV file must quote: one of each kind in turn."""
     label = F.concat_ws(" ", "region", "plan_name")
@@ -214,6 +212,7 @@ LOADING: dict[str, TableOp] = {
     "loaded_tables": loaded_tables,
     "report_lines": report_lines,
     "csv_round_trip": csv_round_trip,
+    "check_appended": check_appended,
 }
 
 
@@ -246,7 +245,8 @@ class TableCache:
     ``get`` gives the tables derived from the driver's data; ``get_cleaned``
     the tables loaded from the cleaned dirty records; ``get_faulty`` tables
     that break the declared constraints.  With ``materialize`` the first two are
-    written below the shared checkpoint folder (lineage cut).  A changed source
+    loaded below the shared checkpoint folder (lineage cut); what the other calls
+    need is written there once as well.  A changed source
     file makes the next call load again; ``drop`` drops all written tables, those
     of earlier states included (a result may still read them until then).
     """
@@ -255,7 +255,7 @@ class TableCache:
         self._materialize = materialize
         self._lock = threading.RLock()
         self._cache: dict[tuple, ChurnTables] = {}
-        self._rollups: dict[tuple, str] = {}
+        self._written: dict[tuple, str] = {}
 
     @staticmethod
     def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
@@ -265,8 +265,12 @@ class TableCache:
         with self._lock:
             for tables in self._cache.values():
                 tables.drop()
+            spark = SparkSession.getActiveSession()
+            for path in self._written.values():
+                fs, folder = hadoop_path(spark, path)
+                fs.delete(folder, True)
             self._cache.clear()
-            self._rollups.clear()
+            self._written.clear()
 
     def _load(self, spark: SparkSession, key: tuple, build: Callable[[], ChurnTables],
               unique_key: bool) -> ChurnTables:
@@ -301,7 +305,7 @@ class TableCache:
         """The roll-up of the early joiners, stored, then refreshed by the later ones alone; and the plans."""
         key = self._key(spark, sf_dir, "rollup")
         with self._lock:
-            path = self._rollups.get(key)
+            path = self._written.get(key)
             tables = self.get(spark, sf_dir)
             if path is None:
                 early = F.coalesce(F.col("join_date") < SECOND_LOAD_FROM, F.lit(False))
@@ -309,7 +313,7 @@ class TableCache:
                 rollup.roll_up(tables.records.filter(early)).write.parquet(f"{path}/first")
                 stored = spark.read.parquet(f"{path}/first")
                 rollup.refresh(stored, tables.records.filter(~early)).write.parquet(f"{path}/refreshed")
-                self._rollups[key] = path
+                self._written[key] = path
             return spark.read.parquet(f"{path}/refreshed"), tables.subscription_plans
 
     def get_two_loads(self, spark: SparkSession, sf_dir: str) -> tuple[ChurnTables, DataFrame]:
@@ -322,10 +326,23 @@ class TableCache:
                 warehouse = Warehouse(spark, scratch_path(spark, "two-loads"))
                 warehouse.load(ChurnTables.from_wide(wide.filter(F.col("join_date") < SECOND_LOAD_FROM)))
                 tables = self._cache[key] = warehouse.load(ChurnTables.from_wide(wide))
+                warehouse.vacuum()
             return tables, Warehouse(spark, os.path.dirname(tables.folder)).history()
 
+    def get_faulty_intake(self, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        """The damaged records as an intake, written once, and the plans with bad rows."""
+        key = self._key(spark, sf_dir, "faulty")
+        with self._lock:
+            tables = self.get(spark, sf_dir)
+            path = self._written.get(key)
+            if path is None:
+                path = scratch_path(spark, "faulty")
+                faulty_intake(tables).write.parquet(path)
+                self._written[key] = path
+            return spark.read.parquet(path), faulty_plans(tables)
+
     def get_faulty(self, spark: SparkSession, sf_dir: str) -> ChurnTables:
-        return faulty_tables(self.get(spark, sf_dir))
+        return faulty_tables(self.get(spark, sf_dir), *self.get_faulty_intake(spark, sf_dir))
 
 
 def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -338,9 +355,14 @@ def registry(cache: TableCache | None = None) -> dict[str, Callable[[SparkSessio
         run.__doc__ = op.__doc__
         return run
 
-    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING, **LOADING, **AUDITS}.items()}
+    out = {name: bind(op) for name, op in {**ANALYTICS, **CLEANING, **LOADING}.items()}
     out.update({name: bind(op, cache.get_cleaned) for name, op in CONSTRAINTS.items()})
     out.update({f"{name}_faulty": bind(op, cache.get_faulty) for name, op in CONSTRAINTS.items()})
+    def audited(made: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: normalize_types(made(*cache.get_faulty_intake(spark, sf_dir)))
+
+    out.update({name: audited(made) for name, made in AUDITS.items()})
+
     def roll(made: rollup.Report) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: normalize_types(made(*cache.get_rollup(spark, sf_dir)))
 

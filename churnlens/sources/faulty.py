@@ -105,8 +105,8 @@ def faulty_plans(t: ChurnTables) -> DataFrame:
     return seeded.unionByName(t.wide.sparkSession.range(1).select(F.inline(bad)))
 
 
-def faulty_tables(t: ChurnTables) -> ChurnTables:
-    """The relations of the damaged records, and plans with three bad rows."""
-    damaged = faulty_intake(t)
-    return replace(t, subscription_plans=faulty_plans(t),
+def faulty_tables(t: ChurnTables, damaged: DataFrame | None = None, plans: DataFrame | None = None) -> ChurnTables:
+    """The relations of the damaged records (written before, or made here), and plans with three bad rows."""
+    damaged = faulty_intake(t) if damaged is None else damaged
+    return replace(t, subscription_plans=faulty_plans(t) if plans is None else plans,
                    **{r: damaged.filter(F.col(r).isNotNull()).select(f"{r}.*") for r in RELATIONS})
