@@ -149,12 +149,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+def language_references(scratch: Scratch, docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                         top_words: int = TOP_WORDS) -> DataFrame:
     """(lang, n_words, common: array of (word, n), classes: array of counts), one row a language."""
     slim = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     counts = slim.mapInArrow(_count_batches, _COUNT_SCHEMA) \
         .groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    counts = scratch.table(counts, "counts")  # read twice below
     # the totals and the classes need no ranking; the ranking keeps top_words rows a task and language
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("word")))
     common = counts.filter("kind = 0").withColumn("place", place).filter(F.col("place") <= top_words) \
@@ -221,7 +222,7 @@ def judge(scratch: Scratch, docs: DataFrame, text_col: str = "text", lang_col: s
              "max_class": MAX_CLASS, "max_word": MAX_WORD} | limits
     carry = list(docs.columns) if carry is None else carry
     name = fresh(docs.columns, "quality")
-    references = scratch.publish(language_references(docs, text_col, lang_col, limit["top_words"]), "references")
+    references = scratch.publish(language_references(scratch, docs, text_col, lang_col, limit["top_words"]), "references")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
                        F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     joined = rows.join(references, F.col("lang").eqNullSafe(F.col("ref_lang"))) \
