@@ -48,7 +48,9 @@ def drop_bitmaps(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text
     lines = docs.select(*_row_key(F.col(f"`{id_col}`"), text), F.posexplode(line_array(text)).alias("pos", "line"))
     keyed = lines.select("id", "digest", "pos", lower_ascii(strip_space(F.col("line"))).alias("key")) \
         .filter(F.char_length("key") >= min_chars)
-    rows = keyed.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), "id", "digest", "pos") \
+    slim = keyed.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), "id", "digest", "pos")
+    # written before the range shuffle, which reads its input twice
+    rows = scratch.table(slim, "slim_rows") \
         .repartitionByRange("hash", F.col("id").asc_nulls_last(), "digest", "pos") \
         .sortWithinPartitions("hash", F.col("id").asc_nulls_last(), "digest", "pos") \
         .withColumn("block", F.spark_partition_id())
