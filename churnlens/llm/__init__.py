@@ -10,5 +10,8 @@ warc           - WARC records in ZIP packages, written and range-read
 pii            - personal data by boosted trees over candidate spans
 linededup      - lines repeated across documents
 quality        - distribution divergence from language references
+langid         - language by unigram pieces, summed over all segmentations
+merkle         - Merkle manifest of a dataset by lag/lead windows, with proofs
+hardneg        - hard negatives over Hilbert-ordered blocks with zone maps
 queries        - the registered queries and their SQL
 """
