@@ -324,8 +324,9 @@ class TableCache:
             if tables is None or not spark.catalog.databaseExists(tables.database):
                 wide = self.get(spark, sf_dir).wide
                 warehouse = Warehouse(spark, scratch_path(spark, "two-loads"))
-                warehouse.load(ChurnTables.from_wide(wide.filter(F.col("join_date") < SECOND_LOAD_FROM)))
-                tables = self._cache[key] = warehouse.load(ChurnTables.from_wide(wide))
+                early = wide.filter(F.col("join_date") < SECOND_LOAD_FROM)
+                warehouse.load(ChurnTables.from_wide(early), written=self._materialize)
+                tables = self._cache[key] = warehouse.load(ChurnTables.from_wide(wide), written=self._materialize)
                 warehouse.vacuum()
             return tables, Warehouse(spark, os.path.dirname(tables.folder)).history()
 

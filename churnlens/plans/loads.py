@@ -118,7 +118,7 @@ class Warehouse:
     # -- writing ----------------------------------------------------------------
 
     def load(self, tables: ChurnTables, unique_key: bool = True, buckets: int | None = None,
-             export: bool = False, reject: bool = False) -> ChurnTables:
+             export: bool = False, reject: bool = False, written: bool = False) -> ChurnTables:
         """Write ``tables`` as the next load and make it the current one.
 
         ``reject``: records that break a declared constraint are not loaded but written
@@ -129,6 +129,8 @@ class Warehouse:
         one of which could hold a third of all rows) rows are numbered one by
         one, nothing is bucketed and no key is kept.  ``export`` also writes
         the relational tables as Parquet folders (``tables/`` beside the records).
+        ``written``: the records lie in a table that does not change; others are written
+        first, so that keys and records read the same rows and these are derived once.
         """
         former = self._last()
         load_id = former.load_id + 1 if former else 1
@@ -137,7 +139,7 @@ class Warehouse:
         database = self._create_database(folder, token)
         try:
             row = self._write(tables, former, Row(load_id=load_id, token=token, folder=folder), unique_key, buckets,
-                              reject)
+                              reject, written)
             loaded = self._open(row)
             if export:
                 for name in (*_VIEWS, "subscription_plans"):
@@ -149,7 +151,7 @@ class Warehouse:
         return loaded
 
     def _write(self, tables: ChurnTables, former: Row | None, load: Row, unique_key: bool, buckets: int | None,
-               reject: bool) -> Row:
+               reject: bool, written: bool) -> Row:
         database, stage = f"churnlens_{load.token}", self._stage(load.folder)
         now = datetime.now(timezone.utc).replace(microsecond=0)
         stamp = F.to_timestamp(F.lit(now.isoformat()))
@@ -163,6 +165,8 @@ class Warehouse:
         rejected = 0
         if reject:
             wide, rejected = self._split(wide.join(lookup, by_name, "left").drop("_lookup_name"), load.folder, stage)
+        elif not written:
+            wide = stage(wide, "wide")
         if unique_key:
             ids = wide.select("customer_id", "plan_name").join(lookup, by_name, "left").select("customer_id", "plan_id")
             keys = self._keyed(ids, former, high, stage)

@@ -14,7 +14,8 @@ derived from ``customer, nation, region, orders, lineitem``:
 Plan shape (three shuffles, none of them on a hot key):
 lineitem is pre-aggregated per order *before* the join (partial + final
 aggregate on ``l_orderkey``; lines of one order sit together in the files, so
-the map-side combine removes most rows), joined to orders on the unique order
+the map-side combine removes most rows; quantities are summed as hundredths in two
+bigints, which is exact and spares a wide decimal for each line), joined to orders on the unique order
 key, then aggregated per customer with map-side partial aggregation (a customer
 with a third of all orders becomes one partial row per task, not a hot
 partition).  ``as_of`` is a scalar subquery (one value, computed once).  The
@@ -25,6 +26,7 @@ choice and AQE, which use a sort-merge join when a side is large.
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ LOGIN_FLAG = "N"
 PENDING_STATUS = "P"
 BILLING_PRIORITY = "1-URGENT"
 TICKET_PRIORITY = "2-HIGH"
+# hundredths of a quantity (below 10**18, so below 2**60) are summed in halves of LOW_BITS
+LOW_BITS = 30
 # ---------------------------------------------------------------------------
 
 
@@ -81,6 +85,12 @@ def _payment_method(key: F.Column) -> F.Column:
     return expr
 
 
+def _whole(high: F.Column, low: F.Column) -> F.Column:
+    """The quantity whose hundredths were summed in halves."""
+    hundredths = high.cast("decimal(19,0)") * F.lit(1 << LOW_BITS).cast("decimal(10,0)") + low.cast("decimal(19,0)")
+    return (hundredths * F.lit(Decimal("0.01"))).cast("decimal(38,2)")
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with order-derived facts and lineitem usage sums."""
     orders = read_table(spark, sf_dir, "orders").select(
@@ -88,9 +98,11 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("o_orderdate"),
     )
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
-    per_order_lines = lines.groupBy("l_orderkey").agg(
+    hundredths = (F.col("l_quantity").cast("decimal(18,2)") * 100).cast("bigint")
+    per_order_lines = lines.withColumn("hundredths", hundredths).groupBy("l_orderkey").agg(
         F.count(F.when(F.col("l_returnflag") == LOGIN_FLAG, True)).alias("flag_lines"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty_sum"),
+        F.sum(F.shiftright("hundredths", LOW_BITS)).alias("qty_high"),
+        F.sum(F.col("hundredths").bitwiseAND((1 << LOW_BITS) - 1)).alias("qty_low"),
         F.count("l_quantity").alias("qty_n"),
     )
     per_order = orders.join(
@@ -106,7 +118,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(pending & (F.col("o_orderpriority") == TICKET_PRIORITY), True))
         .alias("support_tickets"),
         F.sum("flag_lines").alias("flag_lines"),
-        F.sum("qty_sum").alias("qty_sum"),
+        _whole(F.sum("qty_high"), F.sum("qty_low")).alias("qty_sum"),
         F.sum("qty_n").alias("qty_n"),
     )
 

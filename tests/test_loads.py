@@ -39,6 +39,24 @@ def test_first_load_numbers_customers_in_order(warehouse, small_tables):
     assert keys(loaded) == {c: (n, n) for n, c in enumerate(ids, 1)}
 
 
+@pytest.mark.parametrize("unique_key", [True, False])
+def test_a_load_derives_its_records_once(spark, warehouse, small_tables, unique_key):
+    derived = spark.sparkContext.accumulator(0)
+
+    def seen(customer_id):
+        derived.add(1)
+        return customer_id
+
+    wide = small_tables.wide.withColumn("customer_id", F.udf(seen, "bigint")("customer_id"))
+    loaded = warehouse.load(ChurnTables.from_wide(wide), unique_key=unique_key)
+    assert derived.value == small_tables.wide.count() == loaded.records.count()
+
+
+def test_a_load_of_a_written_table_gives_the_same_keys(warehouse, small_tables):
+    written = keys(warehouse.load(ChurnTables.from_wide(small_tables.wide), written=True))
+    assert keys(warehouse.load(ChurnTables.from_wide(small_tables.wide))) == written
+
+
 def test_repeated_load_keeps_keys_and_the_next_continues(warehouse, small_tables):
     first = keys(warehouse.load(part(small_tables, "customer_id % 3 <> 0")))
     assert keys(warehouse.load(part(small_tables, "customer_id % 3 <> 0"))) == first

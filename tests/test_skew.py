@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def test_per_customer_aggregate_is_partial(spark, skewed_dir):
     assert "partial_min_by" in text and "partial_max_by" in text and "partial_sum" in text
 
 
+def test_quantities_beyond_a_bigint_sum_exactly(spark, tmp_path):
+    """More hundredths than a bigint holds, negative and absent quantities; no wide decimal is summed line by line."""
+    orders = [(1, 7, "P", "2-HIGH"), (2, 7, "F", "5-LOW"), (3, 8, "O", "5-LOW"), (4, 9, "O", "5-LOW")]
+    lines = [(1, 9.0e15)] * 25 + [(1, -0.01), (2, None), (2, 12.34), (3, -5.5), (3, -0.07), (4, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string") \
+        .withColumn("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double").withColumn("l_returnflag", F.lit("N")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    facts = order_facts(spark, str(tmp_path))
+    found = {r.customer_id: (r.qty_sum, r.qty_n) for r in facts.collect()}
+    assert found == {7: (Decimal("225000000000000012.33"), 27), 8: (Decimal("-5.57"), 2), 9: (None, 0)}
+    assert "partial_sum(cast(l_quantity" not in facts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_duplicate_group_collapses_map_side(small_tables):
     """A third of the rows are identical copies of one record: dedup stays partial + final."""
     wide = small_tables.wide
